@@ -1,6 +1,7 @@
 """All queries of the core by name, and their SQL."""
 
-from graphloom.plans import problems
+from graphloom.plans import problems, store
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+MODULES = (problems, store)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: text for m in MODULES for name, text in m.ORACLE.items()}
