@@ -163,8 +163,8 @@ def around(codes: np.ndarray, seeds: np.ndarray, reach: int) -> np.ndarray:
     return np.concatenate(pieces)
 
 
-def align(items: Items, pairs: list[tuple[int, np.ndarray]], weight: np.ndarray, cells: int = 250_000) -> list[int]:
-    """pairs: place of an item and words of a text. How many words of the item each text holds."""
+def align(items: Items, pairs: list[tuple[int, np.ndarray]], weight: np.ndarray, cells: int = 12_000) -> list[int]:
+    """pairs: place of an item and words of a text. How many words of the item each text holds. cells: of one array, so that all of them fit a core's cache."""
     order = sorted(range(len(pairs)), key=lambda p: (len(pairs[p][1]) // 64, len(items.codes[pairs[p][0]])))
     out, start = [0] * len(pairs), 0
     while start < len(order):
