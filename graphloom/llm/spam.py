@@ -219,7 +219,9 @@ def likeliest(counts: np.ndarray, symbols: np.ndarray, model: tuple[np.ndarray,
 
 def _sample(docs: DataFrame) -> list[np.ndarray]:
     """The symbols of the sampled documents, as many at most as the parameters say."""
-    picked = docs.where("doc_id is not null and text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id")).limit(FIT_DOCUMENTS)
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
+    picked = known.join(F.broadcast(ids), "doc_id", "left_semi")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
