@@ -1,7 +1,7 @@
 """All queries of the core by name, and their SQL."""
 
-from graphloom.plans import problems, store
+from graphloom.plans import problems, store, walks
 
-MODULES = (problems, store)
+MODULES = (problems, store, walks)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: text for m in MODULES for name, text in m.ORACLE.items()}
