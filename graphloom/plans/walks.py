@@ -217,7 +217,6 @@ ORACLE = {
         cnt as (select id, len(list_filter(string_split(regexp_replace(tail, '\\s(extends|implements)\\s', ',', 'g'), ','), lambda x: trim(x) <> '')) as k from named),
         judged as (select c.id from cls c join cnt using (id) left join sup s on s.src = c.id where c.origin = 'REPO' and c.kind <> 'ANNOTATION' and not contains(c.id, '$') and c.id not in (from ent)
             and ((c.kind = 'INTERFACE' and c.id in (select src from e where kind = 'PROVIDES_BEAN')) or not (cnt.k > coalesce(s.k, 0) or coalesce(s.x, 0) > 0))),
-        d0 as (select id from judged where id not in (select c from refs))"""
-    + "".join(f", d{i} as (select id from judged where id not in (select c from refs where r not in (select id from d{i - 1})))" for i in range(1, 13))
-    + " select d12.id, min(refs.r) as via from d12 left join refs on refs.c = d12.id group by d12.id",
+        ring as (select r, c from refs union select ring.r, f.c from ring join refs f on f.r = ring.c), alive as (select r as id from refs where r not in (from judged) union select c from ring where r = c union select f.c from alive join refs f on f.r = alive.id),
+        dead as (select id from judged where id not in (from alive)) select dead.id, min(refs.r) as via from dead left join refs on refs.c = dead.id group by dead.id""",
 }
