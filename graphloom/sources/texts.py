@@ -1,0 +1,98 @@
+"""Facts out of texts by line: Markdown sections, configuration, dependencies, finding tables, Java outlines, logs, mentions of classes.
+
+All are column expressions over the lines of a text, one text at a time, so nothing but the columns asked for leaves the scan.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, line: the lines of each text from 1, without the marks at their ends. Null texts have none."""
+    split = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(split).alias("line_no", "line")).select("doc_id", (F.col("line_no") + 1).alias("line_no"), "line")
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, level, title, n_lines: the headings of each text and how many lines that aren't blank follow before the next one."""
+    heading = F.regexp_extract("line", r"^(#{1,6}) +(\S.*?)\s*$", 1)
+    marked = lines(docs).withColumn("level", F.length(heading)).withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no")))
+    first = F.min(F.when(F.col("level") > 0, F.struct("line_no", "level", F.regexp_extract("line", r"^(#{1,6}) +(\S.*?)\s*$", 2).alias("title")))).alias("h")
+    held = marked.where("section > 0").groupBy("doc_id", "section").agg(first, F.sum(((F.col("level") == 0) & (F.trim("line") != "")).cast("int")).alias("n_lines"))
+    return held.select("doc_id", "h.line_no", "h.level", "h.title", "n_lines")
+
+
+def dependencies(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, scope, name, version of the dependency lines of build files."""
+    p = r'^\s*(\w+)\("([\w.-]+:[\w.-]+):([\w.-]+)"\)\s*$'
+    return lines(docs).where(F.col("line").rlike(p)).select("doc_id", "line_no", F.regexp_extract("line", p, 1).alias("scope"), F.regexp_extract("line", p, 2).alias("name"), F.regexp_extract("line", p, 3).alias("version"))
+
+
+def finding_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, rule, severity, subject, message of the table lines of finding reports."""
+    p = r"^\|\s*([a-z-]+)\s*\|\s*(error|warning|info|note)\s*\|\s*`?([^`|]+?)`?\s*\|\s*(.*?)\s*\|\s*$"
+    return lines(docs).where(F.col("line").rlike(p)).select("doc_id", "line_no", *(F.regexp_extract("line", p, k).alias(n) for k, n in enumerate(("rule", "severity", "subject", "message"), 1)))
+
+
+def java_outline(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, what, name: the package, imports, types and methods that lines of Java source declare."""
+    package = F.regexp_extract("line", r"^package\s+([\w.]+);", 1)
+    imported = F.regexp_extract("line", r"^import\s+(?:static\s+)?([\w.*]+);", 1)
+    declared = F.regexp_extract("line", r"^\s*(?:public |protected |private |abstract |final |static )*(?:class|interface|enum|record)\s+(\w+)", 1)
+    method = F.regexp_extract("line", r"^\s*(?:public|protected|private)\s+(?:static |final |abstract )*[\w.<>\[\], ]+\s(\w+)\([^()]*\)\s*(?:throws [\w., ]+)?\{?\s*$", 1)
+    what = F.when(package != "", "package").when(imported != "", "import").when(declared != "", "type").when(method != "", "method")
+    name = F.when(package != "", package).when(imported != "", imported).when(declared != "", declared).otherwise(method)
+    return lines(docs).select("doc_id", "line_no", what.alias("what"), name.alias("name")).where("what is not null")
+
+
+def log_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, time, level, thread, logger, message of the lines of logs."""
+    p = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d) (\w+) \[([^\]]*)\] (\S+) - (.*)$"
+    return lines(docs).where(F.col("line").rlike(p)).select("doc_id", "line_no", *(F.regexp_extract("line", p, k).alias(n) for k, n in enumerate(("time", "level", "thread", "logger", "message"), 1)))
+
+
+def mentions(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, id: classes whose short name a text mentions as a word with a capital inside; nodes: id of types."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)(?![A-Za-z0-9_])"), 1))
+    named = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(words).alias("name"))
+    known = nodes.select("id", F.substring_index(F.substring_index("id", ".", -1), "$", -1).alias("name"))
+    return named.join(known, "name").select("doc_id", "id").distinct()
+
+
+def yaml_keys(text: Column) -> Column:
+    """The values of a YAML text as an array of (line, key, value): keys joined by dots along the indents, lists as [a, b] left out, comments cut.
+
+    A fold over the lines keeps the keys above; a document mark starts anew."""
+    entry = "struct<line:int,key:string,value:string>"
+    p = r"^( *)([\w.\"'-]+):(?:\s+(.*?))?\s*$"
+    bare = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x, i: F.struct(F.regexp_replace(x, r"(^|\s)#.*$", "").alias("text"), (i + 1).cast("int").alias("line")))
+    start = F.struct(F.array().cast("array<struct<indent:int,key:string>>").alias("above"), F.array().cast(f"array<{entry}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        indent = F.length(F.regexp_extract(x["text"], p, 1))
+        key, value = F.regexp_replace(F.regexp_extract(x["text"], p, 2), "[\"']", ""), F.regexp_replace(F.regexp_extract(x["text"], p, 3), "^[\"']|[\"']$", "")
+        kept = F.filter(acc["above"], lambda a: a["indent"] < indent)
+        whole = F.concat_ws(".", F.transform(kept, lambda a: a["key"]), key)
+        deeper = F.struct(F.array_append(kept, F.struct(indent.cast("int").alias("indent"), key.alias("key"))).alias("above"), acc["out"].alias("out"))
+        leaf = F.struct(kept.alias("above"), F.array_append(acc["out"], F.struct(x["line"].alias("line"), whole.alias("key"), value.alias("value"))).alias("out"))
+        # a key with a value may still hold deeper lines, as generated files have them
+        both = F.struct(deeper["above"].alias("above"), leaf["out"].alias("out"))
+        return F.when(x["text"].rlike("^---"), F.struct(start["above"].alias("above"), acc["out"].alias("out"))).when(~x["text"].rlike(p), acc).when(value == "", deeper).otherwise(both)
+
+    return F.aggregate(bare, start, step, lambda acc: acc["out"])
+
+
+def property_keys(text: Column) -> Column:
+    """The entries of a properties text as an array of (line, key, value); the first = or : parts them, # and ! start comments."""
+    p = r"^\s*([^=:\s#!][^=:]*?)\s*[=:]\s*(.*?)\s*$"
+    rows = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x, i: F.struct((i + 1).cast("int").alias("line"), F.regexp_extract(x, p, 1).alias("key"), F.regexp_extract(x, p, 2).alias("value")))
+    return F.filter(rows, lambda r: r["key"] != "")
+
+
+def first_rule(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """The rule of the first of a few path patterns, in their order, that a path matches; null if none does."""
+    from graphloom.functions.names import ant_pattern
+
+    return F.coalesce(*(F.when(F.rlike(path, ant_pattern(F.lit(p))), rule) for p, rule in rules)) if rules else F.lit(None).cast("string")
