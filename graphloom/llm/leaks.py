@@ -21,7 +21,7 @@ from graphloom.llm.words import words
 
 #: Items of one block; their words and triples are what is broadcast.
 ITEMS_PER_BLOCK = 5_000
-#: A triple that more than this share of all documents hold is no seed.
+#: A triple that more than this share of all documents hold is no seed, unless it is a single item's own.
 COMMON = 0.01
 #: A sentence that opens at least so many items is a stock instruction.
 STOCK_ITEMS = 3
@@ -59,6 +59,14 @@ class Items:
         self.triples = np.array(sorted(holders), dtype=np.int64)
         self.holders = [sorted(holders[t]) for t in self.triples.tolist()]
 
+    def own_triples(self) -> np.ndarray:
+        """Whether a triple stands in one item only and has a word that does: such are seeds however many documents copied the item."""
+        in_items = Counter(w for c in self.codes for w in set(c.tolist()))
+        words_of = ((self.triples >> 42) & 0x1FFFFF, (self.triples >> 21) & 0x1FFFFF, self.triples & 0x1FFFFF)
+        single = np.array([in_items[w] == 1 for w in range(len(self.vocabulary) + 1)])
+        one = np.array([len(h) == 1 for h in self.holders], dtype=bool)
+        return one & (single[words_of[0]] | single[words_of[1]] | single[words_of[2]]) if len(one) else one
+
 
 def sentences(text: str | None) -> list[str]:
     return [s.strip() for s in _SENTENCE.split(text or "") if s.strip()]
@@ -96,7 +104,7 @@ def weights(counts: np.ndarray, n_docs: int, items: Items) -> np.ndarray:
     for c in items.codes:
         in_items[np.unique(c)] += 1
     of_docs = 1 - np.log1p(counts) / np.log(n_docs + 2)
-    of_items = 1 - np.log(np.maximum(in_items, 1)) / np.log(len(items.codes) + 1)
+    of_items = 1 - np.log(np.maximum(in_items, 1)) / np.log(max(len(items.codes) + 1, 2))
     out = np.clip(np.round(RAREST * of_docs * of_items**2), COMMONEST, RAREST).astype(np.int64)
     out[0] = 0
     return out
@@ -257,7 +265,7 @@ def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(own)
         held = cut(_seed_pass(docs, shared))
         weight = spark.sparkContext.broadcast(weights(_sums(held, "n_words", len(own.vocabulary) + 1), n_docs, own))
-        rare = _sums(held, "n_seeds", len(own.triples)) <= max(COMMON * n_docs, 1)
+        rare = (_sums(held, "n_seeds", len(own.triples)) <= max(COMMON * n_docs, 1)) | own.own_triples()
         holders = [(t, k) for t, ks in enumerate(own.holders) if rare[t] for k in ks]
         per_item = Counter(k for _, k in holders)
         which = F.broadcast(spark.createDataFrame([(t, k, max(SEED_LEAST, int(SEED_SHARE * per_item[k]))) for t, k in holders], "seed int, item int, least int"))
