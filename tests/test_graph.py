@@ -159,3 +159,19 @@ def test_sessions_and_recall(spark):
     assert pairs(S.fetches(entries), "t", "arg", "question") == {(1010, "a.OrderRepository", "where is the order stored"), (1202, "b.Ship", "what cancels shipments")}
     asked = spark.createDataFrame([("how are orders stored?",), ("nothing alike",), ("",)], "question string")
     assert pairs(S.recall(entries, asked), "question", "arg", "place") == {("how are orders stored?", "a.OrderRepository", 1)}
+
+
+def test_questions(spark, project):
+    from graphloom.api import CodeGraph, fitted
+
+    q = CodeGraph(project)
+    assert pairs(q.resolve("OrderService", "OrderService#open", "nothing"), "name", "id") == {("OrderService", "a.OrderService"), ("OrderService#open", "a.OrderService#open()")}
+    affected = q.impact("OrderRepository", 3)
+    assert ("a.OrderController#list()", 2) in pairs(affected, "id", "distance") and pairs(q.tests_to_run(affected), "id") == {("a.OrderServiceTest",)}
+    assert [r["id"] for r in q.search("order service", 3, ["CLASS"]).collect()][:1] == ["a.OrderService"]
+    assert pairs(q.routes("/orders"), "id", "handler") == {("route:GET /orders", "a.OrderController#list()")}
+    assert q.flow("GET /orders").count() == 1 and q.get_node("a.Order").count() == 1 and q.neighbors("b.Util1#f()").count() == 4
+    assert ("dead-code", "c.LegacyRow") in pairs(q.findings(), "kind", "subject")
+    assert "c.LegacyRow" in q.report() and q.compare(q)[0].count() == 0
+    text = fitted({"affected": affected}, 20, ["distance", "id"])
+    assert len(text) // 4 <= 22 and '"omitted"' in text
