@@ -39,7 +39,7 @@ FUNCTION_WORDS = frozenset(
 )
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w.@(\"])(?:[a-z0-9-]+\.)+[a-z]{2,}/[^\s<>\"')\]]+")
 _TAG = re.compile(r"<(?:a\s[^<>]*?href\s*=\s*[\"']?([^\"'<>\s]*)[^<>]*|/?[a-zA-Z][^<>]*)>")
-_SEPARATOR = re.compile(r"[,|/•;+~_>·★\n]|\s-\s|\s\*\s")
+_SEPARATOR = re.compile(r"[,|/•;+~_>·★\n]|\s-\s|\s\*\s|#(?=\w)")
 _MENU = re.compile(r"[>|»›·•]")
 _CODE = re.compile(
     r"^\s*(?:import|package)\s+[\w.*]+;|\w\([^()]*\)|[{}]|\s[=!<>]?=\s|\breturn\b.*;|^\s*(?:at\s)?[\w$.]+\.[\w$]+\(|^\d{4}-\d\d-\d\d[T ]|^\s*[\w.-]+:\s*[^\s,]*\s*(?:#.*)?$|^\s*[\w.-]+=\S*\s*$|^\s*(?://|/?\*\*?\s|@\w)", re.M)
