@@ -23,6 +23,8 @@ FIT_DOCUMENTS, FIT_SEGMENTS = 3_000, 200
 FIT_ROUNDS, BELIEF = 6, 0.5
 #: Characters of a segment, at least and at most.
 SHORT, LONG = 60, 220
+#: Characters of the texts that a task looks at together.
+TOGETHER = 4_000_000
 #: A page with more than this share of its words outside prose is flagged.
 FLAGGED = 0.5
 
@@ -233,6 +235,19 @@ def _sample(docs: DataFrame) -> list[np.ndarray]:
     return [np.array(r[1], dtype=np.int64) for r in rows if r[1]]
 
 
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of texts of TOGETHER characters, or one longer text, each with its place."""
+    start, n = 0, 0
+    for k, text in enumerate(texts):
+        more = len(text or "")
+        if k > start and n + more > TOGETHER:
+            yield start, texts[start:k]
+            start, n = k, 0
+        n += more
+    if texts:
+        yield start, texts[start:]
+
+
 def shares(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, and the words of each document in links, tags and menus.
 
@@ -241,12 +256,12 @@ def shares(docs: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            counts, symbols, size = observe(texts)
-            states = likeliest(counts, symbols, model.value)
-            doc = np.repeat(np.arange(len(texts)), counts)
-            of = {s: np.bincount(doc, weights=size * (states == k), minlength=len(texts)).astype(np.int64) for k, s in enumerate(STATES)}
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_words": pa.array(sum(of.values())), "links": pa.array(of["links"]), "tags": pa.array(of["tags"]), "menu": pa.array(of["menu"])})
+            for start, texts in _parts(b.column("text").to_pylist()):
+                counts, symbols, size = observe(texts)
+                states = likeliest(counts, symbols, model.value)
+                doc = np.repeat(np.arange(len(texts)), counts)
+                of = {s: np.bincount(doc, weights=size * (states == k), minlength=len(texts)).astype(np.int64) for k, s in enumerate(STATES)}
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(start, len(texts)), "n_words": pa.array(sum(of.values())), "links": pa.array(of["links"]), "tags": pa.array(of["tags"]), "menu": pa.array(of["menu"])})
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(look, "doc_id long, n_words long, links long, tags long, menu long")
 

@@ -167,3 +167,10 @@ def test_empty_and_dirty_tables(spark, folders, name):
 @pytest.mark.parametrize("name", ["p3_found", "p6_ids", "p7_found", "p8_found"])
 def test_extra_columns(spark, folders, name):
     assert rows(queries.QUERIES[name](spark, folders["wide"])) == rows(queries.QUERIES[name](spark, DATA))
+
+
+def test_parts_hold_all_texts(monkeypatch):
+    monkeypatch.setattr(spam, "TOGETHER", 10)
+    texts = ["abc", None, "x" * 30, "", "abcdefgh", "abc"]
+    parts = list(spam._parts(texts))
+    assert [t for _, p in parts for t in p] == texts and [s for s, _ in parts] == [0, 2, 3, 5] and list(spam._parts([])) == []
