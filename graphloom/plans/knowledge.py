@@ -13,6 +13,7 @@ from graphloom.operators import flows as L
 from graphloom.operators import graph as G
 from graphloom.operators import kernels as K
 from graphloom.plans import sql
+from graphloom.plans.walks import ORACLE as _WALKS
 
 
 def flow_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -180,4 +181,7 @@ ORACLE = {
     "dependencies": f"{_G} select e.src as module, e.dst as artifact, coalesce(n.origin <> 'EXTERNAL', false) as internal from e left join n on n.id = e.dst and n.kind = 'ARTIFACT' where e.kind = 'DEPENDS_ON_ARTIFACT'",
     "injections": f"{_G}, p as (select distinct dst as bean, split_part(src, '#', 1) as provider from e where kind = 'PROVIDES_BEAN'), k as (select *, count(*) over (partition by bean) as c from p) select distinct e.src, bean, provider, round(1.0::double / c, 6) as confidence from e join k on k.bean = e.dst where e.kind = 'INJECTS'",
     "self_calls": f"{_G} select e.src, e.dst, e.line from e join n on n.id = e.dst where e.kind = 'CALLS' and e.src <> e.dst and split_part(e.src, '#', 1) = split_part(e.dst, '#', 1) and n.kind = 'METHOD' and len(json_keys(n.attrs['annotations']::json)) > 0",
+    "findings": "select kind, severity, subject, count(*) as n from ("
+    f"select 'layer-violation' as kind, 'warning' as severity, src as subject from ({_WALKS['layer_violations']}) union all select 'cyclic-packages', 'warning', id from ({_WALKS['package_rings']}) where id = component "
+    f"union all select 'version-conflict', 'info', src from ({_WALKS['version_conflicts']}) union all select 'untested-god-node', 'info', id from ({_WALKS['untested_gods']}) union all select 'dead-code', 'info', id from ({_WALKS['dead_classes']})) group by all",
 }

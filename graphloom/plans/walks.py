@@ -194,6 +194,12 @@ ORACLE = {
         calls as (select src, dst from e where kind = 'CALLS' and src in (select id from fit)), st as (select id as start, id, 0 as l from n where kind = 'METHOD' and split_part(id, '#', 1) in (select id from n where kind in {sql.CODE} and attrs['layer'] in ('repository','client'))),
         r as (select * from st union select r.start, c.src, r.l + 1 from r join calls c on c.dst = r.id where r.l < 4), lv as (select start, id, min(l) as l from r group by all)
         select start, id as top from lv where l > 0 and id in (select id from fit where top) qualify row_number() over (partition by start order by l desc, id) = 1""",
+    "call_chains": f"""{_G}, lay as (select id, attrs['layer'] as layer from n where kind in {sql.CODE}), fit as (select n.id, case when l.layer in ('controller','service','repository','client') then 0 when l.layer in ('util','config') then 2 when l.layer = 'model' then 3 else 1 end as rank,
+        n.id not in (select src from e where kind = 'CALLS') as ends from n left join lay l on l.id = split_part(n.id, '#', 1) where n.origin <> 'EXTERNAL' and n.file is not null and not {sql.TEST.format('n.')}),
+        ways as (select e.src, e.dst, fit.rank, fit.ends, list_position(['EXACT','CHA','SPRING','HEURISTIC'], e.resolution) as sure, e.confidence from e join fit on fit.id = e.dst where e.kind = 'CALLS' or (e.kind = 'DISPATCHES_TO' and e.confidence >= 0.2)),
+        c0 as (select distinct src as start, src as id, [src] as path from e where kind = 'HANDLES_ROUTE')"""
+    + "".join(f""", c{i + 1} as (select c.start, w.dst as id, list_append(c.path, w.dst) as path from c{i} c join ways w on w.src = c.id where not list_contains(c.path, w.dst) qualify row_number() over (partition by c.start order by w.rank, w.ends, w.sure, w.confidence desc, w.dst) = 1)""" for i in range(3))
+    + " select start, 0 as step, id from c0 where start in (select start from c1) union all select start, 1, id from c1 union all select start, 2, id from c2 union all select start, 3, id from c3",
     "class_projection": f"{_G}, {_PROJ} select src, dst, round(weight, 4) as weight from proj",
     "in_degree": f"{_G}, {_PROJ} select dst as id, count(*) as n from proj group by dst",
     "layers": f"{_G}, {_PROJ}, {_LAYERS} select * from lay",
