@@ -1,8 +1,9 @@
-"""Evaluation passages in a training corpus: rare n-gram seeds, then local alignment.
+"""Evaluation passages in a training corpus: n-gram seeds, then local alignment.
 
-A first pass over all texts notes which word triples of the items each document holds. Triples that many documents hold, such as turns of phrase, are
-no seeds. Pairs of a document and an item with enough seeds are aligned by Smith and Waterman's recurrence over words, many pairs in one array;
-the best stretch is taken out and a second one sought. Items are taken in blocks, so what is broadcast has a bound.
+A first pass over all texts counts for each document and item how many seeds, word triples of the item, the document holds. Triples that several items hold, such
+as turns of phrase, are no seeds, however rare or common they are in the corpus; an item that would keep too few has them all. Pairs with enough seeds are aligned by
+Smith and Waterman's recurrence over words, many pairs in one array; the best stretch is taken out and a second one sought. Items are taken in blocks,
+so what is broadcast has a bound.
 """
 
 from __future__ import annotations
@@ -21,9 +22,7 @@ from graphloom.llm.words import words
 
 #: Items of one block; their words and triples are what is broadcast.
 ITEMS_PER_BLOCK = 5_000
-#: A triple that more than this share of all documents hold is no seed, unless it is a single item's own.
-COMMON = 0.01
-#: A sentence that opens at least so many items is a stock instruction.
+#: A sentence that opens at least so many items is a stock instruction, a triple that so many hold a turn of phrase.
 STOCK_ITEMS = 3
 #: A pair is aligned if it shares this share of the item's triples, three at least.
 SEED_SHARE, SEED_LEAST = 0.1, 3
@@ -57,15 +56,33 @@ class Items:
             for t in triples(c).tolist():
                 holders[t].add(k)
         self.triples = np.array(sorted(holders), dtype=np.int64)
-        self.holders = [sorted(holders[t]) for t in self.triples.tolist()]
-
-    def own_triples(self) -> np.ndarray:
-        """Whether a triple stands in one item only and has a word that does: such are seeds however many documents copied the item."""
-        in_items = Counter(w for c in self.codes for w in set(c.tolist()))
-        words_of = ((self.triples >> 42) & 0x1FFFFF, (self.triples >> 21) & 0x1FFFFF, self.triples & 0x1FFFFF)
-        single = np.array([in_items[w] == 1 for w in range(len(self.vocabulary) + 1)])
-        one = np.array([len(h) == 1 for h in self.holders], dtype=bool)
-        return one & (single[words_of[0]] | single[words_of[1]] | single[words_of[2]]) if len(one) else one
+        holding = np.array([(t, k) for t, key in enumerate(self.triples.tolist()) for k in sorted(holders[key])], dtype=np.int64).reshape(-1, 2)
+        seed = np.bincount(holding[:, 0], minlength=len(self.triples)) < STOCK_ITEMS
+        whole = np.array([self._few(k, seed) for k in range(len(self.ids))], dtype=bool)
+        holding = holding[seed[holding[:, 0]] | whole[holding[:, 1]]]
+        #: The items that triple t is a seed of are held[starts[t]:starts[t + 1]].
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(holding[:, 0], minlength=len(self.triples)))])
+        self.held = holding[:, 1]
+        self.least = _least(np.bincount(self.held, minlength=len(self.ids)))
+
+    def _few(self, k: int, seed: np.ndarray) -> bool:
+        """Whether some stretch that counts as a passage of item k holds fewer than twice the seeds that a pair needs, if only triples that are seeds of all items count."""
+        numbers = np.searchsorted(self.triples, triples(self.codes[k]))
+        need = 2 * _least(np.unique(numbers[seed[numbers]]).size)
+        long = max(1, int(np.ceil((COVERED_SENTENCE if self.single[k] else COVERED) * len(self.codes[k]))) - 2)
+        parts = (numbers[i : i + long] for i in range(max(1, len(numbers) - long + 1)))
+        return any(np.unique(p[seed[p]]).size < need for p in parts)
+
+    def candidates(self, found: np.ndarray) -> np.ndarray:
+        """The items of which a text that holds these different triples has seeds enough for a pair."""
+        n = self.starts[found + 1] - self.starts[found]
+        at = np.repeat(self.starts[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.flatnonzero(np.bincount(self.held[at], minlength=len(self.ids)) >= self.least)
+
+
+def _least(n_seeds):
+    """How many seeds a pair needs of an item with so many."""
+    return np.maximum(SEED_LEAST, (SEED_SHARE * np.asarray(n_seeds)).astype(np.int64))
 
 
 def sentences(text: str | None) -> list[str]:
@@ -193,31 +210,30 @@ def _codes(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
 
 
 def _seed_pass(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, seeds: the triples that a document holds, where they are enough for a pair; and with a null doc_id, per task, how many documents hold each
-    word and each triple."""
+    """doc_id, items: the places of the items of which a document holds enough seeds, if there are any; and with a null doc_id, per task, how many documents hold each word."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        n_words, n_seeds = np.zeros(len(items.vocabulary) + 1, dtype=np.int64), np.zeros(len(items.triples), dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("seeds", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int64())), ("n_seeds", pa.list_(pa.int64()))])
+        n_words = np.zeros(len(items.vocabulary) + 1, dtype=np.int64)
+        schema = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int64()))])
         for b in batches:
-            ids, seeds = [], []
+            ids, held = [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 codes = _codes(text.as_py(), items.vocabulary)
-                found = np.unique(seeds_of(codes, items.triples)[1])
                 n_words[np.unique(codes)] += 1
-                n_seeds[found] += 1
-                if len(found) >= SEED_LEAST:
+                found = np.unique(seeds_of(codes, items.triples)[1])
+                near = items.candidates(found) if len(found) >= SEED_LEAST else ()
+                if len(near):
                     ids.append(doc)
-                    seeds.append(found.tolist())
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "seeds": seeds, "n_words": [None] * len(ids), "n_seeds": [None] * len(ids)}, schema=schema)
-        yield pa.RecordBatch.from_pydict({"doc_id": [None], "seeds": [None], "n_words": [n_words.tolist()], "n_seeds": [n_seeds.tolist()]}, schema=schema)
+                    held.append(near.tolist())
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "items": held, "n_words": [None] * len(ids)}, schema=schema)
+        yield pa.RecordBatch.from_pydict({"doc_id": [None], "items": [None], "n_words": [n_words.tolist()]}, schema=schema)
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(look, "doc_id long, seeds array<int>, n_words array<long>, n_seeds array<long>")
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(look, "doc_id long, items array<int>, n_words array<long>")
 
 
 def _sums(held: DataFrame, column: str, n: int) -> np.ndarray:
-    """The sums over all tasks, one number for each word or triple of the block."""
+    """The sums over all tasks, one number for each word of the block."""
     out = np.zeros(n, dtype=np.int64)
     for at, total in held.where("doc_id is null").select(F.posexplode(column).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).where("n > 0").collect():
         out[at] = total
@@ -265,13 +281,7 @@ def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(own)
         held = cut(_seed_pass(docs, shared))
         weight = spark.sparkContext.broadcast(weights(_sums(held, "n_words", len(own.vocabulary) + 1), n_docs, own))
-        rare = (_sums(held, "n_seeds", len(own.triples)) <= max(COMMON * n_docs, 1)) | own.own_triples()
-        holders = [(t, k) for t, ks in enumerate(own.holders) if rare[t] for k in ks]
-        per_item = Counter(k for _, k in holders)
-        which = F.broadcast(spark.createDataFrame([(t, k, max(SEED_LEAST, int(SEED_SHARE * per_item[k]))) for t, k in holders], "seed int, item int, least int"))
-        pairs = held.where("doc_id is not null").select("doc_id", F.explode("seeds").alias("seed")).join(which, "seed")
-        pairs = pairs.groupBy("doc_id", "item").agg(F.count_distinct("seed").alias("n"), F.max("least").alias("least")).where("n >= least")
-        candidates = pairs.groupBy("doc_id").agg(F.collect_set("item").alias("items"))
+        candidates = held.where("doc_id is not null").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         part = _align_pass(docs, candidates, shared, weight)
         result = part if result is None else result.unionByName(part)
     return result

@@ -132,6 +132,27 @@ def test_leaks_of_planted_copies(spark):
     assert leaks.leaked(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_an_item_in_a_third_of_the_documents(spark):
+    rnd = random.Random(5)
+    known = [a + b for a in ("lan", "doc", "vau", "cra", "hin", "tra", "nod", "gau", "wir", "zon") for b in ("da", "ke", "li", "mo", "nu", "pa", "re", "si", "to", "vu")]
+    text = lambda w: ". ".join(" ".join(w[k : k + 15]) for k in range(0, len(w), 15)) + "."
+    items = []
+    for k in range(0, 24, 2):  # no word stands in one item only
+        w = rnd.sample(known, 60)
+        items += [(k, text(w)), (k + 1, text(rnd.sample(w, 60)))]
+    texts, planted = [], set()
+    for d in range(300):
+        body = text([rnd.choice(known) for _ in range(80)])
+        if d % 3 == 0:
+            copied = items[0][1].split(" ")
+            start = rnd.randrange(33)
+            body += " " + " ".join(copied[start : start + 27])
+            planted.add((d, 0))
+        texts.append((d, body))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {tuple(r) for r in leaks.leaked(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} == planted
+
+
 PROSE = "The default of the queue is twelve, which suits a small store with few readers. Older builds lock it twice; newer ones leave that to the pool. "
 SPAM = ["cheap jar, buy plugin, jar download, " * 40, "\n".join(f"{k}. buy jar https://mirror.x{k}.test/a/b.html" for k in range(30)), "Home > jar > buy > plugin free\n" * 20, "\n".join(f"https://wiki.x{k}.example/p?q=1" for k in range(30)), "jar tool (12) buy (7) crack zone (99) " * 30, PROSE[:70] + "\n\n" + "Get jar now. Best pdf download. Buy cheap, buy jar. " * 20]
 PLAIN = [PROSE * 5, "\n".join(f"- [p{k}](https://x{k}.test/a): {PROSE}" for k in range(8)), "\n".join(f'    implementation("org.a{k}:b-c:1.{k}.2")' for k in range(30)), "\n".join(f"2025-01-01T00:00:{k:02} INFO [w-1] Pool - tallied {k} rows" for k in range(30)), "\n".join(f"  pool-rows{k}: {k}" for k in range(40)),
