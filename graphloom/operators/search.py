@@ -15,6 +15,8 @@ K1, B = 1.2, 0.75
 STOP = ("the", "and", "for", "how", "what", "which", "where", "when", "why", "who", "does", "did", "are", "was", "were", "has", "have", "that", "this", "with", "from", "into", "out", "its", "all", "any", "can", "not", "you", "use", "used", "get", "gets", "there", "after", "before")
 #: Seconds after a question in which a fetch belongs to it, and the share of words that makes two questions alike.
 REMEMBERED, ALIKE = 120, 0.5
+#: The kinds of nodes whose names are the project's own words.
+OWN_KINDS = ("CLASS", "INTERFACE", "ENUM", "RECORD", "METHOD", "FIELD", "CONFIG_KEY", "HTTP_ROUTE")
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -120,3 +122,29 @@ def nearby(words: DataFrame, vocab: DataFrame, top: int = 20) -> DataFrame:
     met = words.where("length(word) >= 4").select("word", F.substring("word", 1, 4).alias("k")).join(vocab.where("length(term) >= 4").select("term", "n", F.substring("term", 1, 4).alias("k")), "k").where("word <> term")
     place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "term"))
     return met.withColumn("place", place).where(F.col("place") <= top).select("word", "term", "n", "place")
+
+
+def own_vocabulary(nodes: DataFrame) -> DataFrame:
+    """term, n: the pieces of 3 to 30 characters of the names of the project's own classes, methods, fields, configuration keys and routes, with how often they stand there.
+
+    A member's name is what stands before its parameters, whose types the reference takes instead where they have dots."""
+    member = F.substring_index(F.substring_index(F.substring_index(F.substring_index("id", "(", 1), "#", -1), ".", -1), "$", -1)
+    name = F.when(F.col("kind").isin("CONFIG_KEY", "HTTP_ROUTE"), F.col("fqn")).otherwise(member)
+    own = nodes.where(F.col("kind").isin(*OWN_KINDS) & (F.coalesce("origin", F.lit("")) != "EXTERNAL"))
+    pieces = own.select(F.explode(F.split(name, r"[^\p{Alnum}]+|(?<=[a-z0-9])(?=[A-Z])")).alias("term"))
+    return pieces.select(F.lower("term").alias("term")).where("length(term) between 3 and 30").groupBy("term").agg(F.count("*").alias("n"))
+
+
+def own_nearby(words: DataFrame, vocab: DataFrame, top: int = 20) -> DataFrame:
+    """word, term, n, place: terms that begin with a word's first four letters or whose first four begin the word, or that contain its first five; the commonest
+    first; a top-k report per word. Words and terms of three letters count whole. All ways are equal joins on short pieces, which are distinct per term."""
+    key = lambda how, c: F.struct(F.lit(how).alias("how"), c.alias("piece"))
+    long = lambda c, n, some: F.when(F.length(c) >= n, some)
+    piece = lambda c, k, n: F.substring(c, k, n)
+    exact = lambda c, how, other: F.when(F.length(c) == 3, key(how, F.col(c))).otherwise(key(other, piece(c, 1, 4)))
+    asked = F.array(exact("word", "word", "four"), key("term", piece("word", 1, 3)), long("word", 5, key("five", piece("word", 1, 5))))
+    inner = F.when(F.length("term") >= 5, F.transform(F.sequence(F.lit(1), F.length("term") - 4), lambda k: key("five", F.substring(F.col("term"), k, F.lit(5))))).otherwise(F.array())
+    held = F.array_distinct(F.concat(F.array(exact("term", "term", "four"), key("word", piece("term", 1, 3))), inner))
+    met = words.where("length(word) >= 3").distinct().select("word", F.explode(asked).alias("k")).where("k is not null").join(vocab.where("length(term) >= 3").select("term", "n", F.explode(held).alias("k")), "k")
+    place = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("n"), "term"))
+    return met.where("word <> term").select("word", "term", "n").distinct().withColumn("place", place).where(F.col("place") <= top).select("word", "term", "n", "place")

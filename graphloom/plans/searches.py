@@ -62,6 +62,17 @@ def vocabulary_near(spark: SparkSession, d: str) -> DataFrame:
     return S.nearby(words.join(vocab.select(F.col("term").alias("word")), "word", "left_anti"), vocab)
 
 
+def vocabulary_own(spark: SparkSession, d: str) -> DataFrame:
+    return S.own_vocabulary(G.load(spark, d).nodes)
+
+
+def vocabulary_own_near(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of all own nodes near the words of logged questions that are no such term."""
+    vocab = cut(S.own_vocabulary(G.load(spark, d).nodes))
+    words = S.log_entries(table(spark, d, "query_log")).where("kind = 'explain'").select(F.explode(S.question_words("arg")).alias("word")).distinct()
+    return S.own_nearby(words.join(vocab.select(F.col("term").alias("word")), "word", "left_anti"), vocab)
+
+
 def bench_scores(spark: SparkSession, d: str) -> DataFrame:
     """How much of each item's expected ids its text names: precision, recall and the upper median of text lengths in tokens per suite.
 
@@ -78,7 +89,7 @@ def bench_scores(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("suite").agg(F.count("*").alias("n"), F.round(F.avg(precision), 6).alias("precision"), F.round(F.avg(recall), 6).alias("recall"), F.round(F.avg((recall >= 0.999).cast("int")), 6).alias("full_share"), median.alias("median_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (name_terms, stems, index_terms, search_classes, log_sessions, log_fetches, recalled, vocabulary, vocabulary_near, bench_scores)}
+QUERIES = {f.__name__: f for f in (name_terms, stems, index_terms, search_classes, log_sessions, log_fetches, recalled, vocabulary, vocabulary_near, vocabulary_own, vocabulary_own_near, bench_scores)}
 
 _G = f"with recursive {sql.graph()}"
 _TERMS = "trim(regexp_replace(fqn, '[.#$(),\\[\\]<>]+', ' ', 'g'), ' ')"

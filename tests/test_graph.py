@@ -152,6 +152,18 @@ def test_communities(spark):
         assert len({(levels[lower][v], levels[upper][v]) for v in levels[0]}) == len(set(levels[lower].values()))
 
 
+def test_own_vocabulary(spark):
+    nodes = [("a.OrderStore", "CLASS", "REPO", "a.OrderStore"), ("a.OrderStore$Key", "RECORD", None, "a.OrderStore.Key"), ("a.OrderStore#saveOrder(java.lang.String)", "METHOD", "REPO", "x"), ("a.OrderStore#tax", "FIELD", "REPO", "x"),
+             ("config:spring.datasource.url", "CONFIG_KEY", "REPO", "spring.datasource.url"), ("route:GET /carts/{id}", "HTTP_ROUTE", "REPO", "GET /carts/{id}"), ("lib.Outside", "CLASS", "EXTERNAL", "lib.Outside"), ("a.Marked", "ANNOTATION", "REPO", "a.Marked")]
+    vocab = S.own_vocabulary(spark.createDataFrame(nodes, "id string, kind string, origin string, fqn string"))
+    counts = dict(pairs(vocab, "term", "n"))
+    assert counts == {"order": 2, "store": 1, "key": 1, "save": 1, "tax": 1, "spring": 1, "datasource": 1, "url": 1, "get": 1, "carts": 1}
+    words = ["sourcery", "taxes", "ord", "car", "keyboard", "urn", "storage", "order", "datas", "or"]
+    expected = {(w, t) for w in words for t in counts if len(w) > 2 and w != t and (t.startswith(w[:4]) or w.startswith(t[:4]) or (len(w) > 4 and w[:5] in t))}
+    assert {("sourcery", "datasource"), ("taxes", "tax"), ("ord", "order")} <= expected
+    assert pairs(S.own_nearby(spark.createDataFrame([(w,) for w in words], "word string"), vocab), "word", "term") == expected
+
+
 def test_sessions_and_recall(spark):
     log = [(1000, " Explain", "where is the order stored"), (1010, "source", "a.OrderRepository"), (1200, "node", "a.Late"), (1201, "explain", "what cancels shipments"), (1202, "SOURCE", "b.Ship"), (1202, "source", "b.Ship"), (None, "source", "x"), (7200, "source", None)]
     entries = S.log_entries(spark.createDataFrame(log, "t long, kind string, arg string"))
