@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.common import cut
+from graphloom.functions.names import package
 
 #: Betweenness is exact up to so many nodes; beyond, so many sources with the smallest hashes stand for all.
 EXACT_NODES, SAMPLED_SOURCES = 2_000, 200
-#: Resolutions of the levels of communities, finest first, and rounds of moves on each.
-RESOLUTIONS, MOVES = (1.0, 0.4, 0.15), 12
+#: Resolutions of the levels of communities, finest first.
+RESOLUTIONS = (1.0, 0.4, 0.15)
+#: Packages of so many classes, least and most, draw their classes together.
+PACKAGES = (2, 200)
 
 
 def undirected(projection: DataFrame) -> DataFrame:
@@ -57,33 +60,61 @@ def betweenness(projection: DataFrame, ids: DataFrame) -> DataFrame:
 def _moved(links: DataFrame, resolution: float) -> DataFrame:
     """id, community: nodes of weighted links (both directions, loops allowed) gathered by moves that raise modularity; named by a node's id.
 
-    In each round half of the nodes, by hash, may go to the neighbouring community with the greatest gain, the smaller name of equals; the halves
-    alternate, so two nodes never trade places for ever."""
+    In each round half of the nodes, by hash, may go to the neighbouring community with the greatest gain, the smaller name of equals; two successive
+    rounds have both halves, and each two part the nodes anew. It ends when two such rounds change nothing. Moves of one round don't see each other, so they may
+    go round in rings; if the number of moves twice wasn't the least yet, a node moves only if no better move touches the two communities, which raises modularity by
+    each move, so that ends as well."""
     degrees = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
     double = degrees.agg(F.sum("k")).first()[0] or 1.0
     state = cut(degrees.select("id", "k", F.col("id").alias("community")))
-    for turn in range(MOVES):
+    turn, moves, least, worse, alone = 0, 0, None, 0, False
+    while True:
         mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
         near = links.where("src <> dst").join(state.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"))
-        turned = state.where(F.pmod(F.hash("id") + turn, F.lit(2)) == 0).select("id", "k", F.col("community").alias("own"))
+        turned = state if alone else state.where(F.pmod(F.xxhash64("id", F.lit(turn // 2)) + turn, F.lit(2)) == 0)
+        turned = turned.select("id", "k", F.col("community").alias("own"))
         options = turned.join(near.unionByName(state.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.max("w").alias("w")), "id").join(mass, "community")
         rest = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(double), 9)
-        best = options.groupBy("id").agg(F.min(F.struct((-gain).alias("less"), F.when(F.col("community") == F.col("own"), 0).otherwise(1).alias("move"), "community"))["community"].alias("best"))
-        after = cut(state.join(best, "id", "left").select("id", "k", F.coalesce("best", "community").alias("community"), (F.coalesce("best", "community") != F.col("community")).alias("changed")))
-        still = after.where("changed").isEmpty()
-        state = after.drop("changed")
-        if still and turn:
-            break
+        stays = F.max(F.when(F.col("community") == F.col("own"), gain)).alias("stays")
+        best = options.groupBy("id", "own").agg(F.min(F.struct((-gain).alias("less"), F.when(F.col("community") == F.col("own"), 0).otherwise(1).alias("move"), "community")).alias("b"), stays).where("b.move = 1")
+        best = cut(best.select("id", "own", F.col("b.community").alias("best"), (-F.col("b.less") - F.col("stays")).alias("more")))
+        moves += best.count()
+        if alone and moves:
+            touched = best.select("id", "more", F.explode(F.array("own", "best")).alias("c"))
+            first = touched.groupBy("c").agg(F.max(F.struct("more", "id"))["id"].alias("id"))
+            best = best.join(first.groupBy("id").agg(F.count("*").alias("n")).where("n = 2"), "id")
+        state = cut(state.join(best.select("id", "best"), "id", "left").select("id", "k", F.coalesce("best", "community").alias("community")))
+        turn += 1
+        if alone or turn % 2 == 0:
+            if not moves:
+                break
+            worse = worse + 1 if least is not None and moves >= least else 0
+            least = moves if least is None else min(least, moves)
+            alone, moves = alone or worse > 1, 0
     names = state.groupBy("community").agg(F.min("id").alias("name"))
     return state.join(names, "community").select("id", F.col("name").alias("community"))
 
 
-def communities(projection: DataFrame) -> DataFrame:
+def package_links(ids: DataFrame) -> DataFrame:
+    """src, dst, weight: 2 / size for each pair of classes (id) of a package whose size lies in PACKAGES; no class has more pairs than the largest size."""
+    of = cut(ids.select("id", package("id").alias("_p")).distinct())
+    sized = of.join(of.groupBy("_p").agg(F.count("*").alias("_n")).where(F.col("_n").between(*PACKAGES)), "_p")
+    pairs = sized.select("_p", "_n", F.col("id").alias("src")).join(of.select("_p", F.col("id").alias("dst")), "_p").where("src < dst")
+    return pairs.select("src", "dst", (F.lit(2.0) / F.col("_n")).alias("weight"))
+
+
+def communities(projection: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """id, level, community: classes gathered on ever coarser levels, each community of a level a union of those below; named by their smallest class.
 
-    Classes without any link are in no community."""
+    Where ids (id) are given, classes of a package are drawn together, and a class without any link is a community of its own; else it is in none."""
+    alone = None
+    if ids is not None:
+        projection = projection.select("src", "dst", "weight").unionByName(package_links(ids))
     links = cut(undirected(projection))
+    if ids is not None:
+        alone = ids.select("id").distinct().join(links.select(F.col("src").alias("id")), "id", "left_anti")
+        alone = alone.select("id", F.explode(F.array(*(F.lit(k) for k in range(len(RESOLUTIONS))))).alias("level"), F.col("id").alias("community"))
     found, out = None, None
     for level, resolution in enumerate(RESOLUTIONS):
         moved = _moved(links, resolution)
@@ -92,4 +123,4 @@ def communities(projection: DataFrame) -> DataFrame:
         out = named if out is None else out.unionByName(named)
         inside = moved.select(F.col("id").alias("src"), F.col("community").alias("a"))
         links = cut(links.join(inside, "src").join(moved.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
-    return out
+    return out if alone is None else out.unionByName(alone)

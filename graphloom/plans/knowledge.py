@@ -46,7 +46,8 @@ def god_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return K.communities(cut(D.class_projection(G.load(spark, d))))
+    g = G.load(spark, d)
+    return K.communities(cut(D.class_projection(g)), D.classes(g).select("id"))
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[G.Graph, G.Graph]:

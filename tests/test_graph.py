@@ -152,6 +152,23 @@ def test_communities(spark):
         assert len({(levels[lower][v], levels[upper][v]) for v in levels[0]}) == len(set(levels[lower].values()))
 
 
+def test_communities_of_packages_and_chains(spark):
+    links = [(f"p{p}.C{k}", f"p{p}.C{k + 1}", 1.0) for p in range(3) for k in range(3)]
+    ids = [(f"p{p}.C{k}",) for p in range(3) for k in range(6)] + [("q.Only",)]  # C4 and C5 have no link but their package's
+    found = K.communities(spark.createDataFrame(links, "src string, dst string, weight double"), spark.createDataFrame(ids, "id string")).collect()
+    assert {(r["id"], r["community"]) for r in found if r["level"] == 0} == {(i, "q.Only" if i == "q.Only" else f"{i[:2]}.C0") for i, in ids}
+    chain = [(f"n{k:03}", f"n{k + 1:03}", 1.0) for k in range(120)]
+    near, level = {}, {}
+    for a, b, _ in chain:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    both = spark.createDataFrame([(a, b, w) for x, y, w in chain for a, b in ((x, y), (y, x))], "src string, dst string, weight double")
+    level = dict(pairs(K._moved(both, 1.0), "id", "community"))
+    mass = lambda c: sum(len(near[v]) for v in near if level[v] == c)
+    gain = lambda v, c: sum(level[w] == c for w in near[v]) - len(near[v]) * (mass(c) - len(near[v]) * (level[v] == c)) / 240
+    assert all(gain(v, level[w]) <= gain(v, level[v]) + 1e-8 for v in near for w in near[v])
+
+
 def test_own_vocabulary(spark):
     nodes = [("a.OrderStore", "CLASS", "REPO", "a.OrderStore"), ("a.OrderStore$Key", "RECORD", None, "a.OrderStore.Key"), ("a.OrderStore#saveOrder(java.lang.String)", "METHOD", "REPO", "x"), ("a.OrderStore#tax", "FIELD", "REPO", "x"),
              ("config:spring.datasource.url", "CONFIG_KEY", "REPO", "spring.datasource.url"), ("route:GET /carts/{id}", "HTTP_ROUTE", "REPO", "GET /carts/{id}"), ("lib.Outside", "CLASS", "EXTERNAL", "lib.Outside"), ("a.Marked", "ANNOTATION", "REPO", "a.Marked")]
