@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n\f\u000b "
@@ -71,17 +71,65 @@ def latest_rows(df: DataFrame, keys: list[str], by: str = "loaded_at") -> DataFr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where that is unset, as in tests, a temporary one is made."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset a temporary one is made, but only if all tasks run on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     """The same rows from a table written to the shared folder, so that a lost executor costs a read and not a replay.
 
-    A table, as its true size plans the joins behind it; the size that Spark estimates for a checkpoint multiplies with every round of a loop."""
+    A table, as its true size plans the joins behind it; the size that Spark estimates for a checkpoint multiplies with every round of a loop.
+    instead: what an earlier cut gave and nothing needs any more, as the state before in a loop; its table is deleted."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    drop(instead)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def cut_measured(df: DataFrame, instead: DataFrame | None = None, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut, and aggregates of the rows that are taken while they are written, so that a loop's test costs no job; an aggregate of no rows is 0."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(name) for name, c in measures.items())), instead)
+    got = seen.get
+    return out, {name: got.get(name) or 0 for name in measures}
+
+
+def drop(df: DataFrame | None) -> None:
+    """Deletes the table behind what cut gave."""
+    path = getattr(df, "_cut_path", None) if df is not None else None
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def meet(rows: DataFrame, key: str, few: DataFrame, own: str, hot: Column) -> DataFrame:
+    """The join of rows with few, which is unique in own, on key = own. The rows of few that are hot, a bounded number, are broadcast, so that a key which a
+    third of all rows has comes into no task's group; all others meet by a shuffle. Null keys meet nothing."""
+    wide = few.where(hot)
+    same = F.col(key) == F.col(own)
+    rest = rows.join(F.broadcast(wide.select(own)), same, "left_anti").join(few.where(~hot), same)
+    return rows.join(F.broadcast(wide), same).unionByName(rest)
+
+
+#: Words of 64 bits in a sieve: 2^25 bits, 8 MB at most.
+SIEVE_WORDS = 1 << 19
+
+
+def sieve(rows: DataFrame, keys: DataFrame, h: str) -> DataFrame:
+    """The rows whose hash h (long) may be among those of keys, and few others: for a join that most rows won't pass.
+
+    The hashes of keys are or-ed into at most SIEVE_WORDS words, whatever their number, which are broadcast. A row lost here has no equal in keys, so the
+    join behind it stays exact; with very many keys the sieve lets more rows through, nothing else changes."""
+    word, bit = F.pmod(F.col(h), F.lit(SIEVE_WORDS)), F.shiftrightunsigned(F.col(h), 58).cast("int")
+    bits = keys.select(word.alias("_word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(%s, 58) as int))" % h).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word"))
+    return met.withColumn("_n", bit).where(F.expr("shiftright(_bits, _n) & 1 = 1")).select(*rows.columns)

@@ -33,7 +33,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def _orphans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     edges = table(spark, d, "edges").select("snap_no", "src", clean_kind().alias("kind"), "dst")
-    return edges, orphans.orphan_keys(edges, table(spark, d, "nodes"), snapshots(spark, d))
+    return edges, orphans.orphan_keys(edges, table(spark, d, "nodes"), table(spark, d, "snaps"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
