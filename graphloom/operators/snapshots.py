@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import clean_kind, clean_sha
+from graphloom.common import clean_kind, clean_sha, cut, sieve
+from graphloom.operators.orphans import key_hashes
 
 #: Compact rows (about 32 bytes each) that one bucket holds on average at most.
 ROWS_PER_BUCKET = 1_000_000
@@ -21,11 +22,6 @@ ROWS_PER_BUCKET = 1_000_000
 DIFFERENT = "snap_no int, h1 long, h2 long, what string"
 
 
-def key_hashes(key: str) -> list[Column]:
-    """Two hashes with different seeds; together they keep billions of keys apart."""
-    return [F.xxhash64(F.col(key)).alias("h1"), F.xxhash64(F.lit(7), F.col(key)).alias("h2")]
-
-
 def _ranks(rows: dict[str, np.ndarray]) -> np.ndarray:
     """The same number for the same key, over all snapshots of the bucket."""
     order = np.lexsort((rows["h2"], rows["h1"]))
@@ -79,9 +75,10 @@ def differing(compact: DataFrame, snaps: list[int], rows: int) -> DataFrame:
 
 
 def _named(different: DataFrame, ids: DataFrame) -> DataFrame:
-    """The full keys of the differing ones; ids: id, repeated or not."""
-    keys = ids.where("id is not null").distinct().select("id", *key_hashes("id"))
-    return different.join(keys, ["h1", "h2"]).select("snap_no", "id", "what")
+    """The full keys of the differing ones; ids: id, repeated or not. Rows whose hash is none of theirs end at a sieve, where they are read."""
+    different = cut(different)
+    near = sieve(ids.where("id is not null").select("id", *key_hashes("id")), different, "h1").distinct()
+    return different.join(near, ["h1", "h2"]).select("snap_no", "id", "what")
 
 
 def node_changes(nodes: DataFrame, snaps: list[int]) -> DataFrame:
@@ -99,7 +96,7 @@ def source_changes(edges: DataFrame, snaps: list[int]) -> DataFrame:
     a target with very many edges comes into one task."""
     kind = clean_kind()
     member = F.xxhash64(F.col("src"), kind.isNull(), kind, F.col("dst").isNull(), F.col("dst"))
-    once = edges.where("src is not null and snap_no is not null").select("snap_no", F.xxhash64("src").alias("h1"), F.xxhash64(F.lit(7), F.col("src")).alias("h2"), member.alias("m")).distinct()
+    once = edges.where("src is not null and snap_no is not null").select("snap_no", *key_hashes("src"), member.alias("m")).distinct()
     sets = once.groupBy("snap_no", "h1", "h2").agg(F.count("*").alias("n"), F.bit_xor("m").alias("x"), F.bit_xor(F.xxhash64(F.lit(3), F.col("m"))).alias("y"))
     compact = sets.select("snap_no", "h1", "h2", F.xxhash64("n", "x", "y").alias("row"))
     return _named(differing(compact, snaps, edges.count()), edges.select(F.col("src").alias("id")))
