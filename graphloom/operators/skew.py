@@ -1,7 +1,7 @@
 """Per-key results where a few keys hold most records.
 
-Counts of distinct values come from histograms over hash bins that are merged per key, quantiles from histograms over value ranges that are
-narrowed round by round until each rank is resolved. Only counts are merged; the values of a key with a third of all rows stay where they are.
+Quantiles come from histograms over value ranges that are narrowed round by round until each rank is resolved. Only counts are merged; the values
+of a key with a third of all rows stay where they are. Exact counts of distinct values can't come from counts that merge, so they take two steps.
 """
 
 from __future__ import annotations
@@ -17,17 +17,11 @@ BITS = 8
 HOT_SHARE = 1 / 1024
 
 
-def distinct_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, bin, n: how many distinct values of a key fall into each of 2^BITS hash bins. Null values count for nothing, null keys are keys.
-
-    Values are told apart by key and value together, so the work of a hot key is spread by its values."""
-    once = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-    return once.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(1 << BITS)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
 def distinct_per_key(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """keys and the number of their distinct values, by merging the histograms."""
-    return distinct_histogram(df, keys, value).groupBy(*keys).agg(F.sum("n").alias(name))
+    """keys and the exact number of their distinct values. Null values count for nothing, null keys are keys.
+
+    A count in two steps: values are told apart by key and value together, so the work of a hot key is spread by its values, and then counted."""
+    return df.where(F.col(value).isNotNull()).select(*keys, value).distinct().groupBy(*keys).agg(F.count("*").alias(name))
 
 
 def _ranks(n: str, share: float):
@@ -42,7 +36,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     each bin of the present range and goes on with the bin that holds the rank. The ranges of hot keys, at most 1 / HOT_SHARE keys, are broadcast;
     those of all others meet their values by a shuffle in which no key has more than HOT_SHARE of the rows."""
     same = lambda a, b: F.expr(" and ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in keys))
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("_v"))
+    values = cut(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("_v")))
     totals = cut(values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
     most = (totals.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
     hot = F.broadcast(totals.where(F.col("n") > most).select(*keys).alias("h"))
