@@ -1,11 +1,14 @@
 """The general problems against brute force on small made cases."""
 
+import os
 import random
 from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.common import cut, cut_measured, meet, sieve
 from graphloom.operators import hierarchy, orphans, skew
 from graphloom.operators import snapshots as changes
 
@@ -77,16 +80,87 @@ def test_hierarchy_of_one_long_chain_and_one_wide_node(spark, monkeypatch):
     assert sorted(firsts) == list(range(1101))
 
 
+def _keys(df):
+    """Names by their hashes."""
+    return {(r["h1"], r["h2"]): r["key"] for r in df.select("key", *orphans.key_hashes("key")).distinct().collect()}
+
+
 def test_orphans(spark):
     nodes = [(1, "a"), (1, "b"), (2, "b"), (2, "c"), (4, "a"), (4, "a"), (4, None), (None, "z")]
     edges = [(1, "s", "CALLS", "c"), (1, "s", "CALLS", "c"), (2, "s", "CALLS", "a"), (2, "t", "CALLS", "x"), (4, "s", "CALLS", "b"), (4, "s", "CALLS", "c "), (4, "s", "CALLS", None), (1, "s", "USES", "a")]
     e = spark.createDataFrame(edges, "snap_no int, src string, kind string, dst string")
-    keys = orphans.orphan_keys(e, spark.createDataFrame(nodes, "snap_no int, id string"), [1, 2, 4])
-    assert {(r["key"], r["snap_no"], r["refs"], r["state"]) for r in keys.collect()} == {("c", 1, 2, "late"), ("a", 2, 1, "deleted"), ("x", 2, 1, "missing"), ("b", 4, 1, "deleted"), ("c ", 4, 1, "missing")}
+    snaps = spark.createDataFrame([(1,), (2,), (4,), (4,), (None,)], "snap_no int")
+    keys = orphans.orphan_keys(e, spark.createDataFrame(nodes, "snap_no int, id string"), snaps)
+    name = _keys(e.select(F.col("dst").alias("key")))
+    assert {(name[r["h1"], r["h2"]], r["snap_no"], r["refs"], r["state"]) for r in keys.collect()} == {("c", 1, 2, "late"), ("a", 2, 1, "deleted"), ("x", 2, 1, "missing"), ("b", 4, 1, "deleted"), ("c ", 4, 1, "missing")}
     assert orphans.orphan_references(e, keys).count() == 5
-    state = spark.createDataFrame([("a", 1, 0), ("b", 1, 1)], "key string, refs long, exists long")
-    step = spark.createDataFrame([("a", 0, 1), ("b", -1, -1), ("c", 2, 0)], "key string, d_refs long, d_exists long")
-    assert {tuple(r) for r in orphans.apply_deltas(state, step).collect()} == {("a", 1, 1), ("c", 2, 0)}
+    assert orphans.orphan_keys(e, spark.createDataFrame(nodes, "snap_no int, id string"), snaps.limit(0)).count() == 0
+
+
+def _many_snapshots(n, seed=3):
+    rnd = random.Random(seed)
+    snaps = [3 * k + 2 for k in range(n)]
+    refs = [(s, f"k{k}") for s in snaps for k in range(20) if rnd.random() < 0.3 for _ in range(rnd.randrange(1, 4))]
+    records = [(s, f"k{k}") for s in snaps for k in range(18) if rnd.random() < (0.02 if k < 9 else 0.5)]
+    expected = set()
+    for s, k in set(refs):
+        if (s, k) not in set(records):
+            has = [x for x, y in records if y == k]
+            expected.add((k, s, refs.count((s, k)), "deleted" if any(x < s for x in has) else "late" if any(x > s for x in has) else "missing"))
+    return snaps, refs, records, expected
+
+
+@pytest.mark.parametrize("n", [4, 40, 400])
+def test_orphans_of_many_snapshots(spark, n):
+    snaps, refs, records, expected = _many_snapshots(n)
+    made = [spark.createDataFrame(x, "snap_no int, key string") for x in (refs, records)]
+    order = orphans.places(spark.createDataFrame([(s,) for s in snaps], "snap_no int"))
+    name = _keys(made[0])
+    assert {(name[r["h1"], r["h2"]], r["snap_no"], r["refs"], r["state"]) for r in orphans.orphans(orphans.deltas(*made, order), order).collect()} == expected
+
+
+def test_orphans_kept_from_delta_to_delta(spark):
+    snaps, refs, records, expected = _many_snapshots(5)
+    made = [spark.createDataFrame(x, "snap_no int, key string") for x in (refs, records)]
+    changes = cut(orphans.deltas(*made, orphans.places(spark.createDataFrame([(s,) for s in snaps], "snap_no int"))))
+    name, state = _keys(made[0]), spark.createDataFrame([], "h1 long, h2 long, refs long, exists long, had boolean")
+    for place, s in enumerate(snaps):
+        state = cut(orphans.apply_deltas(state, changes.where(F.col("pos") == place)))
+        now = {(name[r["h1"], r["h2"]], s, r["refs"], r["state"]) for r in orphans.current(state).collect()}
+        assert now == {(k, at, n, "missing" if what == "late" else what) for k, at, n, what in expected if at == s}
+
+
+def test_a_long_chain_and_a_wide_star_without_the_adaptive_split(spark):
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        n, wide = 20_000, 1_000_000
+        chain = spark.range(n).select(F.lit("CONTAINS").alias("tree"), F.concat(F.lit("c"), "id").alias("parent"), F.concat(F.lit("c"), F.col("id") + 1).alias("child"))
+        star = spark.range(wide).select(F.lit("EXTENDS").alias("tree"), F.lit("hub").alias("parent"), F.concat(F.lit("leaf"), "id").alias("child"))
+        h = hierarchy.build(chain.unionByName(star))
+        found = hierarchy.positions(h).groupBy("tree", "root").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), F.sum("depth").alias("all"), F.countDistinct("depth").alias("depths")).collect()
+        assert {tuple(r) for r in found} == {("CONTAINS", "c0", n + 1, n, n * (n + 1) // 2, n + 1), ("EXTENDS", "hub", wide + 1, 1, wide, 2)}
+        spans = hierarchy.intervals(h).where("tree = 'EXTENDS'").agg(F.count("*"), F.countDistinct("first"), F.min("first"), F.max("last")).first()
+        assert tuple(spans) == (wide + 1, wide + 1, 0, wide)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+
+
+def test_sieve_and_meet(spark):
+    rows = spark.createDataFrame([(k % 7, f"v{k}") for k in range(700)] + [(None, "none")], "k long, v string").withColumn("h", F.xxhash64("k"))
+    keys = spark.createDataFrame([(2,), (3,), (3,), (99,)], "k long").select(F.xxhash64("k").alias("h"))
+    assert {r["k"] for r in sieve(rows, keys, "h").collect()} == {2, 3}
+    assert sieve(rows, keys.limit(0), "h").count() == 0
+    few = spark.createDataFrame([(1, True, "x"), (2, False, "y"), (8, True, "z"), (None, True, "w")], "own long, hot boolean, what string")
+    assert {(r["v"], r["what"]) for r in meet(rows, "k", few, "own", F.coalesce("hot", F.lit(False))).collect()} == {(f"v{k}", "x" if k % 7 == 1 else "y") for k in range(700) if k % 7 in (1, 2)}
+
+
+def test_measures_and_dropped_tables(spark):
+    one, seen = cut_measured(spark.range(10), n=F.count(F.lit(1)), odd=F.count_if(F.col("id") % 2 == 1))
+    assert seen == {"n": 10, "odd": 5}
+    none, seen = cut_measured(spark.createDataFrame([], "id long"), n=F.count(F.lit(1)))
+    assert seen == {"n": 0} and none.count() == 0
+    gone = cut_measured(one.where("id > 20"), one, n=F.count(F.lit(1)))
+    assert gone[1] == {"n": 0} and not os.path.exists(one._cut_path.removeprefix("file:"))
 
 
 def test_compare_bucket():
