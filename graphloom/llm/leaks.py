@@ -1,27 +1,26 @@
 """Evaluation passages in a training corpus: n-gram seeds, then local alignment.
 
-A first pass over all texts counts for each document and item how many seeds, word triples of the item, the document holds. Triples that several items hold, such
-as turns of phrase, are no seeds, however rare or common they are in the corpus; an item that would keep too few has them all. Pairs with enough seeds are aligned by
-Smith and Waterman's recurrence over words, many pairs in one array; the best stretch is taken out and a second one sought. Items are taken in blocks,
-so what is broadcast has a bound.
+Words and word triples travel as 64-bit hashes. The triples of all items pass through Spark once: those that several items hold, such as turns of
+phrase, are no seeds, however rare or common they are in the corpus; an item that would keep too few has them all. One pass over the texts keeps for each
+document the triples that a bitmap of all seeds lets through; a join with the seeds counts them per document and item. Pairs with enough seeds are
+aligned by Smith and Waterman's recurrence over words, many windows in one array; the best stretch is taken out and a second one sought. Of the texts
+only those of candidates are shuffled, and the corpus is read twice however many items there are.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import cut
+from graphloom.common import cut, cut_measured, meet, sieve
 from graphloom.llm.words import words
 
-#: Items of one block; their words and triples are what is broadcast.
-ITEMS_PER_BLOCK = 5_000
 #: A sentence that opens at least so many items is a stock instruction, a triple that so many hold a turn of phrase.
 STOCK_ITEMS = 3
 #: A pair is aligned if it shares this share of the item's triples, three at least.
@@ -32,119 +31,111 @@ RAREST, COMMONEST, INSERTED = 100, 6, 12
 STRETCH_WORDS = 6
 #: The share of an item's words that one or two stretches hold, for items of several sentences and of one.
 COVERED, COVERED_SENTENCE = 0.33, 0.7
+#: Words of an item that are aligned together; a longer item is aligned part by part.
+PART_WORDS = 20_000
+#: Words of 64 bits in a bitmap, 4 MB. More seeds let more triples of a text through to the join; nothing is lost.
+BITMAP_WORDS = 1 << 19
+#: A key that more than this share of the rows of a join have is met by a broadcast, so there are at most 1 / HOT of these.
+HOT = 1 / 1024
+#: Words that a task remembers the hashes of, and words of windows that it aligns together.
+REMEMBERED, TOGETHER = 1_000_000, 2_000_000
 
 _SENTENCE = regex.compile(r"(?<=[.?!。？！])\s*(?=\s|[\p{Han}])|\n+")
+_MIX = np.array([-7046029254386353131, -4417276706812531889, 1609587929392839161], dtype=np.int64)
 
 
-class Items:
-    """A block of items: the numbers of their words, their triples, and which items hold each triple."""
-
-    def __init__(self, rows: list[tuple[int, str | None]], stock: set[str]):
-        self.vocabulary: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.codes: list[np.ndarray] = []
-        self.single: list[bool] = []
-        for item, text in rows:
-            own = [s for s in sentences(text) if s not in stock]
-            w = words(" \n ".join(own))
-            if w:
-                self.ids.append(item)
-                self.codes.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], dtype=np.int64))
-                self.single.append(len([s for s in own if len(words(s)) > 2]) <= 1)
-        holders = defaultdict(set)
-        for k, c in enumerate(self.codes):
-            for t in triples(c).tolist():
-                holders[t].add(k)
-        self.triples = np.array(sorted(holders), dtype=np.int64)
-        holding = np.array([(t, k) for t, key in enumerate(self.triples.tolist()) for k in sorted(holders[key])], dtype=np.int64).reshape(-1, 2)
-        seed = np.bincount(holding[:, 0], minlength=len(self.triples)) < STOCK_ITEMS
-        whole = np.array([self._few(k, seed) for k in range(len(self.ids))], dtype=bool)
-        holding = holding[seed[holding[:, 0]] | whole[holding[:, 1]]]
-        #: The items that triple t is a seed of are held[starts[t]:starts[t + 1]].
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(holding[:, 0], minlength=len(self.triples)))])
-        self.held = holding[:, 1]
-        self.least = _least(np.bincount(self.held, minlength=len(self.ids)))
-
-    def _few(self, k: int, seed: np.ndarray) -> bool:
-        """Whether some stretch that counts as a passage of item k holds fewer than twice the seeds that a pair needs, if only triples that are seeds of all items count."""
-        numbers = np.searchsorted(self.triples, triples(self.codes[k]))
-        need = 2 * _least(np.unique(numbers[seed[numbers]]).size)
-        long = max(1, int(np.ceil((COVERED_SENTENCE if self.single[k] else COVERED) * len(self.codes[k]))) - 2)
-        parts = (numbers[i : i + long] for i in range(max(1, len(numbers) - long + 1)))
-        return any(np.unique(p[seed[p]]).size < need for p in parts)
-
-    def candidates(self, found: np.ndarray) -> np.ndarray:
-        """The items of which a text that holds these different triples has seeds enough for a pair."""
-        n = self.starts[found + 1] - self.starts[found]
-        at = np.repeat(self.starts[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.flatnonzero(np.bincount(self.held[at], minlength=len(self.ids)) >= self.least)
-
-
-def _least(n_seeds):
-    """How many seeds a pair needs of an item with so many."""
-    return np.maximum(SEED_LEAST, (SEED_SHARE * np.asarray(n_seeds)).astype(np.int64))
+class Codes(dict):
+    """The hash of each word, never 0 or -1, which stand for no word."""
 
+    def __missing__(self, word: str) -> int:
+        code = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~3 | 2
+        self[word] = code = code - (1 << 64) if code >> 63 else code
+        return code
 
-def sentences(text: str | None) -> list[str]:
-    return [s.strip() for s in _SENTENCE.split(text or "") if s.strip()]
+    def of(self, text: str | None) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        w = words(text)
+        return np.fromiter(map(self.__getitem__, w), dtype=np.int64, count=len(w))
 
 
-def stock_sentences(texts: list[str | None]) -> set[str]:
-    """The instructions that open several items, word for word."""
-    seen = Counter(s for t in texts for s in set(sentences(t)[:3]))
-    return {s for s, n in seen.items() if n >= STOCK_ITEMS}
+def sentences(text: str | None) -> list[str]:
+    return [s.strip() for s in _SENTENCE.split(text or "") if s.strip()]
 
 
 def triples(codes: np.ndarray) -> np.ndarray:
-    """One number for each three successive known words; -1 where one is unknown."""
+    """One number for each three successive words."""
     if len(codes) < 3:
         return np.zeros(0, dtype=np.int64)
-    a, b, c = codes[:-2], codes[1:-1], codes[2:]
-    return np.where((a > 0) & (b > 0) & (c > 0), (a << 42) | (b << 21) | c, -1)
-
+    t = ((codes[:-2] * _MIX[0] + codes[1:-1]) * _MIX[1] + codes[2:]) * _MIX[2]
+    return t ^ (t.view(np.uint64) >> np.uint64(29)).view(np.int64)
 
-def seeds_of(codes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the text and numbers of the known triples."""
-    keys = triples(codes)
-    if not len(keys) or not len(known):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hit = np.flatnonzero(known[at] == keys)
-    return hit, at[hit]
 
+def passes(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which keys the bitmap lets through."""
+    at = (keys.view(np.uint64) >> np.uint64(39)).view(np.int64)
+    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
-def weights(counts: np.ndarray, n_docs: int, items: Items) -> np.ndarray:
-    """A weight for each word number by the documents and by the items that hold the word; number 0, which is no word, has none.
 
-    Names stand in one item and few documents; a turn of phrase in many items, however rare its language is in the corpus."""
-    in_items = np.zeros(len(counts), dtype=np.int64)
-    for c in items.codes:
-        in_items[np.unique(c)] += 1
-    of_docs = 1 - np.log1p(counts) / np.log(n_docs + 2)
-    of_items = 1 - np.log(np.maximum(in_items, 1)) / np.log(max(len(items.codes) + 1, 2))
-    out = np.clip(np.round(RAREST * of_docs * of_items**2), COMMONEST, RAREST).astype(np.int64)
-    out[0] = 0
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of BITMAP_WORDS words, whatever the number of keys, which Spark adds up."""
+    rows = keys.select(F.expr(f"shiftrightunsigned({column}, 45)").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, 39) & 63 as int))").alias("bit"))
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(BITMAP_WORDS, dtype=np.int64)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
     return out
 
 
+def least_seeds(n_seeds: int) -> int:
+    """How many seeds a pair needs of an item with so many."""
+    return max(SEED_LEAST, int(SEED_SHARE * n_seeds))
+
+
+def few_seeds(keys: np.ndarray, seed: np.ndarray, n_words: int, single: bool) -> bool:
+    """Whether some stretch that counts as a passage of an item holds fewer than twice the seeds that a pair needs, if only what is a seed of all items counts.
+
+    keys: the item's triples in order; seed: which of them are seeds."""
+    need = 2 * least_seeds(np.unique(keys[seed]).size)
+    long = max(1, int(np.ceil((COVERED_SENTENCE if single else COVERED) * n_words)) - 2)
+    return bool((distinct_inside(keys, seed, long) < need).any())
+
+
+def distinct_inside(keys: np.ndarray, seed: np.ndarray, long: int) -> np.ndarray:
+    """How many different seeds each run of so many keys holds; of fewer keys, all of them.
+
+    A key counts for the runs that begin behind its last occurrence before and not behind itself."""
+    n = len(keys)
+    order = np.lexsort((np.arange(n), keys))
+    before = np.full(n, -1)
+    same = keys[order][1:] == keys[order][:-1]
+    before[order[1:][same]] = order[:-1][same]
+    at = np.flatnonzero(seed)
+    change = np.zeros(n + 2, dtype=np.int64)
+    np.add.at(change, np.maximum(before[at], at - long) + 1, 1)
+    np.add.at(change, at + 1, -1)
+    return np.cumsum(change)[: max(1, n - long + 1)]
+
+
 def _align_once(items: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """items, weight: pairs x item words, docs: pairs x text words; 0 and -1 are no words. Per pair: equal words, last row, first and last column.
+    """items, weight: pairs x item words, docs: pairs x text words; 0 and -1 are no words. Per pair: score, equal words, last row, first and last column.
 
     An equal word earns its weight; another one in its place, or none, costs it. So a turn of phrase with other names in it comes to nothing. A cell
     packs score, equal words and where its alignment began into one integer, so maxima carry them along."""
     n, wide = docs.shape
-    one = np.int64(1) << 40
+    column, equal = wide.bit_length(), items.shape[1].bit_length()
+    assert (RAREST * items.shape[1] + INSERTED * wide).bit_length() + column + equal < 63, "windows are cut so that scores fit"
+    one = np.int64(1) << np.int64(column + equal)
     slope = np.arange(wide, dtype=np.int64) * (INSERTED * one)
-    begin = np.arange(wide, dtype=np.int64) & 0xFFFFFF
+    begin = np.arange(wide, dtype=np.int64)
     before = np.zeros((n, wide), dtype=np.int64)
     best, best_at, rows = np.zeros(n, dtype=np.int64), np.zeros((n, 2), dtype=np.int64), np.arange(n)
     for i in range(items.shape[1]):
         word, w = items[:, i : i + 1], weight[:, i : i + 1] * one
-        same = (docs == word) & (word > 0)
+        same = (docs == word) & (word != 0)
         diagonal = np.zeros_like(before)
         diagonal[:, 1:] = before[:, :-1]
         fresh = diagonal < one
-        now = np.where(same, np.where(fresh, begin, diagonal) + w + (np.int64(1) << 24), diagonal - np.maximum(w, INSERTED * one))
+        now = np.where(same, np.where(fresh, begin, diagonal) + w + (np.int64(1) << np.int64(column)), diagonal - np.maximum(w, INSERTED * one))
         now = np.maximum(now, before - w)
         now = np.maximum.accumulate(now + slope, axis=1) - slope
         now[now < one] = 0
@@ -154,137 +145,245 @@ def _align_once(items: np.ndarray, weight: np.ndarray, docs: np.ndarray) -> np.n
         better = value > best
         best[better] = value[better]
         best_at[better, 0], best_at[better, 1] = i, top[better]
-    return np.stack([(best >> 24) & 0xFFFF, best_at[:, 0], best & 0xFFFFFF, best_at[:, 1]], axis=1)
+    return np.stack([best >> (column + equal), (best >> column) & ((1 << equal) - 1), best_at[:, 0], best & ((1 << column) - 1), best_at[:, 1]], axis=1)
 
 
-def covered(items: list[np.ndarray], docs: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
-    """How many words of each item one or two stretches of its text hold in order."""
-    tall, wide = max(map(len, items)), max(map(len, docs))
-    a, b = np.zeros((len(items), tall), dtype=np.int64), np.full((len(docs), wide), -1, dtype=np.int64)
-    for k, (x, y) in enumerate(zip(items, docs)):
-        a[k, : len(x)], b[k, : len(y)] = x, y
-    total = np.zeros(len(items), dtype=np.int64)
-    for _ in range(2):
-        equal, last_row, first, last = _align_once(a, weight[a], b).T
-        good = equal >= STRETCH_WORDS
-        total += np.where(good, equal, 0)
-        for k in np.flatnonzero(good):
-            used = b[k, first[k] : last[k] + 1].copy()
-            b[k, first[k] : last[k] + 1] = -1
-            row = last_row[k]
-            for w in used[::-1]:  # the words of the item that the stretch took, from its last row upwards
-                near = np.flatnonzero(a[k, max(0, row - 8) : row + 1] == w) if w > 0 else ()
-                if len(near):
-                    row = max(0, row - 8) + near[-1]
-                    a[k, row] = 0
-                    row = max(0, row - 1)
-    return total
+def windows(codes: np.ndarray, seeds: np.ndarray, n_words: int) -> list[tuple[int, int]]:
+    """From where to where a text is compared with an item of so many words: the parts near a seed, long ones in pieces.
+
+    No alignment is longer than span, as inserted words cost; pieces overlap by that, so each possible stretch lies wholly in one."""
+    reach, span = 2 * n_words, n_words + RAREST * n_words // INSERTED + 1
+    long, out = max(4096, 2 * span), []
+    for p in np.split(seeds, np.flatnonzero(np.diff(seeds) > 2 * reach) + 1):
+        start, end = max(0, int(p[0]) - reach), min(len(codes), int(p[-1]) + reach + 3)
+        while end - start > long:
+            out.append((start, start + long))
+            start += long - span
+        out.append((start, end))
+    return out
+
+
+class Pair:
+    """An item, or a part of one, and the windows of a text."""
 
+    def __init__(self, codes: np.ndarray, weight: np.ndarray, text: np.ndarray, at: list[tuple[int, int]]):
+        self.codes, self.weight, self.text, self.at = codes.copy(), weight, text.copy(), at
 
-def around(codes: np.ndarray, seeds: np.ndarray, reach: int) -> np.ndarray:
-    """The parts of a text within reach of a seed, with no word between two parts."""
-    parts = np.split(seeds, np.flatnonzero(np.diff(seeds) > 2 * reach) + 1)
-    pieces = [x for p in parts for x in (codes[max(0, p[0] - reach) : p[-1] + reach], [-1])]
-    return np.concatenate(pieces)
+    def take(self, last_row: int, first: int, last: int) -> None:
+        """Takes the words of a stretch out of the item, from its last row upwards, and out of the text."""
+        used, row = self.text[first : last + 1].copy(), last_row
+        self.text[first : last + 1] = -1
+        for w in used[::-1]:
+            near = np.flatnonzero(self.codes[max(0, row - 8) : row + 1] == w) if w != -1 else ()
+            if len(near):
+                row = max(0, row - 8) + near[-1]
+                self.codes[row] = 0
+                row = max(0, row - 1)
 
 
-def align(items: Items, pairs: list[tuple[int, np.ndarray]], weight: np.ndarray, cells: int = 12_000) -> list[int]:
-    """pairs: place of an item and words of a text. How many words of the item each text holds. cells: of one array, so that all of them fit a core's cache."""
-    order = sorted(range(len(pairs)), key=lambda p: (len(pairs[p][1]) // 64, len(items.codes[pairs[p][0]])))
-    out, start = [0] * len(pairs), 0
-    while start < len(order):
+def _best(pairs: list[Pair], cells: int) -> list[tuple[int, int, int, int, int]]:
+    """Score, equal words, last row, first and last word of the best stretch of each pair over its windows."""
+    pieces = sorted(((p, a, b) for p, pair in enumerate(pairs) for a, b in pair.at), key=lambda x: ((x[2] - x[1]) // 64, len(pairs[x[0]].codes), x))
+    best, start = [(0, 0, 0, 0, 0)] * len(pairs), 0
+    while start < len(pieces):
         end, wide = start, 0
-        while end < len(order) and (end == start or (end - start + 1) * max(wide, len(pairs[order[end]][1])) <= cells):
-            wide = max(wide, len(pairs[order[end]][1]))
+        while end < len(pieces) and (end == start or (end - start + 1) * max(wide, pieces[end][2] - pieces[end][1]) <= cells):
+            wide = max(wide, pieces[end][2] - pieces[end][1])
             end += 1
-        group = order[start:end]
-        for p, n in zip(group, covered([items.codes[pairs[p][0]] for p in group], [pairs[p][1] for p in group], weight)):
-            out[p] = int(n)
+        group = pieces[start:end]
+        tall = max(len(pairs[p].codes) for p, _, _ in group)
+        a, w, b = np.zeros((len(group), tall), dtype=np.int64), np.zeros((len(group), tall), dtype=np.int64), np.full((len(group), wide), -1, dtype=np.int64)
+        for k, (p, x, y) in enumerate(group):
+            pair = pairs[p]
+            a[k, : len(pair.codes)], w[k, : len(pair.codes)], b[k, : y - x] = pair.codes, pair.weight, pair.text[x:y]
+        for (p, x, _), (score, equal, row, first, last) in zip(group, _align_once(a, w, b).tolist()):
+            if score > best[p][0]:
+                best[p] = (score, equal, row, x + first, x + last)
         start = end
+    return best
+
+
+def covered(pairs: list[Pair], cells: int = 12_000) -> list[int]:
+    """How many words of each item one or two stretches of its text hold in order. cells: of one array, so that all of them fit a core's cache."""
+    total, left = [0] * len(pairs), list(range(len(pairs)))
+    for _ in range(2):
+        found = list(zip(left, _best([pairs[p] for p in left], cells)))
+        left = []
+        for p, (_, equal, row, first, last) in found:
+            if equal >= STRETCH_WORDS:
+                total[p] += equal
+                pairs[p].take(row, first, last)
+                left.append(p)
+    return total
+
+
+def pairs_of(codes: np.ndarray, item: np.ndarray, weight: np.ndarray) -> list[Pair]:
+    """The pairs of a text with an item; an item of more than PART_WORDS words has several."""
+    keys, out = triples(codes), []
+    for k in range(0, len(item), PART_WORDS):
+        own = item[k : k + PART_WORDS]
+        at = np.flatnonzero(np.isin(keys, triples(own)))
+        if len(at):
+            spans = windows(codes, at, len(own))
+            low = spans[0][0]
+            out.append(Pair(own, weight[k : k + PART_WORDS], codes[low : max(b for _, b in spans)], [(a - low, b - low) for a, b in spans]))
     return out
 
 
-def _codes(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    w = words(text)
-    return np.fromiter((vocabulary.get(x, 0) for x in w), dtype=np.int64, count=len(w))
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+
+def _item_sentences(items: DataFrame) -> DataFrame:
+    """item_id, pos, sentence; of a repeated item_id the smallest text counts."""
+    schema = "item_id long, pos int, sentence string"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, k, s) for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()) for k, s in enumerate(sentences(t))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 3, _arrow(schema))], schema=_arrow(schema))
+
+    once = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    return once.mapInArrow(look, schema)
+
+
+def _item_words(kept: DataFrame) -> DataFrame:
+    """kept: item_id, own (sentences in order). item_id, codes, keys (its triples in order), single, of items with words."""
+    schema = "item_id long, codes array<long>, keys array<long>, single boolean"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Codes()
+        for b in batches:
+            rows = []
+            for item, own in zip(b.column("item_id").to_pylist(), b.column("own").to_pylist()):
+                codes = known.of(" \n ".join(own))
+                if len(codes):
+                    rows.append((item, codes, triples(codes), len([s for s in own if len(words(s)) > 2]) <= 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, _arrow(schema))], schema=_arrow(schema))
+
+    return kept.mapInArrow(look, schema)
+
+
+def prepared(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """item_id, codes, keys, single of each item without the stock instructions, and its seeds: t, item_id, least (seeds that a pair needs).
+
+    What is a stock instruction and what a turn of phrase is counted over all items."""
+    said = cut(_item_sentences(items))
+    stock = said.where("pos < 3").select("item_id", "sentence").distinct().groupBy("sentence").agg(F.count("*").alias("n")).where(F.col("n") >= STOCK_ITEMS)
+    own = said.join(stock, "sentence", "left_anti").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("own"))
+    known = cut(_item_words(own.select("item_id", F.col("own.sentence").alias("own"))))
+    at, seen = cut_measured(known.select("item_id", F.posexplode("keys").alias("pos", "t")), n=F.count(F.lit(1)))
+    held = at.groupBy("t").agg(F.countDistinct("item_id").alias("n_items"), F.count("*").alias("n_rows")).select(F.col("t").alias("_t"), (F.col("n_items") < STOCK_ITEMS).alias("seed"), (F.col("n_rows") > seen["n"] * HOT).alias("_hot"))
+    marked = meet(at, "t", cut(held), "_t", F.col("_hot")).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("pos", "t", "seed"))).alias("k"))
+    schema = "item_id long, t long, least int"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, ts, least = [], [], []
+            for item, keys, seed, n, single in zip(*(b.column(c).to_pylist() for c in ("item_id", "keys", "seed", "n", "single"))):
+                keys, seed = np.array(keys, dtype=np.int64), np.array(seed, dtype=bool)
+                own = np.unique(keys if few_seeds(keys, seed, n, single) else keys[seed])
+                ids.append(np.full(len(own), item, dtype=np.int64))
+                ts.append(own)
+                least.append(np.full(len(own), least_seeds(len(own)), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], f.type) for x, f in zip((ids, ts, least), _arrow(schema))], schema=_arrow(schema))
+
+    ready = marked.select("item_id", F.col("k.t").alias("keys"), F.col("k.seed").alias("seed")).join(known.select("item_id", F.size("codes").alias("n"), "single"), "item_id")
+    return known, cut(ready.mapInArrow(look, schema))
+
+
+def weights(known: DataFrame, n_words: DataFrame, n_docs: int) -> DataFrame:
+    """known: item_id, codes, single; n_words: w, n_docs. item_id, codes, single, weight (one for each word), many.
+
+    Names stand in one item and few documents; a turn of phrase in many items, however rare its language is in the corpus."""
+    at, seen = cut_measured(known.select("item_id", F.posexplode("codes").alias("pos", "w")), n=F.count(F.lit(1)))
+    n_items = known.count()
+    held = at.groupBy("w").agg(F.countDistinct("item_id").alias("in_items"), F.count("*").alias("n_rows")).join(n_words.withColumnRenamed("w", "_v"), F.col("w") == F.col("_v"), "left")
+    of_docs = 1 - F.log1p(F.coalesce("n_docs", F.lit(0))) / F.log(F.lit(n_docs + 2.0))
+    of_items = 1 - F.log(F.col("in_items").cast("double")) / F.log(F.lit(max(n_items + 1.0, 2.0)))
+    weight = F.greatest(F.lit(COMMONEST), F.least(F.lit(RAREST), F.rint(RAREST * of_docs * of_items * of_items).cast("int")))
+    few = cut(held.select(F.col("w").alias("_w"), weight.alias("weight"), (F.col("n_rows") > seen["n"] * HOT).alias("_hot")))
+    rows = meet(at, "w", few, "_w", F.col("_hot")).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("pos", "weight")))["weight"].alias("weight"))
+    return known.select("item_id", "codes", "single").join(rows, "item_id")
 
 
 def _seed_pass(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, items: the places of the items of which a document holds enough seeds, if there are any; and with a null doc_id, per task, how many documents hold each word."""
+    """doc_id, seeds of each document with enough triples that the bitmap of seeds lets through; and with a null doc_id, per batch, how many documents hold each word of an item."""
+    schema = "doc_id long, seeds array<long>, words array<long>, n_docs array<long>"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        n_words = np.zeros(len(items.vocabulary) + 1, dtype=np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int64()))])
+        of_seeds, of_words = shared.value
+        known = Codes()
         for b in batches:
-            ids, held = [], []
+            ids, held, counted = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                codes = _codes(text.as_py(), items.vocabulary)
-                n_words[np.unique(codes)] += 1
-                found = np.unique(seeds_of(codes, items.triples)[1])
-                near = items.candidates(found) if len(found) >= SEED_LEAST else ()
-                if len(near):
+                codes = known.of(text.as_py())
+                counted.append(np.unique(codes[passes(codes, of_words)]))
+                keys = triples(codes)
+                found = np.unique(keys[passes(keys, of_seeds)])
+                if len(found) >= SEED_LEAST:
                     ids.append(doc)
-                    held.append(near.tolist())
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "items": held, "n_words": [None] * len(ids)}, schema=schema)
-        yield pa.RecordBatch.from_pydict({"doc_id": [None], "items": [None], "n_words": [n_words.tolist()]}, schema=schema)
+                    held.append(found)
+            w, n = np.unique(np.concatenate(counted) if counted else np.zeros(0, dtype=np.int64), return_counts=True)
+            none = [None] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([*ids, None], [*held, None], [*none, w], [*none, n]), _arrow(schema))], schema=_arrow(schema))
 
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(look, "doc_id long, items array<int>, n_words array<long>")
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(look, schema)
 
 
-def _sums(held: DataFrame, column: str, n: int) -> np.ndarray:
-    """The sums over all tasks, one number for each word of the block."""
-    out = np.zeros(n, dtype=np.int64)
-    for at, total in held.where("doc_id is null").select(F.posexplode(column).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).where("n > 0").collect():
-        out[at] = total
-    return out
-
+def _align_pass(texts: DataFrame) -> DataFrame:
+    """texts: doc_id, text, near (structs of item_id, codes, weight, single). doc_id, item_id, equal, n_words, single of every candidate pair."""
+    schema = "doc_id long, item_id long, equal int, n_words int, single boolean"
 
-def _align_pass(docs: DataFrame, candidates: DataFrame, shared, weight) -> DataFrame:
-    """doc_id, item_id, equal, n_words, single of every candidate pair; candidates: doc_id, items."""
+    def flush(held: list) -> pa.RecordBatch:
+        parts = [p for *_, own in held for p in own]
+        equal = iter(covered(parts))
+        rows = [(doc, item, sum(next(equal) for _ in own), n, single) for doc, item, n, single, own in held]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, _arrow(schema))], schema=_arrow(schema))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        own_triples = {}
+        known = Codes()
         for b in batches:
-            pairs, owners = [], []
-            for doc, text, held in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("items").to_pylist()):
-                codes = _codes(text.as_py(), items.vocabulary)
-                keys = triples(codes)
-                for k in held:
-                    if k not in own_triples:
-                        own_triples[k] = np.unique(triples(items.codes[k]))
-                    at = seeds_of(codes, own_triples[k])[0] if len(keys) else ()
-                    if len(at):
-                        pairs.append((k, around(codes, at, 2 * len(items.codes[k]))))
-                        owners.append(doc)
-            equal = align(items, pairs, weight.value)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(owners, pa.int64()), "item_id": pa.array([items.ids[k] for k, _ in pairs], pa.int64()), "equal": pa.array(equal, pa.int32()),
-                "n_words": pa.array([len(items.codes[k]) for k, _ in pairs], pa.int32()), "single": pa.array([items.single[k] for k, _ in pairs], pa.bool_())})
+            held, size = [], 0
+            for doc, text, near in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("near")):
+                codes = known.of(text.as_py())
+                for x in near.as_py():
+                    own = pairs_of(codes, np.array(x["codes"], dtype=np.int64), np.array(x["weight"], dtype=np.int64))
+                    held.append((doc, x["item_id"], len(x["codes"]), x["single"], own))
+                    size += sum(len(p.text) for p in own)
+                    if size > TOGETHER:
+                        yield flush(held)
+                        held, size = [], 0
+            yield flush(held)
+
+    return texts.select("doc_id", "text", "near").mapInArrow(look, schema)
+
 
-    return docs.select("doc_id", "text").join(candidates, "doc_id").mapInArrow(look, "doc_id long, item_id long, equal int, n_words int, single boolean")
+def _hot(rows: DataFrame, key: str, n: int) -> Column:
+    """A struct of keys with more than their share of the rows."""
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where(F.col("_n") > n * HOT).select("_key", F.lit(True).alias("_hot"))
 
 
 def aligned(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs: doc_id, text; items: item_id, text. doc_id, item_id, equal, n_words, single for every pair with enough seeds.
 
-    Null, empty and wordless texts have no pairs; of a repeated item_id one row counts; other columns are ignored. Without items there are no pairs."""
+    Null, empty and wordless texts have no pairs; of a repeated item_id one text counts; other columns are ignored. Without items there are no pairs."""
     spark = docs.sparkSession
-    n_docs = docs.count()
-    blocks = items.count() // ITEMS_PER_BLOCK + 1
-    opening = items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    result = None
-    for block in range(blocks):
-        rows = [(r[0], r[1]) for r in opening.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == block).orderBy("item_id").collect()]
-        own = Items(rows, stock_sentences([t for _, t in rows]))
-        shared = spark.sparkContext.broadcast(own)
-        held = cut(_seed_pass(docs, shared))
-        weight = spark.sparkContext.broadcast(weights(_sums(held, "n_words", len(own.vocabulary) + 1), n_docs, own))
-        candidates = held.where("doc_id is not null").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        part = _align_pass(docs, candidates, shared, weight)
-        result = part if result is None else result.unionByName(part)
-    return result
+    docs = docs.select("doc_id", "text")
+    known, seeds = prepared(items)
+    shared = spark.sparkContext.broadcast((bitmap_of(seeds, "t"), bitmap_of(known.select(F.explode("codes").alias("w")), "w")))
+    held, seen = cut_measured(_seed_pass(docs, shared), n=F.sum(F.size("seeds")))
+    n_words = held.where("doc_id is null").select(F.explode(F.arrays_zip("words", "n_docs")).alias("x")).groupBy(F.col("x.words").alias("w")).agg(F.sum("x.n_docs").alias("n_docs"))
+    weighted = cut(weights(known, n_words, docs.count()))
+    hits = held.where("doc_id is not null").select("doc_id", F.explode("seeds").alias("t"))
+    of_seed = seeds.groupBy(F.col("t").alias("_t")).agg(F.collect_list(F.struct("item_id", "least")).alias("near")).join(_hot(hits, "t", seen["n"]), F.col("_t") == F.col("_key"), "left").select("_t", "near", F.coalesce("_hot", F.lit(False)).alias("_hot"))
+    counted = meet(hits, "t", cut(of_seed), "_t", F.col("_hot")).select("doc_id", F.inline("near")).groupBy("doc_id", "item_id", "least").agg(F.count("*").alias("n"))
+    near, seen = cut_measured(counted.where("n >= least").select("doc_id", "item_id"), n=F.count(F.lit(1)))
+    own = weighted.join(_hot(near, "item_id", seen["n"]), F.col("item_id") == F.col("_key"), "left").select(F.struct("item_id", "codes", "weight", "single").alias("item"), F.col("item_id").alias("_id"), F.coalesce("_hot", F.lit(False)).alias("_hot"))
+    gathered = meet(near, "item_id", own, "_id", F.col("_hot")).groupBy("doc_id").agg(F.collect_list("item").alias("near"))
+    close = sieve(docs.where("text is not null").withColumn("_h", F.xxhash64("doc_id")), near.select(F.xxhash64("doc_id").alias("_h")), "_h").drop("_h")
+    return _align_pass(close.join(gathered, "doc_id"))
 
 
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
