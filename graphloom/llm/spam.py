@@ -1,8 +1,9 @@
 """Keyword-stuffed pages and link lists, by a hidden Markov model over the lines of a page.
 
 Lines are joined or split into segments of similar length. What a segment looks like (function words, links, repeated words, separators, code) is
-one of a few symbols; the states are prose (with code, logs, data), link list, tag list and menu. The model starts from stated beliefs and is fitted
-by expectation maximisation to a bounded sample of documents; the likeliest states of every document then give its share of words outside prose.
+one of a few symbols; the states are prose (with code, logs, data), link list, tag list and menu. One pass over the texts writes the symbols of each
+document. The model starts from stated beliefs and is fitted to the symbols of all documents: in each round of expectation maximisation tasks count and
+Spark adds up. The likeliest states of every document then give its share of words outside prose.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that the model is fitted to, those with the smallest hash of their id, and segments of one document that count there.
-FIT_DOCUMENTS, FIT_SEGMENTS = 3_000, 200
-#: Rounds of the fit, and the weight of the beliefs it starts from as a share of the sample.
+from graphloom.common import cut
+
+#: Rounds of the fit, and the weight of the beliefs it starts from as a share of the data.
 FIT_ROUNDS, BELIEF = 6, 0.5
 #: Characters of a segment, at least and at most.
 SHORT, LONG = 60, 220
@@ -75,24 +76,24 @@ def _beliefs() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def segments(text: str) -> list[str]:
-    """The lines of a text, short ones joined and long ones split at blanks, so that no segment is much longer than LONG."""
+    """The lines of a text, short ones joined and long ones split at blanks, so that no segment is much longer than LONG.
+
+    Each character is looked at a bounded number of times, however long its line is."""
     out, held, size = [], [], 0
     for line in text.splitlines():
         line = line.rstrip()
-        if size and (size >= SHORT or not line):
+        if size and (size >= SHORT or not line or len(line) > LONG):
             out.append("\n".join(held))
             held, size = [], 0
-        while len(line) > LONG:
-            cut = line.find(" ", LONG * 3 // 4)
-            cut = LONG if cut < 0 or cut > LONG * 3 // 2 else cut
-            if size:
-                out.append("\n".join(held))
-                held, size = [], 0
-            out.append(line[:cut])
-            line = line[cut:]
-        if line:
-            held.append(line)
-            size += len(line)
+        at, end = 0, len(line)
+        while end - at > LONG:
+            cut = line.find(" ", at + LONG * 3 // 4, at + LONG * 3 // 2 + 1)
+            cut = at + LONG if cut < 0 else cut
+            out.append(line[at:cut])
+            at = cut
+        if at < end:
+            held.append(line[at:])
+            size += end - at
     if size:
         out.append("\n".join(held))
     return out
@@ -160,32 +161,65 @@ def observe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return counts, symbol.astype(np.int64), size + np.array(n_url_words, dtype=np.int64)
 
 
-def fit(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First, transition and emission probabilities by Baum and Welch's rounds, the beliefs counting as part of the sample."""
+def expected(counts: np.ndarray, symbols: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often, as the model expects it, each state comes first, follows each other one and shows each symbol (Baum and Welch), over all texts of a batch side by side."""
+    first, move, emit = model
+    counts = counts[counts > 0]
+    order = np.argsort(-counts, kind="stable")
+    starts, lengths = (np.cumsum(counts) - counts)[order], counts[order]
+    # the segments in the order of their place, and at each place those of the longest texts first
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")
+    bounds = np.concatenate([[0], np.cumsum(active)])
+    s = np.concatenate([symbols[starts[:n] + t] for t, n in enumerate(active)]) if len(active) else symbols[:0]
+    e, alpha = emit.T[s], np.empty((len(s), 4))
+    scale = np.empty((len(s), 1))
+    for t in range(len(active)):
+        own = slice(bounds[t], bounds[t + 1])
+        a = e[own] * (first if t == 0 else alpha[bounds[t - 1] : bounds[t - 1] + active[t]] @ move)
+        scale[own] = a.sum(axis=1, keepdims=True)
+        alpha[own] = a / scale[own]
+    ahead, gamma = e / scale, alpha
+    c_move = np.zeros((4, 4))
+    beta = np.ones((0, 4))
+    for t in range(len(active) - 1, -1, -1):
+        own = slice(bounds[t], bounds[t + 1])
+        here = np.ones((active[t], 4))
+        if len(beta):
+            after = ahead[bounds[t + 1] : bounds[t + 1] + len(beta)] * beta
+            c_move += move * (alpha[bounds[t] : bounds[t] + len(beta)].T @ after)
+            here[: len(beta)] = after @ move.T
+        beta = here
+        gamma[own] = alpha[own] * beta
+    gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), 1e-300)
+    c_emit = np.stack([np.bincount(s, weights=gamma[:, k], minlength=N_SYMBOLS) for k in range(4)])
+    return gamma[: active[0] if len(active) else 0].sum(axis=0), c_move, c_emit
+
+
+def fit(sequences: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sequences: symbols (array). First, transition and emission probabilities by rounds over all of them, the beliefs counting as part of the data; the beliefs
+    where there are none. What comes back from a task is 220 numbers."""
     first, move, emit = beliefs = _beliefs()
-    n = sum(map(len, sequences))
-    if not n:
-        return beliefs
-    held = [beliefs[0] * len(sequences) * BELIEF, beliefs[1] * n / 4 * BELIEF, beliefs[2] * n / 4 * BELIEF]
     for _ in range(FIT_ROUNDS):
-        c_first, c_move, c_emit = (h.copy() for h in held)
-        for s in sequences:
-            e = emit[:, s].T
-            alpha, scale = np.empty_like(e), np.empty(len(s))
-            a = first * e[0]
-            for t in range(len(s)):
-                a = a if t == 0 else (alpha[t - 1] @ move) * e[t]
-                scale[t] = a.sum()
-                alpha[t] = a / scale[t]
-            beta = np.ones(4)
-            for t in range(len(s) - 1, -1, -1):
-                if t < len(s) - 1:
-                    ahead = e[t + 1] * beta / scale[t + 1]
-                    c_move += alpha[t][:, None] * move * ahead[None, :]
-                    beta = move @ ahead
-                gamma = alpha[t] * beta
-                c_emit[:, s[t]] += gamma / gamma.sum()
-            c_first += alpha[0] * beta
+        model = (first, move, emit)
+
+        def look(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(4 + 16 + 4 * N_SYMBOLS + 1)
+            for b in batches:
+                column = b.column("symbols")
+                counts = np.diff(column.offsets.to_numpy())
+                c_first, c_move, c_emit = expected(counts, column.flatten().to_numpy().astype(np.int64), model)
+                total += np.concatenate([c_first, c_move.ravel(), c_emit.ravel(), [np.count_nonzero(counts)]])
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(total)), pa.int32()), "n": pa.array(total)})
+
+        total = np.zeros(4 + 16 + 4 * N_SYMBOLS + 1)
+        for at, x in sequences.select("symbols").mapInArrow(look, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            total[at] = x
+        segments_, docs = total[20:-1].sum(), total[-1]
+        if not segments_:
+            return beliefs
+        c_first = total[:4] + beliefs[0] * docs * BELIEF
+        c_move = total[4:20].reshape(4, 4) + beliefs[1] * segments_ / 4 * BELIEF
+        c_emit = total[20:-1].reshape(4, -1) + beliefs[2] * segments_ / 4 * BELIEF
         first, move, emit = c_first / c_first.sum(), c_move / c_move.sum(axis=1, keepdims=True), c_emit / c_emit.sum(axis=1, keepdims=True)
     return first, move, emit
 
@@ -219,22 +253,6 @@ def likeliest(counts: np.ndarray, symbols: np.ndarray, model: tuple[np.ndarray,
     return states
 
 
-def _sample(docs: DataFrame) -> list[np.ndarray]:
-    """The symbols of the sampled documents, as many at most as the parameters say."""
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
-    picked = known.join(F.broadcast(ids), "doc_id", "left_semi")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, symbols, _ = observe(b.column("text").to_pylist())
-            parts = np.split(symbols, np.cumsum(counts)[:-1]) if len(counts) else []
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "symbols": pa.array([p[:FIT_SEGMENTS].tolist() for p in parts], pa.list_(pa.int32()))})
-
-    rows = picked.mapInArrow(look, "doc_id long, symbols array<int>").orderBy("doc_id").collect()
-    return [np.array(r[1], dtype=np.int64) for r in rows if r[1]]
-
-
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of TOGETHER characters, or one longer text, each with its place."""
     start, n = 0, 0
@@ -252,18 +270,27 @@ def shares(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, and the words of each document in links, tags and menus.
 
     Null, empty and blank texts have no words; a repeated doc_id gives a row each time; other columns are ignored; an empty table has no rows."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(_sample(docs)))
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in _parts(b.column("text").to_pylist()):
                 counts, symbols, size = observe(texts)
-                states = likeliest(counts, symbols, model.value)
-                doc = np.repeat(np.arange(len(texts)), counts)
-                of = {s: np.bincount(doc, weights=size * (states == k), minlength=len(texts)).astype(np.int64) for k, s in enumerate(STATES)}
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(start, len(texts)), "n_words": pa.array(sum(of.values())), "links": pa.array(of["links"]), "tags": pa.array(of["tags"]), "menu": pa.array(of["menu"])})
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((symbols, pa.int8()), (size, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, len(texts)), *lists], names=["doc_id", "symbols", "sizes"])
+
+    seen = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(see, "doc_id long, symbols array<byte>, sizes array<int>"))
+    model = fit(seen)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column, size = b.column("symbols"), b.column("sizes").flatten().to_numpy()
+            counts = np.diff(column.offsets.to_numpy())
+            states = likeliest(counts, column.flatten().to_numpy().astype(np.int64), model)
+            doc = np.repeat(np.arange(b.num_rows), counts)
+            of = {s: np.bincount(doc, weights=size * (states == k), minlength=b.num_rows).astype(np.int64) for k, s in enumerate(STATES)}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_words": pa.array(sum(of.values())), "links": pa.array(of["links"]), "tags": pa.array(of["tags"]), "menu": pa.array(of["menu"])})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(look, "doc_id long, n_words long, links long, tags long, menu long")
+    return seen.mapInArrow(look, "doc_id long, n_words long, links long, tags long, menu long")
 
 
 def flagged(docs: DataFrame) -> DataFrame:
