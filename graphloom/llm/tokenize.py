@@ -48,6 +48,14 @@ class Merges:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.results = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
         self.bytes = np.array([vocabulary[c] for c in byte_symbols()], dtype=np.int64)
+        self._table: dict[int, int] = {}
+
+    @property
+    def table(self) -> dict[int, int]:
+        """The rank of each pair, made when a task meets its first long word."""
+        if not self._table:
+            self._table = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        return self._table
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or len(ranks) if it has none."""
@@ -106,7 +114,7 @@ def _encode_long(word: bytes, merges: Merges) -> np.ndarray:
     symbols = merges.bytes[np.frombuffer(word, dtype=np.uint8)]
     n, none = len(symbols), len(merges.ranks)
     s, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-    table = dict(zip(merges.keys.tolist(), merges.ranks.tolist()))
+    table = merges.table
     queue = [(r, k, a, b) for k, (r, a, b) in enumerate(zip(merges.rank(symbols[:-1], symbols[1:]).tolist(), s, s[1:])) if r < none]
     heapq.heapify(queue)
     while queue:
