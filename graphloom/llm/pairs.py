@@ -54,6 +54,9 @@ _TAG = re.compile(r"^\s*[@\\](\w+)\b\s*(.*)$", re.S)
 _CAMEL = regex.compile(r"\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}?[\p{Ll}\p{M}]+|\p{Lu}+|[\p{Lo}\p{M}]+|\p{N}+")
 _EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_$.]*[\p{L}\p{N}]")
+_NAME = regex.compile(r"[\p{L}_$]")
+_TOKEN = regex.compile(r"[\p{L}_$][\p{L}\p{M}\p{N}_$]*(?:\.[\p{L}_$][\p{L}\p{M}\p{N}_$]*)*|\.\.\.|\"[^\"]*\"|\S")
+_MODIFIERS = frozenset("public private protected static final abstract synchronized native default strictfp sealed".split())
 _SENTENCE = regex.compile(r"(?<=[.!?。！？;])\s+|(?<=[。！？])")
 
 
@@ -76,32 +79,107 @@ class Comment:
     tags: list[tuple[str, str, list[str]]]
 
 
-def _split_parameters(inside: str) -> list[str]:
-    """Parts between commas outside brackets."""
-    parts, depth, start = [], 0, 0
-    for k, c in enumerate(inside):
-        depth += (c in "<([") - (c in ">)]")
-        if c == "," and depth == 0:
-            parts.append(inside[start:k])
-            start = k + 1
-    return [p.strip() for p in [*parts, inside[start:]] if p.strip()]
+@dataclass
+class Type:
+    """A type node: its name and, inside its brackets, its arguments."""
+
+    name: str
+    arguments: list[Type] = field(default_factory=list)
+
+
+class _Reader:
+    """Reads a signature from left to right, one rule for each kind of node; what it can't read ends the rule and raises nothing."""
+
+    def __init__(self, signature: str):
+        self.tokens, self.at = _TOKEN.findall(signature), 0
+
+    def peek(self) -> str:
+        return self.tokens[self.at] if self.at < len(self.tokens) else ""
+
+    def take(self) -> str:
+        token = self.peek()
+        self.at += 1
+        return token
+
+    def accept(self, *tokens: str) -> bool:
+        if self.peek() in tokens and self.at < len(self.tokens):
+            self.at += 1
+            return True
+        return False
+
+    def named(self) -> bool:
+        return bool(_NAME.match(self.peek()))
+
+    def modifiers(self) -> list[str]:
+        """Key words and annotations, whose arguments are passed over."""
+        out = []
+        while self.peek() in _MODIFIERS or self.peek() == "@":
+            if not self.accept("@"):
+                out.append(self.take())
+                continue
+            out.append("@" + self.take())
+            depth = 0
+            while self.peek() and (self.peek() == "(" or depth):
+                token = self.take()
+                depth += (token == "(") - (token == ")")
+        return out
+
+    def arguments(self) -> list[Type]:
+        """What stands between angle brackets, types with types inside."""
+        out = []
+        while self.peek() and not self.accept(">"):
+            self.modifiers()
+            if self.accept(",", "&", "?") or self.peek() in ("extends", "super"):
+                if self.peek() in ("extends", "super"):
+                    self.at += 1
+            elif self.named():
+                out.append(self.type())
+            else:
+                self.at += 1
+        return out
+
+    def type(self) -> Type:
+        """A name with its arguments and dimensions; of a nested type the parts are joined."""
+        node = Type(self.take())
+        while True:
+            if self.accept("<"):
+                node.arguments += self.arguments()
+            elif self.accept("["):
+                self.accept("]")
+            elif self.accept("."):
+                node.name += "." + self.take()
+            elif not self.accept("..."):
+                return node
+
+    def parameters(self) -> list[tuple[str, str]]:
+        """Type and name of each; a name alone is a type."""
+        out = []
+        while self.peek() and not self.accept(")"):
+            self.modifiers()
+            if not self.named():
+                self.at += 1
+                continue
+            kind = self.type()
+            out.append((kind.name, self.take() if self.named() else ""))
+        return out
 
 
 def parse_signature(id_: str, signature: str) -> Function:
     """The function node of a signature; what cannot be read there is taken from the id."""
     owner, _, member = id_.partition("#")
-    head, opened, rest = signature.partition("(")
-    words = re.sub(r"<[^<>]*>", " ", head).split()
-    known = {"public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "default", "strictfp"}
-    modifiers = [w for w in words if w in known or w.startswith("@")]
-    others = [w for w in words if w not in modifiers]
-    name = others[-1] if others and opened else member.partition("(")[0]
-    parameters = []
-    if opened:
-        for p in _split_parameters(rest[: rest.rfind(")")] if ")" in rest else rest):
-            bits = [b for b in re.sub(r"<[^<>]*>|@\w+(?:\([^()]*\))?", " ", p).split() if b != "final"]
-            parameters.append((" ".join(bits[:-1]), bits[-1]) if len(bits) > 1 else (bits[0] if bits else "", ""))
-    return Function(name, owner, modifiers, others[-2] if len(others) > 1 else "", parameters)
+    reader = _Reader(signature)
+    modifiers, kinds = reader.modifiers(), []
+    if reader.accept("<"):
+        reader.arguments()
+    while reader.peek() and reader.peek() != "(":
+        modifiers += reader.modifiers()
+        if reader.named():
+            kinds.append(reader.type())
+        elif reader.peek() != "(":
+            reader.at += 1
+    opened = reader.accept("(")
+    name = kinds[-1].name if kinds and opened else member.partition("(")[0]
+    return Function(name, owner, modifiers, kinds[-2].name if len(kinds) > 1 else "", reader.parameters() if opened else [])
 
 
 def _text(raw: str) -> str:
