@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -72,6 +73,13 @@ def test_signature():
     assert [n for _, n in f.parameters] == ["rows", "n"]
 
 
+def test_signature_with_types_in_types():
+    f = pairs.parse_signature("a.B#m(Map)", "@Note(x = (1)) protected <T extends Comparable<? super T>> Map<String, List<Set<T>>> m(Map.Entry<String, List<int[]>>.Own<T> é, String... more)")
+    assert (f.name, f.result, f.modifiers, f.parameters) == ("m", "Map", ["@Note", "protected"], [("Map.Entry.Own", "é"), ("String", "more")])
+    for broken in ("", "(", "x", "void m(List<", "void m(int a", "< > ( ) ,", ")("):
+        pairs.parse_signature("a.B#m(int)", broken)
+
+
 def test_words():
     assert words("Rea­der re-\n * ads conﬁg \\u00e9t\\u00e9 <b>so</b> &amp; A B") == ["reader", "reads", "config", "été", "so", "a", "b"]
     assert words(None) == [] and words("先锁x1") == ["先", "锁", "x", "1"]
@@ -101,11 +109,51 @@ def test_alignment_against_the_plain_recurrence():
     a, b = np.zeros((30, 14), dtype=np.int64), np.full((30, 25), -1, dtype=np.int64)
     for k in range(30):
         a[k, : len(items[k])], b[k, : len(docs[k])] = items[k], docs[k]
-    found = leaks._align_once(a, weight[a], b)[:, 0]
+    found = leaks._align_once(a, weight[a], b)[:, 1]
     expected = [_slow(items[k].tolist(), docs[k].tolist(), weight)[1] for k in range(30)]
     assert (found == expected).mean() >= 0.9  # of alignments with equal scores either may be kept
 
 
+def test_distinct_inside():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 40):
+        keys, long = rng.integers(0, 9, n), int(rng.integers(1, 8))
+        seed = keys % 3 > 0  # a key is a seed everywhere or nowhere
+        expected = [len(set(keys[i : i + long][seed[i : i + long]])) for i in range(max(1, n - long + 1))]
+        assert leaks.distinct_inside(keys, seed, long).tolist() == expected
+
+
+@pytest.mark.parametrize("n", [600_000, 1_500_000])
+def test_a_copy_in_a_very_long_text(n):
+    rng = np.random.default_rng(6)
+    item, text = np.arange(1, 61) * 7919, rng.integers(10**9, 10**9 + 5000, n)
+    text[n - 1000 : n - 940] = item
+    pair = leaks.pairs_of(text, item, np.full(60, leaks.RAREST))
+    assert leaks.covered(pair) == [60]
+    text[::1000] = item[10]  # seeds all over the text, so that it is one window, cut in pieces
+    text[1::1000] = item[11]
+    text[2::1000] = item[12]
+    pair = leaks.pairs_of(text, item, np.full(60, leaks.RAREST))
+    assert leaks.covered(pair)[0] >= 57
+
+
+def test_a_very_long_item():
+    rng = np.random.default_rng(7)
+    item = rng.integers(1, 10**12, 3 * leaks.PART_WORDS // 2)
+    pair = leaks.pairs_of(np.concatenate([rng.integers(10**13, 10**14, 500), item[:1000], item[-800:]]), item, np.full(len(item), leaks.RAREST))
+    assert sum(leaks.covered(pair)) == 1800 and len(pair) == 2
+
+
+def test_a_copy_in_a_document_of_a_million_words(spark):
+    rnd = random.Random(9)
+    known = ["".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(3000)]
+    items = [(k, ". ".join(" ".join(rnd.choice(known) for _ in range(12)) for _ in range(4)) + ".") for k in range(40)]
+    long = [rnd.choice(known) for _ in range(1_000_000)]
+    long[800_000:800_000] = items[7][1].split(" ")
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[:50_000])), (3, items[9][1])], "doc_id long, text string")
+    assert {tuple(r) for r in leaks.leaked(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(1, 7), (3, 9)}
+
+
 def test_leaks_of_planted_copies(spark):
     rnd = random.Random(4)
     name = lambda: "".join(rnd.choice(["Lane", "Dock", "Vault", "Crate", "Hinge", "Tray", "Node", "Gauge", "Wire", "Zone"]) for _ in range(3))
@@ -179,6 +227,36 @@ def test_states_are_the_likeliest():
         at += n
 
 
+def test_expected_counts_are_those_of_all_ways():
+    rng = np.random.default_rng(3)
+    model = spam._beliefs()
+    counts = np.array([3, 0, 4, 1, 4])
+    symbols, at = rng.integers(0, spam.N_SYMBOLS, counts.sum()), 0
+    first, move, emit = np.zeros(4), np.zeros((4, 4)), np.zeros((4, spam.N_SYMBOLS))
+    for n in counts:
+        own = symbols[at : at + n]
+        at += n
+        if not n:
+            continue
+        ways = np.array(np.meshgrid(*[range(4)] * n)).reshape(n, -1).T
+        p = np.array([model[0][w[0]] * np.prod(model[1][w[:-1], w[1:]]) * np.prod(model[2][w, own]) for w in ways])
+        for w, q in zip(ways, p / p.sum()):
+            first[w[0]] += q
+            np.add.at(move, (w[:-1], w[1:]), q)
+            np.add.at(emit, (w, own), q)
+    for found, wanted in zip(spam.expected(counts, symbols, model), (first, move, emit)):
+        assert np.allclose(found, wanted)
+    assert all(not x.any() for x in spam.expected(np.array([0, 0]), symbols[:0], model))
+
+
+def test_segments_of_long_lines():
+    began = time.time()
+    whole = "\n".join(spam.segments("abcdefg " * 2_500_000 + "x" * 20_000_000))
+    assert time.time() - began < 5 and whole.replace("\n", "").rstrip() == ("abcdefg " * 2_500_000 + "x" * 20_000_000)
+    parts = spam.segments("a\nb\n\n" + "word " * 200 + "\nend")
+    assert parts[0] == "a\nb" and max(map(len, parts)) <= spam.LONG * 3 // 2 and parts[-1].endswith("end")
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_and_dirty_tables(spark, folders, name):
     assert queries.QUERIES[name](spark, folders["empty"]).collect() == []
