@@ -47,14 +47,30 @@ def terms(fqn: Column | str) -> Column:
     return F.when(words == camel, words).otherwise(F.concat_ws(" ", words, camel))
 
 
+def annotations(attrs: Column | str = "attrs") -> Column:
+    """The annotations of a node, each with its members and their values, from its attributes; null where they hold none or no JSON."""
+    return F.from_json(F.try_element_at(F.col(attrs) if isinstance(attrs, str) else attrs, F.lit("annotations")), "map<string,map<string,string>>")
+
+
+def annotation_names(attrs: Column | str = "attrs") -> Column:
+    """The simple names of a node's annotations; an empty list without any."""
+    return F.coalesce(F.transform(F.map_keys(annotations(attrs)), lambda a: F.substring_index(a, ".", -1)), F.array().cast("array<string>"))
+
+
+def annotation_terms(attrs: Column | str = "attrs") -> Column:
+    """What the annotations of a node say, in words: the simple name of each and all values; null without any."""
+    say = lambda e: F.concat_ws(" ", F.substring_index(e["key"], ".", -1), F.array_join(F.map_values(e["value"]), " "))
+    return terms(F.array_join(F.transform(F.map_entries(annotations(attrs)), say), " "))
+
+
 def tokens(text: Column | str) -> Column:
     """Runs of letters and digits in lower case."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
 def _undouble(word: Column) -> Column:
-    """One letter less where the last two are the same consonant other than l, s and z."""
-    return F.when(word.rlike(r"([^lszaeiou])\1$"), F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+    """Of a word of more than three letters one less where the last two are the same consonant other than l, s and z."""
+    return F.when((F.length(word) > 3) & word.rlike(r"([^lszaeiou])\1$"), F.substr(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
 
 def stem(word: Column | str) -> Column:

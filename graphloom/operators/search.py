@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import BLANKS
-from graphloom.functions.names import stem, terms, tokens
+from graphloom.functions.names import annotation_terms, stem, terms, tokens
 from graphloom.operators import graph as G
 
 #: Parameters of the ranking as published for it.
 K1, B = 1.2, 0.75
 #: Words that questions are made of.
-STOP = ("the", "and", "for", "how", "what", "which", "where", "when", "why", "who", "does", "did", "are", "was", "were", "has", "have", "that", "this", "with", "from", "into", "out", "its", "all", "any", "can", "not", "you", "use", "used", "get", "gets", "there", "after", "before")
+STOP = tuple(
+    "the and how does what where which with for this that are when from into work works code mechanism used use uses exist exists there list repo project application app system service".split()
+)
 #: Seconds after a question in which a fetch belongs to it, and the share of words that makes two questions alike.
 REMEMBERED, ALIKE = 120, 0.5
 #: The kinds of nodes whose names are the project's own words.
@@ -20,16 +22,16 @@ OWN_KINDS = ("CLASS", "INTERFACE", "ENUM", "RECORD", "METHOD", "FIELD", "CONFIG_
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """id, term, tf of the words of names, signatures and comments of nodes with an id; nodes without words have none."""
-    text = F.concat_ws(" ", terms("fqn"), "signature", "doc")
+    """id, term, tf of the words of names, annotations, signatures and comments of nodes with an id; nodes without words have none."""
+    text = F.concat_ws(" ", terms("fqn"), annotation_terms("attrs"), "signature", "doc")
     return nodes.where("id is not null").select("id", F.explode(tokens(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def ranked(index: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
-    """query, id, score, place of the best ids for each query (query, words array): every word must begin some term of an id.
+def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, id, score of all ids that match each query (query, words array): every word must begin some term of an id.
 
     The number of ids and their mean length come from the whole index, as does the number of ids that each word hits. Words are short
-    and few, so they are matched against the distinct terms by all beginnings of the terms, an equal join; a top-k report per query, ties by id."""
+    and few, so they are matched against the distinct terms by all beginnings of the terms, an equal join."""
     lengths = index.groupBy("id").agg(F.sum("tf").alias("len"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     asked = queries.select("query", F.explode(F.array_distinct("words")).alias("word")).where("word <> ''")
@@ -39,13 +41,17 @@ def ranked(index: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
     matched = begins.join(words, "word", "left_semi")
     hits = index.join(matched, "term").groupBy("word", "id").agg(F.sum("tf").alias("f"))
     spread = hits.groupBy("word").agg(F.count("*").alias("df"))
-    scored = hits.join(spread, "word").join(lengths, "id").crossJoin(F.broadcast(stats))  # one row of totals
+    found = hits.join(spread, "word").join(lengths, "id").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    summed = asked.join(scored.select("word", "id", part.alias("part")), "word").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("have"))
-    full = summed.join(need, "query").where("have = need")
+    summed = asked.join(found.select("word", "id", part.alias("part")), "word").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("have"))
+    return summed.join(need, "query").where("have = need").select("query", "id", "score")
+
+
+def ranked(index: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame:
+    """query, id, score, place of the best ids for each query, as scored matches them; a top-k report per query, ties by id."""
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return full.withColumn("place", place).where(F.col("place") <= top).select("query", "id", "score", "place")
+    return scored(index, queries).withColumn("place", place).where(F.col("place") <= top)
 
 
 def question_words(text: str) -> F.Column:

@@ -94,7 +94,7 @@ QUERIES = {f.__name__: f for f in (name_terms, stems, index_terms, search_classe
 _G = f"with recursive {sql.graph()}"
 _TERMS = "trim(regexp_replace(fqn, '[.#$(),\\[\\]<>]+', ' ', 'g'), ' ')"
 _CAMEL = f"regexp_replace({_TERMS}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
-_UNDOUBLE = "(case when length({0}) > 1 and right({0}, 1) = left(right({0}, 2), 1) and not contains('lszaeiou', right({0}, 1)) then left({0}, length({0}) - 1) else {0} end)"
+_UNDOUBLE = "(case when length({0}) > 3 and right({0}, 1) = left(right({0}, 2), 1) and not contains('lszaeiou', right({0}, 1)) then left({0}, length({0}) - 1) else {0} end)"
 
 
 def _stem(w: str) -> str:
@@ -102,7 +102,12 @@ def _stem(w: str) -> str:
             f"when length({w}) > 4 and {w} like '%ies' then left({w}, length({w}) - 3) || 'y' when length({w}) > 3 and {w} like '%s' and {w} not like '%ss' then left({w}, length({w}) - 1) else {w} end")
 
 
-_POST = f"""post as (select id, term, count(*) as tf from (select id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', case when {_TERMS} = {_CAMEL} then {_TERMS} else {_TERMS} || ' ' || {_CAMEL} end, signature, doc)), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')) as term from n) group by all)"""
+_NOTE = "regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
+_POST = f"""an as (select id, unnest(json_keys(attrs['annotations']::json)) as k, attrs['annotations']::json as j from n where attrs['annotations'] is not null),
+    am as (select id, k, unnest(case when len(json_keys(j -> k)) = 0 then [null] else json_keys(j -> k) end) as m, j -> k as v from an),
+    aw as (select id, string_agg(t, ' ') as t from (select id, k, trim(regexp_replace(concat_ws(' ', regexp_extract(k, '[^.]*$'), string_agg(v ->> m, ' ')), '[.#$(),\\[\\]<>]+', ' ', 'g')) as t from am group by id, k) group by id),
+    post as (select id, term, count(*) as tf from (select n.id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', case when {_TERMS} = {_CAMEL} then {_TERMS} else {_TERMS} || ' ' || {_CAMEL} end,
+        case when aw.t = {_NOTE.format('aw.t')} then aw.t else aw.t || ' ' || {_NOTE.format('aw.t')} end, signature, doc)), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) as term from n left join aw on aw.id = n.id) group by all)"""
 _VOCAB = f"""vocab as (select term, count(*) as n from (select id, unnest(list_distinct(list_transform(string_split(regexp_replace(regexp_extract(id, '[^.$]*$'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), ' '), lambda p: lower(p)))) as term from n where kind in {sql.CODE}) where length(term) > 2 group by term)"""
 _LOG = "l as (select distinct t, lower(trim(kind, E' \\t\\r\\n\\f\\v')) as kind, arg from query_log where t is not null and arg is not null and kind is not null)"
 _FETCH = f"""{_LOG}, q as (select t as qt, max(arg) as question from l where kind = 'explain' group by t), f as (select l.t, l.arg, arg_max(q.question, q.qt) as question from l join q on q.qt <= l.t and l.t - q.qt <= {S.REMEMBERED} where l.kind in ('source','node') group by all)"""

@@ -122,6 +122,11 @@ def dead_classes(spark: SparkSession, d: str) -> DataFrame:
     return D.dead_classes(G.load(spark, d))
 
 
+def dead_members(spark: SparkSession, d: str) -> DataFrame:
+    """Methods that nothing live calls and constants that nothing reads."""
+    return D.dead_members(G.load(spark, d))
+
+
 def version_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return D.version_conflicts(G.load(spark, d))
 
@@ -145,7 +150,7 @@ def package_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (impact, impact_by_module, impact_tests, impact_of_changes, around, path, type_closure, dispatches, overrides, climbs, call_chains, class_projection, in_degree, layers, layer_violations,
-                                   test_links, package_rings, dead_classes, version_conflicts, god_classes, untested_gods, package_sizes)}
+                                   test_links, package_rings, dead_classes, dead_members, version_conflicts, god_classes, untested_gods, package_sizes)}
 
 _G = f"with recursive {sql.graph()}"
 _O = sql.OWNER.format
@@ -162,7 +167,12 @@ _W = "case kind " + " ".join(f"when '{k}' then {v}" for k, v in D.WEIGHTS.items(
 _PROJ = f"""{_CLASSES}, proj as (select src, dst, weight from (select {_O('src')} as src, {_O('dst')} as dst, sum({_W}) as weight from e where kind in {tuple(D.WEIGHTS)} group by 1, 2)
     where src <> dst and src in (select id from cls) and dst in (select id from cls))"""
 _NAME = "regexp_extract(id, '[^.$]*$')"
-_NAMED = "case " + " ".join("when " + " or ".join(f"({_NAME} like '%{s}' and length({_NAME}) > {len(s)})" for s in ends) + f" then '{layer}'" for layer, ends in D.SUFFIXES.items()) + " end"
+_NOTES = "coalesce(json_keys(attrs['annotations']::json), [])"
+_NAMED = (
+    "case when id in (select src from e where kind in ('EXTENDS','IMPLEMENTS') and dst like 'org.springframework.data.%Repository') then 'repository' "
+    + " ".join(f"when list_has_any({_NOTES}, {list(names)}) then '{layer}'" for layer, names in D.ANNOTATED.items()) + " " + " ".join("when " + " or ".join(f"({_NAME} like '%{s}' and length({_NAME}) > {len(s)})" for s in ends) + f" then '{layer}'" for layer, ends in D.SUFFIXES.items())
+    + f" when list_contains({_NOTES}, '{D.COMPONENT}') then 'service' end"
+)
 _LAYERS = f"""lay1 as (select id, kind, {_NAMED} as named from cls),
     works as (select distinct src from e where kind = 'CONTAINS' and contains(dst, '(') and not (regexp_matches(split_part(substr(dst, strpos(dst, '#') + 1), '(', 1), '^(get|set|is|<)') or split_part(substr(dst, strpos(dst, '#') + 1), '(', 1) in {D.OBJECT_METHODS})),
     lay as (select id, coalesce(named, case when kind in ('RECORD','ENUM') then 'model' when id in (select p.src from proj p join lay1 x on x.id = p.dst where x.named in ('repository','client')) then 'service'
@@ -170,6 +180,25 @@ _LAYERS = f"""lay1 as (select id, kind, {_NAMED} as named from cls),
 _TOP = "split_part(split_part({}, '#', 1), '$', 1)"
 _PKG = "case when contains({0}, '.') then regexp_replace({0}, '\\.[^.]*$', '') else '' end"
 
+_SIMPLE = "list_transform(coalesce(json_keys({}['annotations']::json), []), lambda x: regexp_extract(x, '[^.]*$'))"
+_REFS = f"""mem as (select e.src as cls, m.id, m.kind, m.start_line as lo, m.end_line as hi from e join n c on c.id = e.src and c.kind in {sql.CODE} join n m on m.id = e.dst where e.kind = 'CONTAINS' and m.start_line is not null and m.kind in ('METHOD','CONSTRUCTOR','FIELD')),
+    wr as (select cls, min(lo) as first from mem where kind = 'FIELD' or coalesce(hi, 0) > lo group by cls),
+    made as (select m.id from mem m left join wr using (cls) where m.kind <> 'FIELD' and m.hi = m.lo and (m.lo < coalesce(wr.first, 2147483647) or exists (select 1 from mem f where f.cls = m.cls and f.kind = 'FIELD' and m.lo between f.lo and coalesce(f.hi, f.lo)))
+        union select id from n where contains(coalesce(attrs['annotations'], ''), 'lombok.Generated')),
+    tests as (select id from n where {sql.TEST.format('')}),
+    live as (select e.src, coalesce(b.attrs['type'], e.dst) as dst, e.kind, (e.src in (from tests) or {_TOP.format('e.src')} in (from tests)) as test from e left join n b on b.id = e.dst and b.kind = 'BEAN' and e.kind = 'INJECTS' where e.kind in {D.REFERENCES} and e.src not in (from made)),
+    refs as (select distinct {_TOP.format('dst')} as c, {_TOP.format('src')} as r from live where not test and {_TOP.format('dst')} <> {_TOP.format('src')})"""
+_DEAD = f"""sup as (select e.src, count(*) as k, max((n.origin = 'EXTERNAL')::int) as x from e left join n on n.id = e.dst where e.kind in ('EXTENDS','IMPLEMENTS') group by e.src),
+    entry as (select id from n where list_has_any({_SIMPLE.format('attrs')}, {list(D.ENTRY_ANNOTATIONS)}) or starts_with(substr(id, nullif(strpos(id, '#'), 0) + 1), 'main(') union select fqn from n where kind = 'SCHEDULED_JOB' union select src from e where kind in ('HANDLES_ROUTE','CONSUMES_FROM','PROVIDES_BEAN')),
+    ent as (select distinct src from e where kind = 'CONTAINS' and dst in (from entry)),
+    named as (select id, regexp_extract(regexp_replace(regexp_replace(regexp_replace(coalesce(signature, ''), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '(\\s(?:extends|implements)\\s.*)$', 1) as tail from cls),
+    cnt as (select id, len(list_filter(string_split(regexp_replace(tail, '\\s(extends|implements)\\s', ',', 'g'), ','), lambda x: trim(x) <> '')) as k from named),
+    con as (select c.id, c.kind, c.attrs, (cnt.k > coalesce(s.k, 0) or coalesce(s.x, 0) > 0) as contract from cls c join cnt using (id) left join sup s on s.src = c.id where c.origin = 'REPO'),
+    judged as (select id from con where kind <> 'ANNOTATION' and not contains(id, '$') and id not in (from ent) and len(list_filter({_SIMPLE.format('attrs')}, lambda x: x in {D.LIVE_CLASS_ANNOTATIONS} or starts_with(x, 'Enable'))) = 0
+        and ((kind = 'INTERFACE' and id in (select src from e where kind = 'PROVIDES_BEAN')) or not contract)),
+    ring as (select r, c from refs union select ring.r, f.c from ring join refs f on f.r = ring.c), alive as (select r as id from refs where r not in (from judged) union select c from ring where r = c union select f.c from alive join refs f on f.r = alive.id),
+    dead as (select id from judged where id not in (from alive))"""
+
 ORACLE = {
     "impact": f"{_G}, {_REACH} select * from near",
     "impact_by_module": f"{_G}, {_REACH} select coalesce(n.module, n.artifact, 'external') as unit, count(*) as n from near left join n using (id) where distance > 0 group by 1",
@@ -216,13 +245,16 @@ ORACLE = {
     "god_classes": f"{_G}, {_PROJ} select dst as id, count(*) as n from proj group by dst having count(*) >= 2 order by n desc, id limit 10",
     "untested_gods": f"{_G}, {_PROJ}, gods as (select dst as id, count(*) as n from proj group by dst having count(*) >= 2 order by n desc, id limit 10) select * from gods where id in (select id from n where origin = 'REPO') and id not in (select dst from e where kind = 'TESTS')",
     "package_sizes": f"""{_G}, {_CLASSES}, k as (select {_PKG.format('id')} as pkg, coalesce(attrs['layer'], 'none') as layer, count(*) as c from cls group by all) select pkg, sum(c)::bigint as n, count(*) as n_layers, arg_min(layer, (-c, layer)) as main_layer from k group by pkg""",
-    "dead_classes": f"""{_G}, {_CLASSES}, tests as (select id from n where {sql.TEST.format('')}), refs as (select distinct {_TOP.format('dst')} as c, {_TOP.format('src')} as r from e where kind in {D.REFERENCES} and {_TOP.format('dst')} <> {_TOP.format('src')} and {_TOP.format('src')} not in (from tests)),
-        sup as (select e.src, count(*) as k, max((n.origin = 'EXTERNAL')::int) as x from e left join n on n.id = e.dst where e.kind in ('EXTENDS','IMPLEMENTS') group by e.src),
-        ent as (select distinct src from e where kind = 'CONTAINS' and (dst in (select src from e where kind in ('HANDLES_ROUTE','CONSUMES_FROM','PROVIDES_BEAN')) or dst in (select id from n where kind = 'METHOD' and contains(id, '#main(') and starts_with(substr(id, strpos(id, '#') + 1), 'main(')))),
-        named as (select id, regexp_extract(regexp_replace(regexp_replace(regexp_replace(coalesce(signature, ''), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g'), '(\\s(?:extends|implements)\\s.*)$', 1) as tail from cls),
-        cnt as (select id, len(list_filter(string_split(regexp_replace(tail, '\\s(extends|implements)\\s', ',', 'g'), ','), lambda x: trim(x) <> '')) as k from named),
-        judged as (select c.id from cls c join cnt using (id) left join sup s on s.src = c.id where c.origin = 'REPO' and c.kind <> 'ANNOTATION' and not contains(c.id, '$') and c.id not in (from ent)
-            and ((c.kind = 'INTERFACE' and c.id in (select src from e where kind = 'PROVIDES_BEAN')) or not (cnt.k > coalesce(s.k, 0) or coalesce(s.x, 0) > 0))),
-        ring as (select r, c from refs union select ring.r, f.c from ring join refs f on f.r = ring.c), alive as (select r as id from refs where r not in (from judged) union select c from ring where r = c union select f.c from alive join refs f on f.r = alive.id),
-        dead as (select id from judged where id not in (from alive)) select dead.id, min(refs.r) as via from dead left join refs on refs.c = dead.id group by dead.id""",
+    "dead_classes": f"{_G}, {_CLASSES}, {_REFS}, {_DEAD} select dead.id, min(refs.r) as via from dead left join refs on refs.c = dead.id group by dead.id",
+    "dead_members": f"""{_G}, {_CLASSES}, {_REFS}, {_DEAD}, has as (select c.id as cls, c.kind as of_, c.contract, n.id, n.kind, coalesce(n.signature, '') as sig, substr(n.id, strpos(n.id, '#') + 1) as nm, split_part(substr(n.id, strpos(n.id, '#') + 1), '(', 1) as me,
+        n.attrs['annotations'] as notes from con c join e on e.src = c.id and e.kind = 'CONTAINS' join n on n.id = e.dst where c.kind not in ('INTERFACE','ANNOTATION') and {_TOP.format('c.id')} not in (from dead) and n.id not in (from made)),
+        called as (select distinct dst as id from live where kind in ('CALLS','DISPATCHES_TO') and not test), tcalled as (select distinct dst as id from live where kind in ('CALLS','DISPATCHES_TO') and test),
+        pr as (select *, regexp_replace(regexp_replace(regexp_replace(me, '^get', ''), '^set', ''), '^is', '') as bare from has where kind = 'METHOD'),
+        me as (select *, lower(left(bare, 1)) || substr(bare, 2) as prop, contains(sig, 'public') or contains(sig, 'protected') as vis from pr)
+        select id, 'field' as what, 'info' as severity, false as tested, null::varchar as implements from has where kind = 'FIELD' and contains(sig, 'static') and contains(sig, 'final') and nm <> 'serialVersionUID' and lower(nm) not in ('log','logger')
+            and not regexp_matches(case when contains(sig, ': ') then substr(sig, strpos(sig, ': ') + 2) else '' end, '(Logger|[.]Log)$') and id not in (select dst from live where kind = 'READS_FIELD' and not test)
+        union all select id, 'method', case when vis then 'info' else 'warning' end, id in (from tcalled), (select min(dst) from e where kind = 'OVERRIDES' and e.src = me.id) from me
+            where me.me not in {D.CONTRACT_METHODS} and not starts_with(me.me, 'lambda$') and not starts_with(me.me, '<') and id not in (from entry) and not (me.me <> prop and prop <> '' and exists (select 1 from e where e.kind = 'CONTAINS' and e.src = me.cls and e.dst = me.cls || '#' || prop))
+            and not (of_ = 'ENUM' and me.me in ('values','valueOf')) and not (of_ = 'RECORD' and ends_with(id, '()')) and id not in (select dst from e where kind = 'OVERRIDES') and not contains(sig, 'abstract') and id not in (from called) and not (vis and contract)
+            and id not in (select o.src from e o left join n t on t.id = o.dst where o.kind = 'OVERRIDES' and (coalesce(t.origin, '') <> 'REPO' or o.dst in (from called)))""",
 }
