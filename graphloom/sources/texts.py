@@ -1,13 +1,16 @@
 """Facts out of texts by line: Markdown sections, configuration, dependencies, finding tables, Java outlines, logs, mentions of classes.
 
-All are column expressions over the lines of a text, one text at a time, so nothing but the columns asked for leaves the scan.
+Nearly all are column expressions over the lines of a text, one text at a time, so nothing but the columns asked for leaves the scan.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.common import BLANKS, sieve
+
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line: the lines of each text from 1, without the marks at their ends. Null texts have none."""
@@ -53,35 +56,103 @@ def log_lines(docs: DataFrame) -> DataFrame:
     return lines(docs).where(F.col("line").rlike(p)).select("doc_id", "line_no", *(F.regexp_extract("line", p, k).alias(n) for k, n in enumerate(("time", "level", "thread", "logger", "message"), 1)))
 
 
-def mentions(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, id: classes whose short name a text mentions as a word with a capital inside; nodes: id of types."""
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9]*)+)(?![A-Za-z0-9_])"), 1))
-    named = docs.where("doc_id is not null and text is not null").select("doc_id", F.explode(words).alias("name"))
-    known = nodes.select("id", F.substring_index(F.substring_index("id", ".", -1), "$", -1).alias("name"))
-    return named.join(known, "name").select("doc_id", "id").distinct()
+def _named(rows: DataFrame, keys: list[str], nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows: keys, text. keys, id: the types whose short name stands in a text as a word, or of Class.member( the member; of members of one name the smallest id.
+
+    nodes: id of types; edges: src, dst of what they hold. Words that name no type end at a sieve, before any shuffle."""
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9]+(?:\.[a-z][A-Za-z0-9]*\()?"), 0))
+    words = rows.select(*keys, F.explode(found).alias("w")).select(*keys, F.substring_index("w", ".", 1).alias("name"), F.when(F.contains("w", F.lit("(")), F.substring_index(F.substring_index("w", "(", 1), ".", -1)).alias("called")).withColumn("_h", F.xxhash64("name"))
+    types = nodes.select(F.col("id").alias("cls"), F.substring_index(F.substring_index("id", ".", -1), "$", -1).alias("name"))
+    met = sieve(words, types.select(F.xxhash64("name").alias("_h")), "_h").drop("_h").join(types, "name")
+    held = edges.select(F.col("src").alias("_cls"), F.substring_index(F.substring_index("dst", "#", -1), "(", 1).alias("_called"), F.col("dst").alias("member")).groupBy("_cls", "_called").agg(F.min("member").alias("member"))
+    told = met.join(held, (F.col("cls") == F.col("_cls")) & (F.col("called") == F.col("_called")), "left")
+    return told.select(*keys, F.coalesce("member", "cls").alias("id")).distinct()
+
+
+def mentions(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, id: the types and members that a text names. nodes: id of types; edges: src, dst of what they hold."""
+    return _named(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), ["doc_id"], nodes, edges)
+
+
+#: Folders whose Markdown is no documentation of the project, and names of files that list every name ever touched.
+SKIPPED = (".git", ".claude", ".idea", ".vscode", "build", "target", "node_modules", "out")
+NOISE = r"(?i)^(changelog|changes|history|release[-_ ]?notes|releases)\b"
+
+
+def prose(docs: DataFrame) -> DataFrame:
+    """doc_id, id, heading, first_line, last_line, text of the sections of Markdown files, by their path: from one line that begins with # up to the next, the part
+    before the first one under the file's name. Sections without text are left out; the text is whole, its lines joined by blanks."""
+    name = F.substring_index("path", "/", -1)
+    kept = docs.where(F.lower("path").endswith(".md")).where(~name.rlike(NOISE)).where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+    rows = lines(kept).join(kept.select("doc_id", "path"), "doc_id")
+    head = F.startswith("line", F.lit("#"))
+    marked = rows.withColumn("section", F.sum(head.cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no")))
+    said = F.when(~head, F.struct("line_no", F.trim("line", F.lit(BLANKS)).alias("line")))
+    title = F.min(F.when(head, F.trim(F.regexp_replace("line", "^#+", ""), F.lit(BLANKS))))
+    held = marked.groupBy("doc_id", "path", "section").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), title.alias("title"), F.sort_array(F.collect_list(said))["line"].alias("body"))
+    heading = F.when(F.coalesce("title", F.lit("")) == "", name).otherwise(F.col("title"))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(heading), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    told = held.select("doc_id", F.concat(F.lit("doc:"), "path", F.lit("#"), slug).alias("id"), heading.alias("heading"), "first_line", "last_line", F.trim(F.array_join("body", " "), F.lit(BLANKS)).alias("text"))
+    return told.where("text <> ''")
+
+
+def prose_links(sections: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst: each section and the types and members that it names in its heading or text."""
+    return _named(sections.select(F.col("id").alias("src"), F.concat_ws("\n", "heading", "text").alias("text")), ["src"], nodes, edges).select("src", F.col("id").alias("dst"))
+
+
+def _yaml(text: str) -> list[tuple[int, str, str]]:
+    """line, key, value of the entries of a YAML text, each line looked at once."""
+    out, above, held, items = [], [], None, []
+
+    def flush() -> None:
+        nonlocal held
+        if held:
+            out.append((held[1], held[0], f"[{', '.join(items)}]"))
+        held = None
+        items.clear()
+
+    for n, raw in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1):
+        line = raw.split(" #", 1)[0].rstrip()
+        body = line.strip()
+        if not body or body.startswith("#"):
+            continue
+        if body == "---":
+            flush()
+            above.clear()
+            continue
+        indent = len(line) - len(line.lstrip())
+        if body.startswith("- "):
+            if held is None and above:
+                held = (".".join(k for _, k in above), n, indent)
+            if held and held[2] == indent:
+                items.append(body[2:].strip().strip("\"'"))
+            continue
+        if held and indent <= held[2]:
+            flush()
+        key, colon, value = body.partition(":")
+        if not colon or not key:
+            continue
+        key, value = key.strip().strip("\"'"), value.strip()
+        while above and above[-1][0] >= indent:
+            above.pop()
+        if value in ("", "|", ">"):
+            above.append((indent, key))
+        else:
+            out.append((n, ".".join([*(k for _, k in above), key]), value.strip("\"'")))
+    flush()
+    return out
 
 
 def yaml_keys(text: Column) -> Column:
-    """The values of a YAML text as an array of (line, key, value): keys joined by dots along the indents, lists as [a, b] left out, comments cut.
-
-    A fold over the lines keeps the keys above; a document mark starts anew."""
-    entry = "struct<line:int,key:string,value:string>"
-    p = r"^( *)([\w.\"'-]+):(?:\s+(.*?))?\s*$"
-    bare = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x, i: F.struct(F.regexp_replace(x, r"(^|\s)#.*$", "").alias("text"), (i + 1).cast("int").alias("line")))
-    start = F.struct(F.array().cast("array<struct<indent:int,key:string>>").alias("above"), F.array().cast(f"array<{entry}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        indent = F.length(F.regexp_extract(x["text"], p, 1))
-        key, value = F.regexp_replace(F.regexp_extract(x["text"], p, 2), "[\"']", ""), F.regexp_replace(F.regexp_extract(x["text"], p, 3), "^[\"']|[\"']$", "")
-        kept = F.filter(acc["above"], lambda a: a["indent"] < indent)
-        whole = F.concat_ws(".", F.transform(kept, lambda a: a["key"]), key)
-        deeper = F.struct(F.array_append(kept, F.struct(indent.cast("int").alias("indent"), key.alias("key"))).alias("above"), acc["out"].alias("out"))
-        leaf = F.struct(kept.alias("above"), F.array_append(acc["out"], F.struct(x["line"].alias("line"), whole.alias("key"), value.alias("value"))).alias("out"))
-        # a key with a value may still hold deeper lines, as generated files have them
-        both = F.struct(deeper["above"].alias("above"), leaf["out"].alias("out"))
-        return F.when(x["text"].rlike("^---"), F.struct(start["above"].alias("above"), acc["out"].alias("out"))).when(~x["text"].rlike(p), acc).when(value == "", deeper).otherwise(both)
-
-    return F.aggregate(bare, start, step, lambda acc: acc["out"])
+    """The values of a YAML text as an array of (line, key, value): keys joined by dots along the indents, a list as one value [a, b] under its key, comments cut.
+
+    A document mark starts anew; null has null. What stands above a line depends on all lines before, so each text is read line by line, on Arrow batches."""
+
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"line": n, "key": k, "value": v} for n, k, v in _yaml(t)])
+
+    return F.pandas_udf(read, "array<struct<line:int,key:string,value:string>>")(text)
 
 
 def property_keys(text: Column) -> Column:
