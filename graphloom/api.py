@@ -121,13 +121,16 @@ class CodeGraph:
         return self.graph.edges.where(F.col("kind") == "DEPENDS_ON_ARTIFACT").where(F.col("src") == module).select(F.col("dst").alias("artifact"))
 
     def findings(self) -> DataFrame:
-        """kind, subject, about of layer violations, rings of packages, version conflicts and dead classes."""
+        """kind, subject, about of layer violations, rings of packages, version conflicts, dead classes and dead members."""
         g = self.graph
         bad = derive.layer_violations(self.projection, derive.layers(g, self.projection)).select(F.lit("layer-violation").alias("kind"), F.col("src").alias("subject"), F.col("dst").alias("about"))
         rings = derive.cyclic_packages(g, self.projection).select(F.lit("cyclic-packages").alias("kind"), F.col("id").alias("subject"), F.col("component").alias("about"))
         versions = derive.version_conflicts(g).select(F.lit("version-conflict").alias("kind"), F.col("src").alias("subject"), F.concat_ws(" ", "name", "versions").alias("about"))
-        dead = derive.dead_classes(g).select(F.lit("dead-code").alias("kind"), F.col("id").alias("subject"), F.col("via").alias("about"))
-        return bad.unionByName(rings).unionByName(versions).unionByName(dead)
+        refs = cut(derive.live_references(g, derive.generated_members(g)))
+        classes = cut(derive.dead_classes(g, refs))
+        dead = classes.select(F.lit("dead-code").alias("kind"), F.col("id").alias("subject"), F.col("via").alias("about"))
+        members = derive.dead_members(g, refs, classes).select(F.lit("dead-code").alias("kind"), F.col("id").alias("subject"), F.col("implements").alias("about"))
+        return bad.unionByName(rings).unionByName(versions).unionByName(dead).unionByName(members)
 
     def overview(self) -> DataFrame:
         return self.graph.nodes.where("module is not null").groupBy("module", "kind").agg(F.count("*").alias("n"))

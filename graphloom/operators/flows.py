@@ -76,7 +76,7 @@ def flows(g: G.Graph) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known = {r.src: [(c["dst"], c["resolution"], c["what"]) for c in r.calls] if r.calls is not None else [] for r in pdf.itertuples() if r.src is not None}
         steps, outside, missing = walk(pdf["entry"].iloc[0], known)
-        return pd.DataFrame({"entry": [pdf["entry"].iloc[0]], "steps": [[{"id": i, "depth": d, "via": v} for i, d, v in steps]], "external": [outside[:10]], "missing": [missing]})
+        return pd.DataFrame({"entry": [pdf["entry"].iloc[0]], "steps": [[{"id": i, "depth": d, "via": v} for i, d, v in steps]], "external": [outside], "missing": [missing]})
 
     known = starts.select(F.col("id").alias("entry"), F.lit(None).cast("string").alias("src"), F.lit(None).cast(calls.schema["calls"].dataType).alias("calls"))
     while True:

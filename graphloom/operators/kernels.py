@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import cut
+from graphloom.common import cut, cut_measured
 from graphloom.functions.names import package
 
-#: Betweenness is exact up to so many nodes; beyond, so many sources with the smallest hashes stand for all.
-EXACT_NODES, SAMPLED_SOURCES = 2_000, 200
+#: Sources that betweenness searches from side by side; their states are what one round holds.
+SOURCES_PER_BLOCK = 2_000
 #: Resolutions of the levels of communities, finest first.
 RESOLUTIONS = (1.0, 0.4, 0.15)
 #: Packages of so many classes, least and most, draw their classes together.
@@ -22,24 +22,40 @@ def undirected(projection: DataFrame) -> DataFrame:
     return both.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def betweenness(projection: DataFrame, ids: DataFrame) -> DataFrame:
+def betweenness(projection: DataFrame, ids: DataFrame, sample: int | None = None) -> DataFrame:
     """id, betweenness: on how many shortest ways, unweighted and undirected, each of ids (id) lies; shares where ways are equally short.
 
-    One search per source, all of them in the same rounds: forwards the number of ways to each node level by level, then backwards each node's share."""
+    All of ids are sources, in blocks of SOURCES_PER_BLOCK, and the result is exact whatever their number. sample: only so many sources, those with the smallest
+    hashes, stand for all, scaled up; an estimate that must be asked for."""
     links = cut(undirected(projection).select("src", "dst"))
     n = ids.count()
-    exact = n <= EXACT_NODES
-    sources = cut(ids.select(F.col("id").alias("source")) if exact else ids.orderBy(F.xxhash64("id"), "id").limit(SAMPLED_SOURCES).select(F.col("id").alias("source")))
+    sources = ids.select(F.col("id").alias("source"))
+    if sample is not None and sample < n:
+        sources = sources.orderBy(F.xxhash64("source"), "source").limit(sample)
+    sources, scale = cut(sources), 1.0 if sample is None or sample >= n else n / sample
+    blocks = min(n, sample or n) // SOURCES_PER_BLOCK + 1
+    total = None
+    for block in range(blocks):
+        own = _searched(links, sources.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == block))
+        total = own if total is None else total.union(own)
+    sums = total.groupBy("id").agg((F.sum("delta") * F.lit(scale / 2)).alias("_b"))
+    return ids.select("id").join(sums, "id", "left").select("id", F.coalesce("_b", F.lit(0.0)).alias("betweenness"))
+
+
+def _searched(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """id, delta: the shares of the shortest ways from some sources, in the same rounds: forwards the number of ways to each node level by level, then backwards
+    each node's share."""
     frontier = cut(sources.select("source", F.col("source").alias("id"), F.lit(0).alias("level"), F.lit(1.0).alias("ways")))
     levels, seen = [frontier], frontier
     while True:
         found = frontier.join(links, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("ways").alias("ways"))
-        frontier = cut(found.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("level"), "ways"))
-        if frontier.isEmpty():
+        fresh = found.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(levels)).alias("level"), "ways")
+        frontier, met = cut_measured(fresh, n=F.count(F.lit(1)))
+        if not met["n"]:
             break
         levels.append(frontier)
         seen = seen.unionByName(frontier)
-    below, total = None, None
+    below, total = None, sources.select(F.col("source").alias("id"), F.lit(0.0).alias("delta")).limit(0)
     for level in reversed(levels[1:]):
         own = level.select("source", "id", "ways")
         if below is None:
@@ -49,12 +65,8 @@ def betweenness(projection: DataFrame, ids: DataFrame) -> DataFrame:
             summed = back.groupBy("source", F.col("up").alias("id")).agg(F.sum("part").alias("part"))
             share = own.join(summed, ["source", "id"], "left").select("source", "id", "ways", F.coalesce(F.col("ways") * F.col("part"), F.lit(0.0)).alias("delta"))
         below = cut(share)
-        total = below.select("id", "delta") if total is None else total.union(below.select("id", "delta"))
-    scale = 1.0 if exact else n / SAMPLED_SOURCES
-    if total is None:
-        return ids.select("id", F.lit(0.0).alias("betweenness"))
-    sums = total.groupBy("id").agg((F.sum("delta") * F.lit(scale / 2)).alias("_b"))
-    return ids.select("id").join(sums, "id", "left").select("id", F.coalesce("_b", F.lit(0.0)).alias("betweenness"))
+        total = total.union(below.groupBy("id").agg(F.sum("delta").alias("delta")))
+    return cut(total.groupBy("id").agg(F.sum("delta").alias("delta")))
 
 
 def _moved(links: DataFrame, resolution: float) -> DataFrame:

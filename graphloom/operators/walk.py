@@ -9,6 +9,9 @@ from graphloom.common import cut
 from graphloom.functions.names import member, owner
 from graphloom.operators import graph as G
 
+#: Lines of a file that one key of the joins on lines stands for.
+LINES_PER_BLOCK = 100
+
 
 def reach(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """id, distance of everything that links (src, dst) lead to from seeds (id) in depth steps at most, by the fewest steps.
@@ -81,9 +84,14 @@ def shortest_path(g: G.Graph, start: str, end: str, longest: int = 6) -> DataFra
 
 
 def changed_members(g: G.Graph, ranges: DataFrame) -> DataFrame:
-    """id of the members whose lines overlap changed ranges (file, first, last), or of the file's types where no member does."""
+    """id of the members whose lines overlap changed ranges (file, first, last), or of the file's types where no member does.
+
+    Members and ranges meet by file and block of lines, so a file with very many of both is no one group."""
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / LINES_PER_BLOCK), F.floor(F.greatest(a, b) / LINES_PER_BLOCK))).alias("block")
     spans = g.nodes.where("file is not null and start_line is not null").select("id", "file", "start_line", F.coalesce("end_line", "start_line").alias("end_line"), G.is_code().alias("code"), "kind")
-    hit = spans.where("not code and kind <> 'FILE'").join(ranges, "file").where("start_line <= last and end_line >= first").select("id", "file").distinct()
+    members = spans.where("not code and kind <> 'FILE'").select("id", "file", "start_line", "end_line", blocks("start_line", "end_line"))
+    wanted = ranges.where("file is not null and first is not null and last is not null").select("file", "first", "last", blocks("first", "last"))
+    hit = members.join(wanted, ["file", "block"]).where("start_line <= last and end_line >= first").select("id", "file").distinct()
     rest = ranges.select("file").distinct().join(hit, "file", "left_anti")
     types = g.nodes.where(G.is_code()).where("file is not null").select("id", "file").join(rest, "file")
     return hit.select("id").union(types.select("id")).distinct()

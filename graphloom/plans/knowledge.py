@@ -125,26 +125,31 @@ def self_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    """All findings of the graph: layer violations, package rings, version conflicts, untested god classes and dead classes, by kind and subject."""
+    """All findings of the graph: layer violations, package rings, version conflicts, untested god classes, dead classes and dead members, by kind and subject."""
     g = G.load(spark, d)
     projection = cut(D.class_projection(g))
     layer = D.layers(g, projection)
+    refs = cut(D.live_references(g, D.generated_members(g)))
+    dead = cut(D.dead_classes(g, refs))
     row = lambda df, kind, severity, subject: df.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.col(subject).alias("subject"))
     return (
         row(D.layer_violations(projection, layer), "layer-violation", "warning", "src")
         .unionByName(row(D.cyclic_packages(g, projection).where("id = component"), "cyclic-packages", "warning", "id"))
         .unionByName(row(D.version_conflicts(g), "version-conflict", "info", "src"))
         .unionByName(row(D.untested_gods(g, D.in_degrees(projection)), "untested-god-node", "info", "id"))
-        .unionByName(row(D.dead_classes(g), "dead-code", "info", "id"))
+        .unionByName(row(dead, "dead-code", "info", "id"))
+        .unionByName(D.dead_members(g, refs, dead).select(F.lit("dead-code").alias("kind"), "severity", F.col("id").alias("subject")))
         .groupBy("kind", "severity", "subject").agg(F.count("*").alias("n"))
     )
 
 
 def graph_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The whole graph as lines of JSON, nodes and edges, as an export holds them; edges go without their line."""
+    """The whole graph as lines of JSON, nodes and edges with all they hold, as an export has them; edges go without their line."""
     g = G.load(spark, d)
-    nodes = g.nodes.select(F.lit("node").alias("tab"), F.col("id").alias("key"), F.to_json(F.struct("id", "kind", "fqn", "origin", "module")).alias("json"))
-    edges = g.edges.select(F.lit("edge").alias("tab"), F.concat_ws(" ", "src", "dst", "kind").alias("key"), F.to_json(F.struct("src", "dst", "kind", "resolution")).alias("json"))
+    attrs = F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("attrs", F.create_map().cast("map<string,string>")))))
+    whole = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"}).alias("json")
+    nodes = g.nodes.select(F.lit("node").alias("tab"), F.col("id").alias("key"), whole("id", "kind", "fqn", "origin", "signature", "file", "start_line", "end_line", "doc", "sha", "module", "artifact", attrs.alias("attrs")))
+    edges = g.edges.select(F.lit("edge").alias("tab"), F.concat_ws(" ", "src", "dst", "kind").alias("key"), whole("src", "dst", "kind", "resolution", "confidence"))
     return nodes.unionByName(edges)
 
 
@@ -166,7 +171,10 @@ _DIFF = f"""with recursive {sql.graph('(select min(snap_no) from snaps)', 'bn',
         when hc.kind in {X.WIRING} then case when hc.attrs <> bc.attrs then 'attributes changed' end when hc.sha is not null and bc.sha is not null then case when hc.sha <> bc.sha then 'body changed' end
         when hc.signature is distinct from bc.signature then 'signature changed' when hc.calls is distinct from bc.calls then 'calls changed' end as what from hc full join bc on bc.id = hc.id)"""
 
+_ATTRS = "map_from_entries(list_sort(map_entries(coalesce(attrs, map {}))))"
 ORACLE = {
+    "graph_rows": f"{_G} select 'node' as tab, id as key, to_json({{'id': id, 'kind': kind, 'fqn': fqn, 'origin': origin, 'signature': signature, 'file': file, 'start_line': start_line, 'end_line': end_line, 'doc': doc, 'sha': sha, 'module': module, 'artifact': artifact, 'attrs': {_ATTRS}}})::varchar as json from n "
+    "union all select 'edge', src || ' ' || dst || ' ' || kind, to_json({'src': src, 'dst': dst, 'kind': kind, 'resolution': resolution, 'confidence': confidence})::varchar from e",
     "flow_entries": f"""{_G}, x as (select src as id, 0 as rank, n.fqn as label from e join n on n.id = e.dst where e.kind = 'HANDLES_ROUTE' and coalesce(n.attrs['remote'] <> 'true', true) union all select src, 1, 'consume ' || n.fqn from e join n on n.id = e.dst where e.kind = 'CONSUMES_FROM'
         union all select dst, 2, 'scheduled ' || {_SHORT.replace('id', 'dst')} from e where kind = 'CALLS' and src like 'job:%' union all select id, 3, 'main ' || {_SHORT} from n where kind = 'METHOD' and origin = 'REPO' and id like '%#main(java.lang.String[])' and not {sql.TEST.format('')})
         select id, (['route','consumer','job','main'])[rank + 1] as entry_kind, label from x where id in (select id from n) qualify row_number() over (partition by id order by rank, label) = 1""",
@@ -184,5 +192,5 @@ ORACLE = {
     "self_calls": f"{_G} select e.src, e.dst, e.line from e join n on n.id = e.dst where e.kind = 'CALLS' and e.src <> e.dst and split_part(e.src, '#', 1) = split_part(e.dst, '#', 1) and n.kind = 'METHOD' and len(json_keys(n.attrs['annotations']::json)) > 0",
     "findings": "select kind, severity, subject, count(*) as n from ("
     f"select 'layer-violation' as kind, 'warning' as severity, src as subject from ({_WALKS['layer_violations']}) union all select 'cyclic-packages', 'warning', id from ({_WALKS['package_rings']}) where id = component "
-    f"union all select 'version-conflict', 'info', src from ({_WALKS['version_conflicts']}) union all select 'untested-god-node', 'info', id from ({_WALKS['untested_gods']}) union all select 'dead-code', 'info', id from ({_WALKS['dead_classes']})) group by all",
+    f"union all select 'version-conflict', 'info', src from ({_WALKS['version_conflicts']}) union all select 'untested-god-node', 'info', id from ({_WALKS['untested_gods']}) union all select 'dead-code', 'info', id from ({_WALKS['dead_classes']}) union all select 'dead-code', severity, id from ({_WALKS['dead_members']})) group by all",
 }
