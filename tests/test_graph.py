@@ -28,17 +28,27 @@ def edge(src, dst, kind="CALLS", confidence=1.0, resolution="EXACT"):
 
 @pytest.fixture(scope="module")
 def project(spark):
-    classes = ["a.OrderController", "a.OrderService", "a.OrderRepository", "b.ReportService", "b.Util1", "b.Util2", "c.LegacyExport", "c.LegacyRow", "d.Shape", "d.Circle", "d.Ring"]
-    nodes = [node(c, "CLASS", signature=f"class {c}", lines=(1, 90)) for c in classes] + [node("a.OrderServiceTest", "CLASS", attrs={"test": "true"}), node("a.Order", "RECORD")]
-    methods = ["a.OrderController#list()", "a.OrderService#open()", "a.OrderRepository#findAll()", "b.ReportService#run()", "b.Util1#f()", "b.Util2#g()", "d.Shape#area()", "d.Circle#area()", "d.Ring#area()", "a.Order#getId()"]
-    nodes += [node(m, signature=f"public void {m}", lines=(10 * k + 1, 10 * k + 5)) for k, m in enumerate(methods)]
-    nodes += [node("a.OrderServiceTest#t()", attrs={"test": "true"}), node("route:GET /orders", "HTTP_ROUTE"), node("lib.Log#info()", origin="EXTERNAL"), node("topic:t", "MESSAGE_TOPIC")]
-    edges = [edge(m.split("#")[0], m, "CONTAINS") for m in methods] + [edge("a.OrderServiceTest", "a.OrderServiceTest#t()", "CONTAINS")]
+    """A weather station: sensors behind an interface, readings in a store, an alarm that goes over a topic, and what nobody uses any more."""
+    note = lambda name: {"annotations": f'{{"{name}": {{}}}}'}
+    types = {"wx.api.StationController": "CLASS", "wx.core.ReadingService": "CLASS", "wx.data.ReadingStore": "CLASS", "wx.core.Reading": "RECORD", "wx.sensor.Probe": "INTERFACE", "wx.sensor.Thermo": "CLASS", "wx.sensor.FieldThermo": "CLASS",
+             "wx.alarm.AlarmLoop": "CLASS", "wx.alarm.Bell": "INTERFACE", "wx.old.PaperTape": "CLASS", "wx.old.TapeHole": "CLASS"}
+    nodes = [node(c, k, signature=f"{k.lower()} {c}", lines=(1, 90)) for c, k in types.items()]
+    nodes += [node("wx.core.ReadingServiceIT", "CLASS", attrs={"test": "true"}), node("wx.alarm.Siren", "CLASS", attrs=note("org.springframework.stereotype.Component")), node("wx.sensor.Gauge", "CLASS", attrs=note("org.springframework.cloud.openfeign.FeignClient"))]
+    methods = ["wx.api.StationController#show(long)", "wx.api.StationController#drop(long)", "wx.core.ReadingService#latest(long)", "wx.core.ReadingService#prune()", "wx.core.ReadingService#getLimit()", "wx.data.ReadingStore#load(long)", "wx.data.ReadingStore#erase()",
+               "wx.data.ReadingStore#flush()", "wx.sensor.Probe#sample()", "wx.sensor.Thermo#sample()", "wx.sensor.FieldThermo#sample()", "wx.sensor.Gauge#sample()", "wx.alarm.AlarmLoop#tick()", "wx.alarm.Siren#blow()", "wx.alarm.Bell#ring()", "wx.alarm.Siren#ring()", "wx.core.Reading#celsius()"]
+    nodes += [node(m, signature=f"public void {m}", lines=(10 * k + 11, 10 * k + 15)) for k, m in enumerate(methods)] + [node("wx.data.ReadingStore#compact()", signature="private void compact()", lines=(300, 310))]
+    fields = {"wx.core.ReadingService#LIMIT": "private static final LIMIT: int", "wx.core.ReadingService#log": "private static final log: org.slf4j.Logger", "wx.core.ReadingService#limit": "private limit: int"}
+    nodes += [node(f, "FIELD", signature=x, lines=(k + 2, k + 2)) for k, (f, x) in enumerate(fields.items())] + [node("wx.core.ReadingService#setLimit(int)", signature="public void setLimit(int)", lines=(4, 4))]
+    nodes += [node("wx.core.ReadingServiceIT#latestIsFresh()", attrs={"test": "true"}), node("route:GET /stations/{id}", "HTTP_ROUTE"), node("route:DELETE /stations/{id}", "HTTP_ROUTE"), node("lib.Print#line()", origin="EXTERNAL"), node("topic:alarms", "MESSAGE_TOPIC")]
+    held = [*methods, *fields, "wx.data.ReadingStore#compact()", "wx.core.ReadingService#setLimit(int)", "wx.core.ReadingServiceIT#latestIsFresh()"]
+    edges = [edge(m.split("#")[0], m, "CONTAINS") for m in held]
     edges += [
-        edge("route:GET /orders", "x", "MENTIONS"), edge("a.OrderController#list()", "route:GET /orders", "HANDLES_ROUTE"), edge("a.OrderController#list()", "a.OrderService#open()"), edge("a.OrderService#open()", "a.OrderRepository#findAll()"),
-        edge("a.OrderService#open()", "a.Order#getId()"), edge("a.OrderService#open()", "lib.Log#info()"), edge("a.OrderRepository#findAll()", "b.ReportService#run()"), edge("b.ReportService#run()", "b.Util1#f()"), edge("b.Util1#f()", "b.Util2#g()"),
-        edge("b.Util2#g()", "b.ReportService#run()"), edge("b.ReportService", "a.Order", "USES_TYPE"), edge("a.OrderServiceTest#t()", "a.OrderService#open()"), edge("c.LegacyExport", "c.LegacyRow", "USES_TYPE"),
-        edge("d.Circle", "d.Shape", "EXTENDS"), edge("d.Ring", "d.Circle", "EXTENDS"), edge("b.Util1#f()", "d.Shape#area()"), edge("b.Util2#g()", "topic:t", "PRODUCES_TO"), edge("a.OrderController#list()", "topic:t", "CONSUMES_FROM"),
+        edge("wx.api.StationController#show(long)", "route:GET /stations/{id}", "HANDLES_ROUTE"), edge("wx.api.StationController#drop(long)", "route:DELETE /stations/{id}", "HANDLES_ROUTE"), edge("wx.api.StationController#show(long)", "wx.core.ReadingService#latest(long)"),
+        edge("wx.api.StationController#drop(long)", "wx.core.ReadingService#prune()"), edge("wx.core.ReadingService#latest(long)", "wx.data.ReadingStore#load(long)"), edge("wx.core.ReadingService#latest(long)", "wx.core.Reading#celsius()"), edge("wx.core.ReadingService#prune()", "wx.data.ReadingStore#erase()"),
+        edge("wx.core.ReadingService#prune()", "lib.Print#line()"), edge("wx.core.ReadingService#prune()", "wx.alarm.AlarmLoop#tick()"), edge("wx.data.ReadingStore#load(long)", "wx.sensor.Probe#sample()"), edge("wx.data.ReadingStore#erase()", "wx.core.ReadingService#latest(long)"),
+        edge("wx.core.ReadingServiceIT#latestIsFresh()", "wx.core.ReadingService#latest(long)"), edge("wx.core.ReadingServiceIT#latestIsFresh()", "wx.data.ReadingStore#flush()"), edge("wx.core.ReadingService#setLimit(int)", "wx.data.ReadingStore#compact()"),
+        edge("wx.sensor.Thermo", "wx.sensor.Probe", "IMPLEMENTS"), edge("wx.sensor.FieldThermo", "wx.sensor.Thermo", "EXTENDS"), edge("wx.sensor.Gauge", "wx.sensor.Probe", "IMPLEMENTS"), edge("wx.alarm.Siren", "wx.alarm.Bell", "IMPLEMENTS"), edge("wx.alarm.Siren#ring()", "wx.alarm.Bell#ring()", "OVERRIDES"),
+        edge("wx.old.PaperTape", "wx.old.TapeHole", "USES_TYPE"), edge("wx.alarm.AlarmLoop#tick()", "topic:alarms", "PRODUCES_TO"), edge("wx.alarm.Siren#blow()", "topic:alarms", "CONSUMES_FROM"), edge("route:GET /stations/{id}", "x", "MENTIONS"),
     ]
     return G.Graph(spark.createDataFrame(nodes, NODE).cache(), spark.createDataFrame(edges, EDGE).cache())
 
@@ -48,52 +58,88 @@ def pairs(df, *columns):
 
 
 def test_reach_and_path(spark, project):
-    seeds = spark.createDataFrame([("a.OrderRepository#findAll()",)], "id string")
+    seeds = spark.createDataFrame([("wx.data.ReadingStore#load(long)",)], "id string")
     near = dict(pairs(W.reach(W.backwards(project.edges), seeds, 3), "id", "distance"))
-    assert near == {"a.OrderRepository#findAll()": 0, "a.OrderService#open()": 1, "a.OrderController#list()": 2, "a.OrderServiceTest#t()": 2}
+    assert near == {"wx.data.ReadingStore#load(long)": 0, "wx.core.ReadingService#latest(long)": 1, "wx.api.StationController#show(long)": 2, "wx.core.ReadingServiceIT#latestIsFresh()": 2, "wx.data.ReadingStore#erase()": 2, "wx.core.ReadingService#prune()": 3}
     tests = W.tests_of(project, spark.createDataFrame([(x,) for x in near], "id string"), seeds)
-    assert pairs(tests, "id") == {("a.OrderServiceTest",)}
-    steps = W.shortest_path(project, "a.OrderController", "b.Util1#f()").orderBy("step").collect()
-    assert [r["dst"] for r in steps] == ["a.OrderController#list()", "a.OrderService#open()", "a.OrderRepository#findAll()", "b.ReportService#run()", "b.Util1#f()"]
-    assert W.shortest_path(project, "c.LegacyRow", "b.Util1#f()").count() == 0
+    assert pairs(tests, "id") == {("wx.core.ReadingServiceIT",)}
+    steps = W.shortest_path(project, "wx.api.StationController", "wx.sensor.Probe#sample()").orderBy("step").collect()
+    assert [r["dst"] for r in steps] == ["wx.api.StationController#show(long)", "wx.core.ReadingService#latest(long)", "wx.data.ReadingStore#load(long)", "wx.sensor.Probe#sample()"]
+    assert W.shortest_path(project, "wx.old.TapeHole", "wx.sensor.Probe#sample()").count() == 0
+
+
+def test_changed_members(spark, project):
+    nodes = spark.createDataFrame([("p.A", "CLASS", "A", 1, 900), ("p.A#m()", "METHOD", "A", 95, 305), ("p.A#n()", "METHOD", "A", 306, 306), ("p.B", "CLASS", "B", 1, 9), ("p.A#x", "FIELD", None, 1, 1)], "id string, kind string, file string, start_line int, end_line int")
+    g = G.Graph(nodes, project.edges)
+    changed = lambda *r: pairs(W.changed_members(g, spark.createDataFrame(list(r), "file string, first int, last int")), "id")
+    assert changed(("A", 200, 200)) == {("p.A#m()",)} and changed(("A", 305, 400)) == {("p.A#m()",), ("p.A#n()",)} and changed(("A", 700, 100_000), ("B", 3, 2), (None, 1, 1), ("A", None, 5)) == {("p.A",), ("p.B",)}
 
 
 def test_dispatch_and_overrides(project):
-    assert pairs(W.dispatches(project), "src", "dst", "confidence") == {("b.Util1#f()", "d.Circle#area()", 0.5), ("b.Util1#f()", "d.Ring#area()", 0.5)}
-    assert pairs(W.overridden(project), "src", "dst") == {("d.Circle#area()", "d.Shape#area()"), ("d.Ring#area()", "d.Shape#area()"), ("d.Ring#area()", "d.Circle#area()")}
+    bodies = {f"wx.sensor.{c}#sample()" for c in ("Thermo", "FieldThermo", "Gauge")}
+    assert {(s, d, round(c, 6)) for s, d, c in pairs(W.dispatches(project), "src", "dst", "confidence")} == {("wx.data.ReadingStore#load(long)", b, round(1 / 3, 6)) for b in bodies}
+    above = {(b, "wx.sensor.Probe#sample()") for b in bodies} | {("wx.sensor.FieldThermo#sample()", "wx.sensor.Thermo#sample()"), ("wx.alarm.Siren#ring()", "wx.alarm.Bell#ring()")}
+    assert pairs(W.overridden(project), "src", "dst") == above
 
 
 def test_derived(project):
     projection = D.class_projection(project)
-    assert ("a.OrderController", "a.OrderService", 1.0) in pairs(projection, "src", "dst", "weight")
+    assert ("wx.api.StationController", "wx.core.ReadingService", 2.0) in pairs(projection, "src", "dst", "weight")
     layer = dict(pairs(D.layers(project, projection), "id", "layer"))
-    assert (layer["a.OrderController"], layer["b.ReportService"], layer["a.Order"], layer["d.Shape"]) == ("controller", "service", "model", None)
-    assert ("a.OrderRepository", "b.ReportService", "repository", "service") in pairs(D.layer_violations(projection, D.layers(project, projection)), "src", "dst", "src_layer", "dst_layer")
-    assert pairs(D.cyclic_packages(project, projection), "id", "component") == {("a", "a"), ("b", "a")}
-    assert ("a.OrderServiceTest", "a.OrderService", "EXACT") in pairs(D.test_links(project), "src", "dst", "resolution")
+    assert {c.split(".")[-1]: layer[c] for c in layer} == {
+        "StationController": "controller", "ReadingService": "service", "ReadingStore": "repository", "Reading": "model", "Probe": None, "Thermo": None, "FieldThermo": None, "AlarmLoop": None, "Bell": None, "PaperTape": None, "TapeHole": "model", "Siren": "service", "Gauge": "client"}
+    assert pairs(D.layer_violations(projection, D.layers(project, projection)), "src", "dst", "src_layer", "dst_layer") == {("wx.data.ReadingStore", "wx.core.ReadingService", "repository", "service")}
+    assert pairs(D.cyclic_packages(project, projection), "id", "component") == {("wx.core", "wx.core"), ("wx.data", "wx.core")}
+    assert ("wx.core.ReadingServiceIT", "wx.core.ReadingService", "EXACT") in pairs(D.test_links(project), "src", "dst", "resolution")
+
+
+def test_layers_by_annotation_and_supertype(spark, project):
+    noted = {"a.Plain": "org.springframework.stereotype.Repository", "a.MyService": "jakarta.ws.rs.Path", "a.XController": "jakarta.persistence.Entity", "a.YStore": "org.springframework.stereotype.Component", "a.Bare": "org.springframework.stereotype.Component"}
+    nodes = [node(c, "CLASS", attrs={"annotations": f'{{"{a}": {{"value": "x"}}}}'}) for c, a in noted.items()] + [node("a.Rows", "INTERFACE"), node("a.Broken", "CLASS", attrs={"annotations": "no json"})]
+    g = G.Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame([edge("a.Rows", "org.springframework.data.jpa.JpaRepository", "EXTENDS")], EDGE))
+    layer = dict(pairs(D.layers(g, D.class_projection(g)), "id", "layer"))
+    assert layer == {"a.Plain": "repository", "a.MyService": "controller", "a.XController": "model", "a.YStore": "repository", "a.Bare": "service", "a.Rows": "repository", "a.Broken": "model"}
+
+
+def test_dead_code(project):
     dead = dict(pairs(D.dead_classes(project), "id", "via"))
-    assert dead["c.LegacyExport"] is None and dead["c.LegacyRow"] == "c.LegacyExport" and "b.Util1" not in dead
+    assert dead == {"wx.old.PaperTape": None, "wx.old.TapeHole": "wx.old.PaperTape", "wx.sensor.FieldThermo": None, "wx.sensor.Thermo": "wx.sensor.FieldThermo", "wx.sensor.Gauge": None}
+    assert pairs(D.generated_members(project), "id") == {("wx.core.ReadingService#setLimit(int)",)}
+    assert pairs(D.dead_members(project), "id", "what", "severity", "tested", "implements") == {
+        ("wx.core.ReadingService#LIMIT", "field", "info", False, None), ("wx.data.ReadingStore#compact()", "method", "warning", False, None), ("wx.data.ReadingStore#flush()", "method", "info", True, None),
+        ("wx.alarm.Siren#ring()", "method", "info", False, "wx.alarm.Bell#ring()")}
+
+
+def test_words_of_annotations(spark):
+    nodes = [("a.B#c()", "a.B#c()", {"annotations": '{"x.PreAuthorize": {"value": "hasRole(ADMIN)"}, "y.Note": {}}'}, "int c()", None), ("a.D", "a.D", {"annotations": "broken"}, None, None)]
+    found = pairs(S.postings(spark.createDataFrame(nodes, "id string, fqn string, attrs map<string,string>, signature string, doc string")), "id", "term", "tf")
+    assert {("a.B#c()", t, 1) for t in ("authorize", "pre", "role", "hasrole", "preauthorize")} <= found and {("a.B#c()", "admin", 2), ("a.B#c()", "note", 2), ("a.D", "d", 1)} <= found
 
 
 def test_flows(project):
-    flow = {r["entry"]: r for r in L.flows(project).collect()}["a.OrderController#list()"]
-    assert (flow["entry_kind"], flow["label"], flow["external"]) == ("route", "route:GET /orders", ["lib.Log#info()"])
-    assert [(s["id"], s["depth"]) for s in flow["steps"]] == [("a.OrderController#list()", 0), ("a.OrderService#open()", 1), ("a.OrderRepository#findAll()", 2), ("b.ReportService#run()", 3), ("b.Util1#f()", 4), ("b.Util2#g()", 5), ("d.Shape#area()", 5)]
+    found = {r["entry"]: r for r in L.flows(project).collect()}
+    flow = found["wx.api.StationController#show(long)"]
+    assert (flow["entry_kind"], flow["label"], flow["external"]) == ("route", "route:GET /stations/{id}", [])
+    below = [("wx.core.ReadingService#latest(long)", 0), ("wx.core.Reading#celsius()", 1), ("wx.data.ReadingStore#load(long)", 1), ("wx.sensor.Probe#sample()", 2)]
+    assert [(s["id"], s["depth"]) for s in flow["steps"]] == [("wx.api.StationController#show(long)", 0), *((i, d + 1) for i, d in below)]
+    flow = found["wx.api.StationController#drop(long)"]
+    assert flow["external"] == ["lib.Print#line()"] and [(s["id"], s["depth"]) for s in flow["steps"]] == [
+        ("wx.api.StationController#drop(long)", 0), ("wx.core.ReadingService#prune()", 1), ("wx.alarm.AlarmLoop#tick()", 2), ("wx.alarm.Siren#blow()", 3), ("wx.data.ReadingStore#erase()", 2), *((i, d + 3) for i, d in below)]
 
 
 def test_stubs_and_merge(spark, project):
-    g = G.Graph(project.nodes, project.edges.union(spark.createDataFrame([edge("a.OrderService#open()", "a.OrderRepository#save()"), edge("a.OrderService#open()", "lib.Gone#m()")], EDGE)))
+    g = G.Graph(project.nodes, project.edges.union(spark.createDataFrame([edge("wx.core.ReadingService#prune()", "wx.data.ReadingStore#save()"), edge("wx.core.ReadingService#prune()", "lib.Gone#m()")], EDGE)))
     made, held = G.stubs(g)
-    assert {("a.OrderRepository#save()", "METHOD", "REPO", True), ("lib.Gone#m()", "METHOD", "EXTERNAL", False), ("lib.Gone", "CLASS", "EXTERNAL", False)} <= pairs(made, "id", "kind", "origin", "inherited")
+    assert {("wx.data.ReadingStore#save()", "METHOD", "REPO", True), ("lib.Gone#m()", "METHOD", "EXTERNAL", False), ("lib.Gone", "CLASS", "EXTERNAL", False)} <= pairs(made, "id", "kind", "origin", "inherited")
     assert ("lib.Gone", "lib.Gone#m()") in pairs(held, "src", "dst")
     tiers = spark.createDataFrame([("a", 0, "x", {"p": "1", "q": "1"}), ("a", 2, "y", {"q": "2"}), ("b", 1, None, None)], "id string, tier int, sha string, attrs map<string,string>")
     assert {r["id"]: (r["sha"], r["attrs"]) for r in G.merge_tiers(tiers, "tier").collect()} == {"a": ("y", {"p": "1", "q": "2"}), "b": (None, {})}
 
 
 def test_changes(spark, project):
-    head = G.Graph(project.nodes.where("id <> 'c.LegacyRow'").union(spark.createDataFrame([node("a.OrderService#cancel(long)")], NODE)).withColumn("signature", F.when(F.col("id") == "b.Util2#g()", "int g()").otherwise(F.col("signature"))),
-                   project.edges.where("not (src = 'a.OrderController#list()' and kind = 'CALLS')"))
-    assert pairs(X.changes(project, head), "id", "what") == {("a.OrderService#cancel(long)", "added"), ("c.LegacyRow", "removed"), ("b.Util2#g()", "signature changed"), ("a.OrderController#list()", "calls changed")}
+    head = G.Graph(project.nodes.where("id <> 'wx.old.TapeHole'").union(spark.createDataFrame([node("wx.core.ReadingService#pause(long)")], NODE)).withColumn("signature", F.when(F.col("id") == "wx.alarm.Siren#blow()", "int blow()").otherwise(F.col("signature"))),
+                   project.edges.where("not (src = 'wx.api.StationController#show(long)' and kind = 'CALLS')"))
+    assert pairs(X.changes(project, head), "id", "what") == {("wx.core.ReadingService#pause(long)", "added"), ("wx.old.TapeHole", "removed"), ("wx.alarm.Siren#blow()", "signature changed"), ("wx.api.StationController#show(long)", "calls changed")}
     assert X.changes(project, project).count() == 0
 
 
@@ -143,6 +189,17 @@ def test_betweenness(spark):
     assert found.keys() == expected.keys() and all(abs(found[v] - expected[v]) < 1e-6 for v in found)
 
 
+def test_betweenness_in_blocks_and_by_sample(spark, monkeypatch):
+    links = sorted({(min(a, b), max(a, b)) for a, b in _random_links(5) if a != b})
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in links], "src string, dst string, weight double")
+    ids = spark.createDataFrame([(v,) for v in sorted({x for link in links for x in link})], "id string")
+    whole = dict(pairs(K.betweenness(df, ids), "id", "betweenness"))
+    monkeypatch.setattr(K, "SOURCES_PER_BLOCK", 5)
+    parts = dict(pairs(K.betweenness(df, ids), "id", "betweenness"))
+    assert parts.keys() == whole.keys() and all(abs(parts[v] - whole[v]) < 1e-9 for v in whole)
+    assert len(dict(pairs(K.betweenness(df, ids, 4), "id", "betweenness"))) == len(whole)
+
+
 def test_communities(spark):
     cliques = [(f"{c}{i}", f"{c}{j}", 2.0) for c in "xyz" for i in range(5) for j in range(i)] + [("x0", "y0", 0.5), ("y1", "z1", 0.5)]
     found = K.communities(spark.createDataFrame(cliques, "src string, dst string, weight double")).collect()
@@ -194,13 +251,13 @@ def test_questions(spark, project):
     from graphloom.api import CodeGraph, fitted
 
     q = CodeGraph(project)
-    assert pairs(q.resolve("OrderService", "OrderService#open", "nothing"), "name", "id") == {("OrderService", "a.OrderService"), ("OrderService#open", "a.OrderService#open()")}
-    affected = q.impact("OrderRepository", 3)
-    assert ("a.OrderController#list()", 2) in pairs(affected, "id", "distance") and pairs(q.tests_to_run(affected), "id") == {("a.OrderServiceTest",)}
-    assert [r["id"] for r in q.search("order service", 3, ["CLASS"]).collect()][:1] == ["a.OrderService"]
-    assert pairs(q.routes("/orders"), "id", "handler") == {("route:GET /orders", "a.OrderController#list()")}
-    assert q.flow("GET /orders").count() == 1 and q.get_node("a.Order").count() == 1 and q.neighbors("b.Util1#f()").count() == 4
-    assert ("dead-code", "c.LegacyRow") in pairs(q.findings(), "kind", "subject")
-    assert "c.LegacyRow" in q.report() and q.compare(q)[0].count() == 0
+    assert pairs(q.resolve("ReadingService", "ReadingService#latest", "nothing"), "name", "id") == {("ReadingService", "wx.core.ReadingService"), ("ReadingService#latest", "wx.core.ReadingService#latest(long)")}
+    affected = q.impact("ReadingStore", 3)
+    assert ("wx.api.StationController#show(long)", 2) in pairs(affected, "id", "distance") and pairs(q.tests_to_run(affected), "id") == {("wx.core.ReadingServiceIT",)}
+    assert [r["id"] for r in q.search("reading service", 3, ["CLASS"]).collect()][:1] == ["wx.core.ReadingService"]
+    assert pairs(q.routes("/stations"), "id", "handler") == {("route:GET /stations/{id}", "wx.api.StationController#show(long)"), ("route:DELETE /stations/{id}", "wx.api.StationController#drop(long)")}
+    assert q.flow("GET /stations/{id}").count() == 1 and q.get_node("wx.core.Reading").count() == 1 and q.neighbors("wx.data.ReadingStore#load(long)").count() == 3
+    assert {("dead-code", "wx.old.TapeHole"), ("dead-code", "wx.data.ReadingStore#compact()")} <= pairs(q.findings(), "kind", "subject")
+    assert "wx.old.TapeHole" in q.report() and q.compare(q)[0].count() == 0
     text = fitted({"affected": affected}, 20, ["distance", "id"])
     assert len(text) // 4 <= 22 and '"omitted"' in text

@@ -17,8 +17,10 @@ def _values(spark, expr, text):
 
 
 def test_yaml_and_properties(spark):
-    assert _values(spark, T.yaml_keys, YAML) == [(2, "orders.max", "10"), (3, "orders.topic", "shipments"), (5, "orders.deep.a.b", "x"), (10, "spring.name", "app")]
-    assert _values(spark, T.yaml_keys, "") == []
+    assert _values(spark, T.yaml_keys, YAML) == [(2, "orders.max", "10"), (3, "orders.topic", "shipments"), (5, "orders.deep.a.b", "x"), (7, "orders.list", "[one]"), (10, "spring.name", "app")]
+    assert _values(spark, T.yaml_keys, "") == [] and _values(spark, T.yaml_keys, "- a\nnot a key\n: x\na:\n  - 'b c'\n  -  d\n    - e\nf: |\n  g: h") == [(5, "a", "[b c, d]"), (9, "f.g", "h")]
+    long = "top:\n" + "".join(f"  k{n}: {n}\n" for n in range(200_000))
+    assert len(_values(spark, T.yaml_keys, long)) == 200_000
     assert _values(spark, T.property_keys, "# c\na.b = 1\n! d\nc:x=y\n\n") == [(2, "a.b", "1"), (4, "c", "x=y")]
 
 
@@ -28,7 +30,7 @@ def test_config_files(spark, tmp_path):
     (tmp_path / "bootstrap-dev.properties").write_text("orders.max=99\nonly=1\n")
     (tmp_path / "other.yml").write_text("x: 1\n")
     found = {r["key"]: r["value"] for r in files.config_values(spark, str(tmp_path)).collect()}
-    assert found == {"orders.max": "10", "orders.topic": "shipments", "orders.deep.a.b": "x", "spring.name": "app", "only": "1"}
+    assert found == {"orders.max": "10", "orders.topic": "shipments", "orders.deep.a.b": "x", "orders.list": "[one]", "spring.name": "app", "only": "1"}
 
 
 def test_manifest(spark, tmp_path):
@@ -66,10 +68,23 @@ def test_names(spark):
     assert [r[0] for r in paths] == ["one", "two", "all", "all"]
 
 
+def test_sections_of_markdown(spark):
+    docs = [(1, "docs/a/Guide.md", "intro of Kiln\n\n# Fire the  kiln!\r\n Kiln.heat( all day\nand Glaze, not Kilns\n## \n\t\n#x\nlast Kiln.cool()"), (2, "build/x.md", "# a\nb"), (3, "CHANGES.md", "# a\nb"), (4, "a.txt", "# a\nb"), (5, None, "x"), (6, "e.md", None)]
+    found = T.prose(spark.createDataFrame(docs, "doc_id long, path string, text string"))
+    assert {(r["id"], r["heading"], r["first_line"], r["last_line"], r["text"]) for r in found.collect()} == {
+        ("doc:docs/a/Guide.md#guide-md", "Guide.md", 1, 2, "intro of Kiln"), ("doc:docs/a/Guide.md#fire-the-kiln", "Fire the  kiln!", 3, 5, "Kiln.heat( all day and Glaze, not Kilns"), ("doc:docs/a/Guide.md#x", "x", 8, 9, "last Kiln.cool()")}
+    nodes = spark.createDataFrame([("p.Kiln",), ("p.Out$Glaze",)], "id string")
+    held = spark.createDataFrame([("p.Kiln", "p.Kiln#heat(int)"), ("p.Kiln", "p.Kiln#heat(long)")], "src string, dst string")
+    assert {(r["src"].split("#")[1], r["dst"]) for r in T.prose_links(found, nodes, held).collect()} == {("guide-md", "p.Kiln"), ("fire-the-kiln", "p.Kiln#heat(int)"), ("fire-the-kiln", "p.Out$Glaze"), ("x", "p.Kiln")}
+
+
 def test_units_are_replaced(spark, tmp_path):
     at = str(tmp_path / "units")
     rows = lambda *r: spark.createDataFrame(list(r), "id string, sha string, module string")
+    files_of = lambda m: set((tmp_path / "units" / f"module={m}").glob("*.parquet"))
     log.merge_units(at, rows(("a", "1", "m"), ("b", "1", "n")))
-    log.merge_units(at, rows(("c", "2", "m")))
-    log.merge_units(at, rows(("c", "2", "m")))
+    before = files_of("n")
+    log.merge_units(at, rows(("c", "2", "m"), ("other", "1", "n")))
+    assert files_of("n") == before  # the sha is the same, so the unit stays as it is
+    log.merge_units(at, rows(("c", "2", "m"), (None, None, None)))
     assert {(r["id"], r["module"]) for r in spark.read.parquet(at).collect()} == {("c", "m"), ("b", "n")}
