@@ -18,7 +18,7 @@ from graphloom.functions.names import owner
 from graphloom.operators import derive, diff, flows, kernels, search, walk
 from graphloom.operators import graph as G
 
-#: How many entries of each list an answer holds, tried in turn until it fits.
+#: How many entries of each list an answer holds, tried in turn until it fits.
 LADDER = (40, 20, 15, 10, 7, 5, 4, 3, 2, 1)
 
 
@@ -140,6 +140,32 @@ class CodeGraph:
         changed = cut(diff.changes(base.graph, self.graph))
         return changed, diff.affected(base.graph, self.graph, changed, depth)
 
+    def diff_report(self, base: CodeGraph, depth: int = 3, top: int = 40) -> str:
+        """A page on what changed since base: how much, what, what it reaches with the flows it touches, the tests to run, and findings before and after; of each list
+        the first top."""
+        changed, reached = self.compare(base, depth)
+        reached = cut(reached)
+        seeds = changed.where("what <> 'added'").select("id")
+        tests = cut(walk.tests_of(self.graph, reached.select("id"), seeds))
+        ids = seeds.union(reached.select("id")).distinct()
+        flows = self.all_flows.select("label", F.explode("steps.id").alias("id")).join(ids, "id", "left_semi").groupBy("label").agg(F.count("*").alias("n"))
+        counts = {r["what"]: r["n"] for r in changed.groupBy(F.when(F.col("what").isin("added", "removed"), F.col("what")).otherwise("changed").alias("what")).agg(F.count("*").alias("n")).collect()}
+        if not counts:
+            return "# Changes\n\nNothing changed.\n"
+        out = ["# Changes", "", "| added | removed | changed | reached | tests |", "|---|---|---|---|---|", f"| {counts.get('added', 0)} | {counts.get('removed', 0)} | {counts.get('changed', 0)} | {reached.count()} | {tests.count()} |"]
+
+        def part(title: str, df: DataFrame, line) -> None:
+            rows, n = df.limit(top).collect(), df.count()
+            if n:
+                out.extend(["", f"## {title} ({n})", "", *(line(r) for r in rows), *([f"- ... and {n - top} more"] if n > top else [])])
+
+        for title, these in (("Removed", "what = 'removed'"), ("Changed", "what not in ('added', 'removed')"), ("Added", "what = 'added'")):
+            part(title, changed.where(these).orderBy("id"), lambda r: f"- `{r['id']}` {r['kind'].lower()}: {r['what']}")
+        part("Reached", reached.orderBy("distance", "id"), lambda r: f"- `{r['id']}` (distance {r['distance']})")
+        part("Flows touched", flows.orderBy(F.desc("n"), "label"), lambda r: f"- {r['label']} ({r['n']})")
+        part("Tests to run", tests.orderBy("id"), lambda r: f"- `{r['id']}`")
+        return "\n".join([*out, "", f"Findings: {base.findings().count()} before, {self.findings().count()} after"]) + "\n"
+
     def report(self, top: int = 25) -> str:
         """A page on the graph: sizes, what most depends on, findings; of each list the first few."""
         part = lambda title, df, line: [f"\n## {title}\n", *(line(r) for r in df.limit(top).collect())]

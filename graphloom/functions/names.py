@@ -92,3 +92,13 @@ def ant_pattern(pattern: Column) -> Column:
     quoted = F.regexp_replace(pattern, r"([.+^$()|\[\]\\?])", r"\\$1")
     parts = F.regexp_replace(F.regexp_replace(quoted, r"\{[^{}]*\}", "[^/]+"), r"\*\*", "\u0001")
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(parts, r"\*", "[^/]*"), "\u0001", ".*"), F.lit("$"))
+
+
+def first_sentence(doc: Column) -> Column:
+    """The first sentence of a comment without markup, of more than 200 characters the words that fit; null where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(doc, r"\{@(?:code|link|linkplain)[ \t\r\n\f]+([^}]*)\}", "$1"), "<[^>]+>", " ")
+    text = F.trim(F.regexp_replace(bare, "[ \t\r\n\f]+", " "))
+    first = F.regexp_extract(text, "^(.*?[.!?])( |$)", 1)
+    sentence = F.when(first == "", text).otherwise(first)
+    short = F.concat(F.regexp_replace(F.substring(sentence, 1, 200), " [^ ]*$", ""), F.lit(" ..."))
+    return F.when(text != "", F.when(F.length(sentence) <= 200, sentence).otherwise(short))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.common import cut
+from graphloom.common import cut, cut_measured
 from graphloom.functions.names import annotation_names, annotations, member, owner, package, short_class, top_class
 from graphloom.operators import graph as G
 from graphloom.operators.walk import components
@@ -55,6 +55,8 @@ ENTRY_ANNOTATIONS = tuple(
     "PreRemove PostPersist PostUpdate PostRemove RequestMapping GetMapping PostMapping PutMapping DeleteMapping PatchMapping QueryMapping MutationMapping SchemaMapping".split()
 )
 LIVE_CLASS_ANNOTATIONS = ("Configuration", "AutoConfiguration", "SpringBootApplication", "ControllerAdvice", "RestControllerAdvice", "Aspect", "WebFilter", "ServerEndpoint")
+#: Steps from dead classes to what only they refer to that one round takes before it is written.
+STEPS_PER_ROUND = 4
 #: Lines of a file that one key of the joins on lines stands for.
 LINES_PER_BLOCK = 64
 #: Edges that make their target used.
@@ -207,12 +209,18 @@ def dead_classes(g: G.Graph, refs: DataFrame | None = None) -> DataFrame:
     own = _contracts(g).where("kind <> 'ANNOTATION' and not contains(id, '$')").where(~driven)
     facts = own.join(beans, F.col("id") == F.col("_b"), "left").join(entered, F.col("id") == F.col("_e"), "left_anti")
     judged = cut(facts.where(((F.col("kind") == "INTERFACE") & F.col("_b").isNotNull()) | ~F.col("contract")).select("id"))
-    dead = cut(judged.join(used.select(F.col("cls").alias("id")), "id", "left_anti"))
-    new = dead
-    while not new.isEmpty():
-        live = used.join(dead.select(F.col("id").alias("by")), "by", "left_anti").select(F.col("cls").alias("id"))
-        new = cut(judged.join(live, "id", "left_anti").join(dead, "id", "left_anti"))
-        dead = dead.unionByName(new)
+    asked = cut(used.join(judged.select(F.col("id").alias("cls")), "cls", "left_semi"))
+    state, n = judged.withColumn("dead", F.lit(False)), -1
+    while True:
+        after = state
+        for _ in range(STEPS_PER_ROUND):
+            live = asked.join(after.where("dead").select(F.col("id").alias("by")), "by", "left_anti").select(F.col("cls").alias("_live")).distinct()
+            after = judged.join(live, F.col("id") == F.col("_live"), "left").select("id", F.col("_live").isNull().alias("dead"))
+        state, seen = cut_measured(after, state, n=F.count_if(F.col("dead")))
+        if seen["n"] == n:
+            break
+        n = seen["n"]
+    dead = state.where("dead").select("id")
     via = used.groupBy(F.col("cls").alias("id")).agg(F.min("by").alias("via"))
     return dead.join(via, "id", "left")
 

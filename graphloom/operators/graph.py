@@ -130,8 +130,8 @@ def prune_orphans(g: Graph, rounds: int = 3) -> Graph:
         holders = edges.where("kind = 'CONTAINS'").select(F.col("src").alias("id"))
         lone = nodes.where("origin = 'EXTERNAL'").select("id").join(ends, "id", "left_anti")
         empty = nodes.where("kind = 'PACKAGE'").select("id").join(holders, "id", "left_anti")
-        nodes = cut(nodes.join(lone.union(empty), "id", "left_anti"))
-        edges = cut(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        nodes = cut(nodes.join(lone.union(empty), "id", "left_anti"), nodes)
+        edges = cut(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"), edges)
     return Graph(g.nodes.join(nodes.select("id"), "id", "left_semi"), g.edges.join(edges, ["src", "dst", "kind"], "left_semi"))
 
 

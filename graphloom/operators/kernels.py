@@ -96,7 +96,7 @@ def _moved(links: DataFrame, resolution: float) -> DataFrame:
             touched = best.select("id", "more", F.explode(F.array("own", "best")).alias("c"))
             first = touched.groupBy("c").agg(F.max(F.struct("more", "id"))["id"].alias("id"))
             best = best.join(first.groupBy("id").agg(F.count("*").alias("n")).where("n = 2"), "id")
-        state = cut(state.join(best.select("id", "best"), "id", "left").select("id", "k", F.coalesce("best", "community").alias("community")))
+        state = cut(state.join(best.select("id", "best"), "id", "left").select("id", "k", F.coalesce("best", "community").alias("community")), state)
         turn += 1
         if alone or turn % 2 == 0:
             if not moves:
@@ -136,3 +136,13 @@ def communities(projection: DataFrame, ids: DataFrame | None = None) -> DataFram
         inside = moved.select(F.col("id").alias("src"), F.col("community").alias("a"))
         links = cut(links.join(inside, "src").join(moved.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
     return out if alone is None else out.unionByName(alone)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """found: id, level, community. level, community, label, n, parent of each: the package that most of its classes have, of equals the first by name, with how many others
+    there are; parent is the community of the next level that holds it, null on the last."""
+    of = found.select("level", "community", F.when(package("id") == "", "(default package)").otherwise(package("id")).alias("pkg")).groupBy("level", "community", "pkg").agg(F.count("*").alias("n"))
+    named = of.groupBy("level", "community").agg(F.sum("n").alias("n"), F.count("*").alias("n_pkg"), F.min(F.struct((-F.col("n")).alias("less"), "pkg"))["pkg"].alias("pkg"))
+    up = found.select((F.col("level") - 1).alias("level"), F.col("id").alias("community"), F.col("community").alias("parent"))
+    label = F.when(F.col("n_pkg") == 1, F.col("pkg")).otherwise(F.concat("pkg", F.lit(" (+"), (F.col("n_pkg") - 1).cast("string"), F.lit(" packages)")))
+    return named.join(up, ["level", "community"], "left").select("level", "community", label.alias("label"), "n", "parent")

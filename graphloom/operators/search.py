@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import BLANKS
-from graphloom.functions.names import annotation_terms, stem, terms, tokens
+from graphloom.functions.names import annotation_terms, simple_name, stem, terms, tokens
 from graphloom.operators import graph as G
 
 #: Parameters of the ranking as published for it.
@@ -116,6 +116,31 @@ def recall(entries: DataFrame, questions: DataFrame, top: int = 3) -> DataFrame:
     return counted.withColumn("place", place).where(F.col("place") <= top)
 
 
+def subsystems(g: G.Graph, questions: DataFrame, least: int = 3, top: int = 5) -> DataFrame:
+    """question, id, n_in, busiest, place: the types whose names carry most of a question's stems and those directly below them, where there are at least least; the most
+    used first, a top-k report per question. busiest: the member with most calls out, then the longest, of three lines at least.
+
+    Stems meet names by their first three letters, an equal join. Without stems of three letters a question has none."""
+    types = g.nodes.where("kind in ('CLASS', 'INTERFACE', 'ENUM', 'RECORD') and origin = 'REPO' and file is not null").where(~G.is_test()).select("id")
+    names = types.where("not contains(id, '$')").select("id", F.lower(simple_name("id")).alias("name"))
+    pieces = names.where("length(name) >= 3").select("id", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda k: F.substring(F.col("name"), k, F.lit(3))))).alias("piece"))
+    words = questions.select("question").distinct().select("question", F.explode(question_words("question")).alias("w")).where("length(w) >= 3")
+    held = words.withColumn("piece", F.substring("w", 1, 3)).join(pieces, "piece").where(F.contains("name", F.col("w"))).groupBy("question", "id").agg(F.count("*").alias("n"))
+    named = held.withColumn("most", F.max("n").over(Window.partitionBy("question"))).where("n = most").select("question", "id")
+    below = g.edges.where("kind in ('EXTENDS', 'IMPLEMENTS')").select(F.col("dst").alias("id"), F.col("src").alias("sub")).join(types.withColumnRenamed("id", "sub"), "sub", "left_semi")
+    family = named.unionByName(named.join(below, "id").select("question", F.col("sub").alias("id"))).distinct()
+    counted = family.withColumn("size", F.count("*").over(Window.partitionBy("question"))).where(F.col("size") >= least)
+    used = g.edges.where("kind <> 'CONTAINS'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("n_in"), "id"))
+    best = counted.join(used, "id", "left").select("question", "id", F.coalesce("n_in", F.lit(0)).alias("n_in")).withColumn("place", place).where(F.col("place") <= top)
+    lines = F.coalesce("end_line", F.lit(0)) - F.coalesce("start_line", F.lit(0))
+    bodies = g.nodes.where("kind in ('METHOD', 'CONSTRUCTOR')").select(F.col("id").alias("member"), lines.alias("lines")).where("lines >= 2")
+    calls = g.edges.where("kind = 'CALLS'").groupBy(F.col("src").alias("member")).agg(F.count("*").alias("calls"))
+    ranked_members = g.edges.where("kind = 'CONTAINS'").select(F.col("src").alias("id"), F.col("dst").alias("member")).join(bodies, "member").join(calls, "member", "left")
+    busiest = ranked_members.groupBy("id").agg(F.max(F.struct(F.coalesce("calls", F.lit(0)).alias("calls"), "lines", "member"))["member"].alias("busiest"))
+    return best.join(busiest, "id", "left").select("question", "id", "n_in", "busiest", "place")
+
+
 def vocabulary(nodes: DataFrame) -> DataFrame:
     """term, n: the camel-case parts of class names in lower case with the number of classes."""
     parts = F.split(F.regexp_replace(F.substring_index(F.substring_index("id", ".", -1), "$", -1), "([a-z0-9])([A-Z])", "$1 $2"), " ")

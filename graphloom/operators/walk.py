@@ -105,6 +105,20 @@ def tests_of(g: G.Graph, affected: DataFrame, seeds: DataFrame) -> DataFrame:
     return linked.union(own).distinct()
 
 
+def test_runs(tests: DataFrame, tool: str, many: bool) -> DataFrame:
+    """tests: id, module. module, command: how the project's own build runs the tests of each module, by Gradle or Maven; of another tool nothing is known.
+
+    many: whether the build has several modules. A command holds its module's tests in the order of their ids."""
+    of = tests.select(F.coalesce("module", F.lit("")).alias("module"), "id").distinct().groupBy("module").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    if tool == "gradle":
+        task = F.when(F.col("module").isin("", ":"), "test").otherwise(F.concat("module", F.lit(":test")))
+        return of.select("module", F.concat(F.lit("./gradlew "), task, F.array_join(F.transform("ids", lambda i: F.concat(F.lit(" --tests "), i)), "")).alias("command"))
+    if tool == "maven":
+        part = F.when(F.lit(many) & (F.col("module") != ""), F.concat(F.lit(" -pl "), "module", F.lit(" -Dsurefire.failIfNoSpecifiedTests=false"))).otherwise("")
+        return of.select("module", F.concat(F.lit("./mvnw -q test"), part, F.lit(" -Dtest="), F.array_join("ids", ",")).alias("command"))
+    return of.limit(0).select("module", F.lit("").alias("command"))
+
+
 def dispatches(g: G.Graph) -> DataFrame:
     """src, dst, confidence: calls followed into every body below the called type. A call with n bodies gives each 1/n; two calls of one source to one body
     keep the confidence of the call whose target comes first by name."""
@@ -167,7 +181,7 @@ def components(links: DataFrame) -> DataFrame:
         n = -1
         while n != (now := left.count()) and now:
             n = now
-            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), left)
         color = cut(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct().withColumn("color", F.col("id")))
         if color.isEmpty():
             break

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.common import cut, table
+from graphloom.common import cut, shared_folder, table
 from graphloom.operators import derive as D
 from graphloom.operators import explain as E
 from graphloom.operators import flows as L
@@ -14,6 +16,7 @@ from graphloom.operators import search as S
 from graphloom.plans import sql
 from graphloom.plans.searches import _LOG, _POST, _words
 from graphloom.plans.walks import _PROJ
+from graphloom.sources import files
 from graphloom.sources import texts as T
 from graphloom.streaming import log
 
@@ -32,6 +35,18 @@ def doc_findings(spark: SparkSession, d: str) -> DataFrame:
     return T.finding_rows(table(spark, d, "documents"))
 
 
+def report_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """The finding tables of texts written as finding reports and read as reports are, each finding at the member whose lines hold its line."""
+    folder = f"{shared_folder(spark)}/sarif-{uuid.uuid4().hex}"
+    rows = T.finding_rows(table(spark, d, "documents"))
+    place = F.array(F.struct(F.struct(F.struct(F.lit("src/x/A.java").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine")).alias("region")).alias("physicalLocation")))
+    level = F.when(F.col("severity") == "info", "note").otherwise(F.col("severity"))
+    result = F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))
+    runs = rows.groupBy("doc_id").agg(F.collect_list(result).alias("results")).select(F.array(F.struct(F.struct(F.struct(F.concat(F.lit("doc"), "doc_id").alias("name")).alias("driver")).alias("tool"), "results")).alias("runs"))
+    runs.write.json(folder)
+    return files.sarif(spark, folder, lines=True).groupBy("tool", "rule", "severity").agg(F.count("*").alias("n"), F.max("line").alias("last_line"))
+
+
 def doc_outline(spark: SparkSession, d: str) -> DataFrame:
     return T.java_outline(table(spark, d, "documents"))
 
@@ -128,7 +143,7 @@ def explain_flows(spark: SparkSession, d: str) -> DataFrame:
     return E.flow_ranks(g, facts, cut(L.flows(g)), questions, scores)
 
 
-QUERIES = {f.__name__: f for f in (doc_sections, doc_dependencies, doc_findings, doc_outline, doc_logs, doc_mentions, doc_prose, doc_prose_links, doc_config, route_access, stream_sessions, answers, explain_hits, explain_leads, explain_flows)}
+QUERIES = {f.__name__: f for f in (doc_sections, doc_dependencies, doc_findings, report_read_back, doc_outline, doc_logs, doc_mentions, doc_prose, doc_prose_links, doc_config, route_access, stream_sessions, answers, explain_hits, explain_leads, explain_flows)}
 
 _LINES = "ln as (select doc_id, unnest(range(1, len(x) + 1)) as line_no, unnest(x) as line from (select doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) as x from documents where doc_id is not null and text is not null))"
 _G = f"with recursive {sql.graph()}"
@@ -154,6 +169,7 @@ ORACLE = {
     "doc_sections": f"with {_LINES}, h as (select *, length({_EX(_HEAD, 1)}) as level, sum((length({_EX(_HEAD, 1)}) > 0)::int) over (partition by doc_id order by line_no) as sec from ln) select doc_id, (min(line_no) filter (where level > 0))::int as line_no, (min(level) filter (where level > 0))::int as level, arg_min({_EX(_HEAD, 2)}, line_no) filter (where level > 0) as title, sum((level = 0 and trim(line) <> '')::int)::bigint as n_lines from h where sec > 0 group by doc_id, sec",
     "doc_dependencies": f"with {_LINES} select doc_id, line_no::int as line_no, {_EX(_DEP, 1)} as scope, {_EX(_DEP, 2)} as name, {_EX(_DEP, 3)} as version from ln where regexp_matches(line, '{_DEP}')",
     "doc_findings": f"with {_LINES} select doc_id, line_no::int as line_no, {_EX(_FIND, 1)} as rule, {_EX(_FIND, 2)} as severity, {_EX(_FIND, 3)} as subject, {_EX(_FIND, 4)} as message from ln where regexp_matches(line, '{_FIND}')",
+    "report_read_back": f"with {_LINES} select 'doc' || doc_id as tool, {_EX(_FIND, 1)} as rule, case when {_EX(_FIND, 2)} = 'note' then 'info' else {_EX(_FIND, 2)} end as severity, count(*) as n, max(line_no)::int as last_line from ln where regexp_matches(line, '{_FIND}') group by 1, 2, 3",
     "doc_outline": f"with {_LINES} select * from (select doc_id, line_no::int as line_no, case " + " ".join(f"when {_EX(p, 1)} <> '' then '{w}'" for w, p in _JAVA.items()) + " end as what, case " + " ".join(f"when {_EX(p, 1)} <> '' then {_EX(p, 1)}" for p in _JAVA.values()) + " end as name from ln) where what is not null",
     "doc_logs": f"with {_LINES} select {_EX(_LOGP, 2)} as level, {_EX(_LOGP, 4)} as logger, count(*) as n, max({_EX(_LOGP, 1)}) as last from ln where regexp_matches(line, '{_LOGP}') group by 1, 2",
     "doc_mentions": f"{_G}, {_TYPES}, w as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '{_IDENT}'))) as w from documents where doc_id is not null and text is not null), {_MET.format('doc_id')} select id, count(distinct doc_id) as n_docs from met group by id",

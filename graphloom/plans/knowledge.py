@@ -50,6 +50,11 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return K.communities(cut(D.class_projection(g)), D.classes(g).select("id"))
 
 
+def community_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Each community with a name for people, its size and the one above it."""
+    return K.labelled(communities(spark, d))
+
+
 def _versions(spark: SparkSession, d: str) -> tuple[G.Graph, G.Graph]:
     snaps = snapshots(spark, d) or [-1]
     return G.load(spark, d, snaps[0]), G.load(spark, d, snaps[-1])
@@ -125,7 +130,8 @@ def self_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    """All findings of the graph: layer violations, package rings, version conflicts, untested god classes, dead classes and dead members, by kind and subject."""
+    """All findings of the graph: layer violations, package rings, version conflicts, untested god classes, dead classes and dead members, by kind and subject; id is the node that a HAS_FINDING edge from the
+    subject leads to."""
     g = G.load(spark, d)
     projection = cut(D.class_projection(g))
     layer = D.layers(g, projection)
@@ -139,7 +145,7 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(row(D.untested_gods(g, D.in_degrees(projection)), "untested-god-node", "info", "id"))
         .unionByName(row(dead, "dead-code", "info", "id"))
         .unionByName(D.dead_members(g, refs, dead).select(F.lit("dead-code").alias("kind"), "severity", F.col("id").alias("subject")))
-        .groupBy("kind", "severity", "subject").agg(F.count("*").alias("n"))
+        .groupBy("kind", "severity", "subject").agg(F.count("*").alias("n")).select(F.concat(F.lit("finding:"), "kind", F.lit(":"), "subject").alias("id"), "kind", "severity", "subject", "n")
     )
 
 
@@ -153,7 +159,7 @@ def graph_rows(spark: SparkSession, d: str) -> DataFrame:
     return nodes.unionByName(edges)
 
 
-QUERIES = {f.__name__: f for f in (flow_entries, flows, flow_summaries, betweenness, god_scores, communities, version_changes, version_affected, overview, routes, topics, config_keys, beans, dependencies, injections, self_calls, findings, graph_rows)}
+QUERIES = {f.__name__: f for f in (flow_entries, flows, flow_summaries, betweenness, god_scores, communities, community_labels, version_changes, version_affected, overview, routes, topics, config_keys, beans, dependencies, injections, self_calls, findings, graph_rows)}
 
 _G = f"with recursive {sql.graph()}"
 _LIST = "coalesce((select string_agg(distinct src, '; ' order by src) from e where e.kind = '{1}' and e.dst = {0}.id), '') as {2}"
@@ -190,7 +196,7 @@ ORACLE = {
     "dependencies": f"{_G} select e.src as module, e.dst as artifact, coalesce(n.origin <> 'EXTERNAL', false) as internal from e left join n on n.id = e.dst and n.kind = 'ARTIFACT' where e.kind = 'DEPENDS_ON_ARTIFACT'",
     "injections": f"{_G}, p as (select distinct dst as bean, split_part(src, '#', 1) as provider from e where kind = 'PROVIDES_BEAN'), k as (select *, count(*) over (partition by bean) as c from p) select distinct e.src, bean, provider, round(1.0::double / c, 6) as confidence from e join k on k.bean = e.dst where e.kind = 'INJECTS'",
     "self_calls": f"{_G} select e.src, e.dst, e.line from e join n on n.id = e.dst where e.kind = 'CALLS' and e.src <> e.dst and split_part(e.src, '#', 1) = split_part(e.dst, '#', 1) and n.kind = 'METHOD' and len(json_keys(n.attrs['annotations']::json)) > 0",
-    "findings": "select kind, severity, subject, count(*) as n from ("
+    "findings": "select 'finding:' || kind || ':' || subject as id, kind, severity, subject, count(*) as n from ("
     f"select 'layer-violation' as kind, 'warning' as severity, src as subject from ({_WALKS['layer_violations']}) union all select 'cyclic-packages', 'warning', id from ({_WALKS['package_rings']}) where id = component "
     f"union all select 'version-conflict', 'info', src from ({_WALKS['version_conflicts']}) union all select 'untested-god-node', 'info', id from ({_WALKS['untested_gods']}) union all select 'dead-code', 'info', id from ({_WALKS['dead_classes']}) union all select 'dead-code', severity, id from ({_WALKS['dead_members']})) group by all",
 }

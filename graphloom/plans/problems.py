@@ -27,6 +27,11 @@ def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.intervals(_hierarchy(spark, d)).withColumnRenamed("tree", "kind")
 
 
+def p1_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes each one has below it, from its interval."""
+    return hierarchy.intervals(_hierarchy(spark, d)).select(F.col("tree").alias("kind"), "id", "root", (F.col("last") - F.col("first")).alias("n_below"))
+
+
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_hierarchy(spark, d)).withColumnRenamed("tree", "kind")
 
@@ -69,7 +74,7 @@ def p5_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return skew.exact_quantiles(_last_edges(spark, d), ["kind", "dst"], "line", [0.5, 0.9, 0.99]).withColumnRenamed("value", "line")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_intervals, p1_descendants, p2_found, p2_report, p4_found, p4_counts, p5_found, p5_quantiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_intervals, p1_sizes, p1_descendants, p2_found, p2_report, p4_found, p4_counts, p5_found, p5_quantiles)}
 
 _KIND = "upper(trim(kind, E' \\t\\r\\n\\f\\v'))"
 _LINKS = f"""
@@ -112,6 +117,8 @@ ORACLE = {
     "p1_paths": f"with recursive {_LINKS} select tree as kind, id, path from down",
     "p1_descendants": f"with recursive {_LINKS}, pairs as (select tree, parent as id, child as descendant from links l where exists (select 1 from down d where d.tree = l.tree and d.id = l.child) "
     "union all select p.tree, p.id, l.child from pairs p join links l on l.tree = p.tree and l.parent = p.descendant) select tree as kind, id, descendant from pairs",
+    "p1_sizes": f"with recursive {_LINKS}, pairs as (select tree, parent as id, child as descendant from links l where exists (select 1 from down d where d.tree = l.tree and d.id = l.child) "
+    "union all select p.tree, p.id, l.child from pairs p join links l on l.tree = p.tree and l.parent = p.descendant), c as (select tree, id, count(*) as n from pairs group by all) select d.tree as kind, d.id, d.root, coalesce(c.n, 0) as n_below from down d left join c on c.tree = d.tree and c.id = d.id",
     "p2_found": f"with {_P2} select distinct e.snap_no, e.src, {_KIND.replace('kind', 'e.kind')} as kind, e.dst, {_P2_STATE} as state from edges e anti join has h on h.snap_no = e.snap_no and h.id = e.dst left join first_last f on f.id = e.dst where e.dst is not null",
     "p2_report": f"with {_P2} select snap_no, state, count(distinct dst) as n_keys, count(*) as n_refs from (select e.snap_no, e.dst, {_P2_STATE} as state from edges e anti join has h on h.snap_no = e.snap_no and h.id = e.dst left join first_last f on f.id = e.dst where e.dst is not null) group by all",
     "p4_found": f"with {_P4} select * from diff",

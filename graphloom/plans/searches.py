@@ -73,6 +73,16 @@ def vocabulary_own_near(spark: SparkSession, d: str) -> DataFrame:
     return S.own_nearby(words.join(vocab.select(F.col("term").alias("word")), "word", "left_anti"), vocab)
 
 
+def subsystem_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The types that each logged question names as a whole, with the member that does their work."""
+    return S.subsystems(G.load(spark, d), S.log_entries(table(spark, d, "query_log")).where("kind = 'explain'").select(F.col("arg").alias("question")))
+
+
+def first_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """What the comment of each node says first."""
+    return G.load(spark, d).nodes.where("doc is not null").select("id", names.first_sentence(F.col("doc")).alias("sentence")).where("sentence is not null")
+
+
 def bench_scores(spark: SparkSession, d: str) -> DataFrame:
     """How much of each item's expected ids its text names: precision, recall and the upper median of text lengths in tokens per suite.
 
@@ -89,7 +99,7 @@ def bench_scores(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("suite").agg(F.count("*").alias("n"), F.round(F.avg(precision), 6).alias("precision"), F.round(F.avg(recall), 6).alias("recall"), F.round(F.avg((recall >= 0.999).cast("int")), 6).alias("full_share"), median.alias("median_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (name_terms, stems, index_terms, search_classes, log_sessions, log_fetches, recalled, vocabulary, vocabulary_near, vocabulary_own, vocabulary_own_near, bench_scores)}
+QUERIES = {f.__name__: f for f in (name_terms, stems, index_terms, search_classes, log_sessions, log_fetches, recalled, vocabulary, vocabulary_near, vocabulary_own, vocabulary_own_near, subsystem_cards, first_sentences, bench_scores)}
 
 _G = f"with recursive {sql.graph()}"
 _TERMS = "trim(regexp_replace(fqn, '[.#$(),\\[\\]<>]+', ' ', 'g'), ' ')"
@@ -109,6 +119,8 @@ _POST = f"""an as (select id, unnest(json_keys(attrs['annotations']::json)) as k
     post as (select id, term, count(*) as tf from (select n.id, unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', case when {_TERMS} = {_CAMEL} then {_TERMS} else {_TERMS} || ' ' || {_CAMEL} end,
         case when aw.t = {_NOTE.format('aw.t')} then aw.t else aw.t || ' ' || {_NOTE.format('aw.t')} end, signature, doc)), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) as term from n left join aw on aw.id = n.id) group by all)"""
 _VOCAB = f"""vocab as (select term, count(*) as n from (select id, unnest(list_distinct(list_transform(string_split(regexp_replace(regexp_extract(id, '[^.$]*$'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), ' '), lambda p: lower(p)))) as term from n where kind in {sql.CODE}) where length(term) > 2 group by term)"""
+_OWN = f"""own as (select lower(term) as term, count(*) as n from (select unnest(regexp_split_to_array(regexp_replace(case when kind in ('CONFIG_KEY','HTTP_ROUTE') then fqn else regexp_extract(split_part(id, '(', 1), '[^#.$]*$') end, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+')) as term
+    from n where kind in {S.OWN_KINDS} and coalesce(origin, '') <> 'EXTERNAL') where length(term) between 3 and 30 group by 1)"""
 _LOG = "l as (select distinct t, lower(trim(kind, E' \\t\\r\\n\\f\\v')) as kind, arg from query_log where t is not null and arg is not null and kind is not null)"
 _FETCH = f"""{_LOG}, q as (select t as qt, max(arg) as question from l where kind = 'explain' group by t), f as (select l.t, l.arg, arg_max(q.question, q.qt) as question from l join q on q.qt <= l.t and l.t - q.qt <= {S.REMEMBERED} where l.kind in ('source','node') group by all)"""
 
@@ -137,6 +149,18 @@ ORACLE = {
     "vocabulary": f"{_G}, {_VOCAB} select * from vocab",
     "vocabulary_near": f"""{_G}, {_VOCAB}, {_LOG}, w as (select distinct unnest({_words('arg')}) as word from l where kind = 'explain')
         select word, term, n, row_number() over (partition by word order by n desc, term)::int as place from w join vocab on left(word, 4) = left(term, 4) where length(word) >= 4 and length(term) >= 4 and word not in (select term from vocab) qualify place <= 20""",
+    "subsystem_cards": f"""{_G}, {_LOG}, q as (select distinct arg as question, {_words('arg')} as ws from l where kind = 'explain'), w as (select question, unnest(ws) as w from q), tp as (select id from n where kind in ('CLASS','INTERFACE','ENUM','RECORD') and origin = 'REPO' and file is not null and not {sql.TEST.format('')}),
+        nm as (select id, lower(regexp_extract(id, '[^.$]*$')) as name from tp where not contains(id, '$')), h as (select question, id, count(*) as c from w join nm on contains(name, w) where length(w) >= 3 group by all), top as (select question, id from h qualify c = max(c) over (partition by question)),
+        fam as (select * from top union select question, e.src from top join e on e.dst = top.id and e.kind in ('EXTENDS','IMPLEMENTS') where e.src in (from tp)), big as (select * from fam qualify count(*) over (partition by question) >= 3),
+        cnt as (select question, id, (select count(*) from e where e.dst = big.id and e.kind <> 'CONTAINS') as n_in from big), pl as (select *, row_number() over (partition by question order by n_in desc, id)::int as place from cnt qualify place <= 5),
+        mem as (select e.src as id, m.id as member, (select count(*) from e c where c.src = m.id and c.kind = 'CALLS') as calls, coalesce(m.end_line, 0) - coalesce(m.start_line, 0) as lines from e join n m on m.id = e.dst where e.kind = 'CONTAINS' and m.kind in ('METHOD','CONSTRUCTOR') and e.src in (select id from pl)),
+        bu as (select id, arg_max(member, (calls, lines, member)) as busiest from mem where lines >= 2 group by id)
+        select question, pl.id, n_in, busiest, place from pl left join bu using (id)""",
+    "first_sentences": f"""{_G}, t as (select id, trim(regexp_replace(regexp_replace(regexp_replace(doc, '\\{{@(?:code|link|linkplain)[ \\t\\r\\n\\f]+([^}}]*)\\}}', '\\1', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') as t from n where doc is not null),
+        s as (select id, case when regexp_extract(t, '^(.*?[.!?])( |$)', 1) = '' then t else regexp_extract(t, '^(.*?[.!?])( |$)', 1) end as s from t where t <> '') select id, case when length(s) <= 200 then s else regexp_replace(left(s, 200), ' [^ ]*$', '') || ' ...' end as sentence from s""",
+    "vocabulary_own": f"{_G}, {_OWN} select * from own",
+    "vocabulary_own_near": f"""{_G}, {_OWN}, {_LOG}, w as (select distinct unnest({_words('arg')}) as word from l where kind = 'explain') select word, term, n, row_number() over (partition by word order by n desc, term)::int as place from w join own on length(word) >= 3 and word <> term and word not in (select term from own)
+        and (starts_with(term, left(word, 4)) or starts_with(word, left(term, 4)) or (length(word) > 4 and contains(term, left(word, 5)))) qualify place <= 20""",
     "bench_scores": """with i as (select * from eval_items where item_id is not null and text is not null qualify row_number() over (partition by item_id) = 1), w as (select distinct item_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) as w from i),
         w2 as (select * from w where regexp_matches(w, '^[A-Z][a-z]+[A-Z]')), x as (select distinct item_id, unnest(expected) as x from i), m as (select item_id, count(*) as n_met from x where (item_id, split_part(x, '#', 1)) in (select (item_id, w) from w2) group by item_id),
         e as (select i.item_id, suite, length(text) // 4 as tokens, coalesce(m.n_met / k.n, 0.0) as p, coalesce(coalesce(m.n_met, 0) / y.n, 0.0) as r from i left join m using (item_id) left join (select item_id, count(*) as n from w2 group by 1) k using (item_id) left join (select item_id, count(*) as n from x group by 1) y using (item_id))

@@ -1,5 +1,7 @@
 """SQL that several queries are held against: the graph of a snapshot."""
 
+from graphloom.operators import graph as G
+
 KIND = "upper(trim({}kind, E' \\t\\r\\n\\f\\v'))"
 
 
@@ -14,9 +16,7 @@ def graph(snap: str = "(select max(snap_no) from snaps)", n: str = "n", e: str =
         left join (select src, dst, kind, line from {e}_raw where line is not null qualify row_number() over (partition by src, dst, kind order by loaded_at, line) = 1) l using (src, dst, kind))"""
 
 
-CODE = "('CLASS','INTERFACE','ENUM','RECORD','ANNOTATION')"
-STRUCTURE = "('CONTAINS','MEMBER_OF_COMMUNITY','STEP_OF_FLOW','HAS_FINDING','IMPORTS','TESTS')"
-IMPACT = "('CALLS','DISPATCHES_TO','INJECTS','USES_TYPE','READS_FIELD','WRITES_FIELD','EXTENDS','IMPLEMENTS','OVERRIDES')"
+CODE, STRUCTURE, IMPACT = str(G.CODE), str(G.STRUCTURE), str(G.IMPACT)
 TEST = "coalesce({}attrs['test'] = 'true', false)"
 OWNER = "split_part({}, '#', 1)"
 MODULE = "(select min(module) from n where module is not null)"

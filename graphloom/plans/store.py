@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.common import clean_kind, last_snapshot, latest_rows, table
+from graphloom.common import clean_kind, last_snapshot, latest_rows, shared_folder, table
 from graphloom.functions import names
 from graphloom.operators import graph as G
 from graphloom.plans import sql
+from graphloom.sources import files
+
+
+def graph_written(spark: SparkSession, d: str) -> DataFrame:
+    """The graph written as tables parted by kind and read back: rows per table and kind, and the calls that a scan of their part alone finds."""
+    g, folder = G.load(spark, d), f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    files.write_graph(g.nodes, g.edges, folder)
+    back = G.Graph(spark.read.schema(g.nodes.schema).parquet(f"{folder}/nodes"), spark.read.schema(g.edges.schema).parquet(f"{folder}/edges"))
+    calls = back.edges.where("kind = 'CALLS'").groupBy(F.lit("callees").alias("tab"), "kind").agg(F.countDistinct("dst").alias("n"))
+    return _by_kind(back).unionByName(calls)
+
+
+def log_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """The query log written as lines of JSON and read as the tool's own log is."""
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    table(spark, d, "query_log").select("t", "kind", "arg").write.json(folder)
+    return files.query_log(spark, folder)
 
 
 def first_module(g: G.Graph) -> str:
@@ -142,7 +161,7 @@ def ambiguous(spark: SparkSession, d: str) -> DataFrame:
     return log.join(found, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
 
 
-QUERIES = {f.__name__: f for f in (nodes_of_kind, edges_upserted, edges_around, nodes_like, nodes_in_file, signatures, table_counts, meta_values, tier_merge, attrs_set, unit_deleted, kinds_deleted, stubs_deleted, orphans_pruned,
+QUERIES = {f.__name__: f for f in (graph_written, log_read_back, nodes_of_kind, edges_upserted, edges_around, nodes_like, nodes_in_file, signatures, table_counts, meta_values, tier_merge, attrs_set, unit_deleted, kinds_deleted, stubs_deleted, orphans_pruned,
                                    stubs_created, unreachable, usage, edges_told, trivial, leadable, ids_resolved, ambiguous)}
 
 _G = f"with recursive {sql.graph()}"
@@ -163,6 +182,8 @@ _RESOLVE = f"""
     resolved as (select name, id from exact union select name, id from cand where own::int = best)"""
 
 ORACLE = {
+    "graph_written": f"{_G} select * from ({_LEFT.format(n='n', e='e')}) union all select 'callees', kind, count(distinct dst) from e where kind = 'CALLS' group by kind",
+    "log_read_back": "select t, kind, arg from query_log where t is not null",
     "nodes_of_kind": f"{_G} select id, fqn, origin, module from n where kind = 'CLASS'",
     "edges_upserted": f"""with r as (select snap_no, src, dst, {sql.KIND.format('')} as kind, resolution, confidence, line, loaded_at from edges where src is not null and dst is not null and kind is not null and snap_no is not null)
         select a.snap_no, a.src, a.dst, a.kind, a.resolution, a.confidence, l.line from (select * from r qualify row_number() over (partition by snap_no, src, dst, kind order by loaded_at, resolution, confidence) = 1) a

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.common import cut
+from graphloom.common import cut, last_snapshot, table
 from graphloom.functions.names import owner, package
 from graphloom.operators import derive as D
 from graphloom.operators import graph as G
@@ -45,6 +45,15 @@ def impact_tests(spark: SparkSession, d: str) -> DataFrame:
     return named.select("id", F.concat(F.lit("./gradlew "), F.coalesce(F.concat("module", F.lit(":test")), F.lit("test")), F.lit(" --tests "), "id").alias("command"))
 
 
+def impact_test_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The commands that run these tests, one for each module, by the build tool that the build names."""
+    g = G.load(spark, d)
+    seeds, near = _impact(g)
+    tests = W.tests_of(g, near.where("distance > 0"), seeds).join(g.nodes.select("id", "module"), "id", "left")
+    tool = table(spark, d, "meta").where((F.col("snap_no") == last_snapshot(spark, d)) & (F.col("key") == "buildTool")).agg(F.max(F.lower("value"))).first()[0] or ""
+    return W.test_runs(tests, tool, g.nodes.where("kind = 'MODULE'").limit(2).count() > 1)
+
+
 def impact_of_changes(spark: SparkSession, d: str) -> DataFrame:
     """What changed lines reach: in each file of the project the lines 10 to 14 stand for a change."""
     g = G.load(spark, d)
@@ -149,7 +158,7 @@ def package_sizes(spark: SparkSession, d: str) -> DataFrame:
     return counted.groupBy("pkg").agg(F.sum("n").alias("n"), F.count("*").alias("n_layers"), F.min(F.struct((-F.col("n")).alias("less"), "layer"))["layer"].alias("main_layer"))
 
 
-QUERIES = {f.__name__: f for f in (impact, impact_by_module, impact_tests, impact_of_changes, around, path, type_closure, dispatches, overrides, climbs, call_chains, class_projection, in_degree, layers, layer_violations,
+QUERIES = {f.__name__: f for f in (impact, impact_by_module, impact_tests, impact_test_runs, impact_of_changes, around, path, type_closure, dispatches, overrides, climbs, call_chains, class_projection, in_degree, layers, layer_violations,
                                    test_links, package_rings, dead_classes, dead_members, version_conflicts, god_classes, untested_gods, package_sizes)}
 
 _G = f"with recursive {sql.graph()}"
@@ -160,7 +169,7 @@ _SEED = f"""
 _BACK = f"back as (select distinct dst as src, src as dst from e where kind in {sql.IMPACT})"
 _REACH = f"{_SEED}, {_BACK}, r as (select id, 0 as d from seeds union select b.dst, r.d + 1 from r join back b on b.src = r.id where r.d < 3), near as (select id, min(d) as distance from r group by id)"
 _TESTS = "t as (select src as id from e where kind = 'TESTS' and dst in (select split_part(id, '#', 1) from near) union select id from n where " + sql.TEST.format("") + " and id in (select split_part(id, '#', 1) from near where distance > 0))"
-_TOLD = f"told as (select src, dst, kind from e where kind not in {sql.STRUCTURE.replace(chr(39) + 'CONTAINS' + chr(39) + ',', '')})"
+_TOLD = f"told as (select src, dst, kind from e where kind not in {tuple(k for k in G.STRUCTURE if k != 'CONTAINS')})"
 _CLOSE = "up as (select distinct src, dst from e where kind in ('EXTENDS','IMPLEMENTS')), clo as (select src, dst from up union select c.src, u.dst from clo c join up u on u.src = c.dst)"
 _CLASSES = f"cls as (select * from n where kind in {sql.CODE} and origin <> 'EXTERNAL' and not {sql.TEST.format('')})"
 _W = "case kind " + " ".join(f"when '{k}' then {v}" for k, v in D.WEIGHTS.items()) + " end * case when kind = 'DISPATCHES_TO' then confidence else 1 end"
@@ -202,6 +211,8 @@ _DEAD = f"""sup as (select e.src, count(*) as k, max((n.origin = 'EXTERNAL')::in
 ORACLE = {
     "impact": f"{_G}, {_REACH} select * from near",
     "impact_by_module": f"{_G}, {_REACH} select coalesce(n.module, n.artifact, 'external') as unit, count(*) as n from near left join n using (id) where distance > 0 group by 1",
+    "impact_test_runs": f"{_G}, {_REACH}, {_TESTS}, k as (select coalesce(n.module, '') as module, list_sort(list(distinct t.id)) as ids from t left join n using (id) group by 1) "
+    "select module, './gradlew ' || case when module in ('', ':') then 'test' else module || ':test' end || array_to_string(list_transform(ids, lambda i: ' --tests ' || i), '') as command from k where exists (select 1 from meta where snap_no = (select max(snap_no) from snaps) and key = 'buildTool' and lower(value) = 'gradle')",
     "impact_tests": f"{_G}, {_REACH}, {_TESTS} select t.id, './gradlew ' || coalesce(n.module || ':test', 'test') || ' --tests ' || t.id as command from t left join n using (id)",
     "impact_of_changes": f"""{_G}, {_BACK}, hit as (select id, file from n where file in (select file from n where origin = 'REPO') and kind not in {sql.CODE} and kind <> 'FILE' and start_line <= 14 and coalesce(end_line, start_line) >= 10),
         seeds as (select id from hit union select id from n where kind in {sql.CODE} and file in (select file from n where origin = 'REPO') and file not in (select file from hit)),

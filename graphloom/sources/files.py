@@ -33,9 +33,9 @@ def conflicts(spark: SparkSession, path: str) -> DataFrame:
     return each.groupBy("module", "name").agg(F.min(F.struct("configuration", "requested", "selected")).alias("f")).select("module", "name", "f.requested", "f.selected")
 
 
-def sarif(spark: SparkSession, path: str) -> DataFrame:
-    """tool, rule, severity, message, file, line of report results; a result without a place has null there."""
-    run = spark.read.schema(SARIF).json(path, multiLine=True).select(F.explode("runs").alias("r")).select(F.col("r.tool.driver.name").alias("tool"), F.explode("r.results").alias("x"))
+def sarif(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """tool, rule, severity, message, file, line of report results; a result without a place has null there. lines: whether each line is a report, not each file."""
+    run = spark.read.schema(SARIF).json(path, multiLine=not lines).select(F.explode("runs").alias("r")).select(F.col("r.tool.driver.name").alias("tool"), F.explode("r.results").alias("x"))
     level = F.create_map(*(F.lit(v) for kv in SEVERITY.items() for v in kv))
     place = F.try_element_at(F.col("x.locations"), F.lit(1))["physicalLocation"]
     return run.select("tool", F.col("x.ruleId").alias("rule"), F.coalesce(F.try_element_at(level, F.col("x.level")), F.lit("warning")).alias("severity"), F.col("x.message.text").alias("message"), place["artifactLocation"]["uri"].alias("file"), place["region"]["startLine"].alias("line"))

@@ -247,6 +247,16 @@ def test_sessions_and_recall(spark):
     assert pairs(S.recall(entries, asked), "question", "arg", "place") == {("how are orders stored?", "a.OrderRepository", 1)}
 
 
+def test_labels_and_runs(spark):
+    found = [("a.b.X", 0, "a.b.X"), ("a.b.Y", 0, "a.b.X"), ("c.Z", 0, "a.b.X"), ("Q", 0, "Q"), ("a.b.X", 1, "Q"), ("a.b.Y", 1, "Q"), ("c.Z", 1, "Q"), ("Q", 1, "Q")]
+    labels = K.labelled(spark.createDataFrame(found, "id string, level int, community string"))
+    assert pairs(labels, "level", "community", "label", "n", "parent") == {(0, "a.b.X", "a.b (+1 packages)", 3, "Q"), (0, "Q", "(default package)", 1, "Q"), (1, "Q", "a.b (+2 packages)", 4, None)}
+    tests = spark.createDataFrame([("p.BTest", "web"), ("p.ATest", "web"), ("p.CTest", None)], "id string, module string")
+    assert pairs(W.test_runs(tests, "gradle", True), "command") == {("./gradlew web:test --tests p.ATest --tests p.BTest",), ("./gradlew test --tests p.CTest",)}
+    assert pairs(W.test_runs(tests, "maven", True), "command") == {("./mvnw -q test -pl web -Dsurefire.failIfNoSpecifiedTests=false -Dtest=p.ATest,p.BTest",), ("./mvnw -q test -Dtest=p.CTest",)}
+    assert pairs(W.test_runs(tests, "maven", False), "module", "command") == {("web", "./mvnw -q test -Dtest=p.ATest,p.BTest"), ("", "./mvnw -q test -Dtest=p.CTest")} and W.test_runs(tests, "ant", True).count() == 0
+
+
 def test_questions(spark, project):
     from graphloom.api import CodeGraph, fitted
 
@@ -258,6 +268,8 @@ def test_questions(spark, project):
     assert pairs(q.routes("/stations"), "id", "handler") == {("route:GET /stations/{id}", "wx.api.StationController#show(long)"), ("route:DELETE /stations/{id}", "wx.api.StationController#drop(long)")}
     assert q.flow("GET /stations/{id}").count() == 1 and q.get_node("wx.core.Reading").count() == 1 and q.neighbors("wx.data.ReadingStore#load(long)").count() == 3
     assert {("dead-code", "wx.old.TapeHole"), ("dead-code", "wx.data.ReadingStore#compact()")} <= pairs(q.findings(), "kind", "subject")
-    assert "wx.old.TapeHole" in q.report() and q.compare(q)[0].count() == 0
+    assert "wx.old.TapeHole" in q.report() and q.diff_report(q) == "# Changes\n\nNothing changed.\n"
+    page = q.diff_report(CodeGraph(G.Graph(project.nodes.where("id <> 'wx.core.ReadingService#prune()'").withColumn("signature", F.when(F.col("id") == "wx.data.ReadingStore#load(long)", "x").otherwise(F.col("signature"))), project.edges)))
+    assert "| 1 | 0 | 1 | 5 | 1 |" in page and "- `wx.core.ReadingService#prune()` method: added" in page and "- `wx.core.ReadingService#latest(long)` (distance 1)" in page and "- route:GET /stations/{id} (" in page and "- `wx.core.ReadingServiceIT`" in page
     text = fitted({"affected": affected}, 20, ["distance", "id"])
     assert len(text) // 4 <= 22 and '"omitted"' in text
