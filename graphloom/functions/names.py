@@ -102,3 +102,14 @@ def first_sentence(doc: Column) -> Column:
     sentence = F.when(first == "", text).otherwise(first)
     short = F.concat(F.regexp_replace(F.substring(sentence, 1, 200), " [^ ]*$", ""), F.lit(" ..."))
     return F.when(text != "", F.when(F.length(sentence) <= 200, sentence).otherwise(short))
+
+
+def placeholder_key(text: Column) -> Column:
+    """The key of the first ${key} or ${key:default} in a text; null without one."""
+    key = F.regexp_extract(text, r"\$\{([^}:]+)(:[^}]*)?\}", 1)
+    return F.when(key != "", key)
+
+
+def with_defaults(value: Column) -> Column:
+    """A value whose placeholders with a default are replaced by it; those without stay."""
+    return F.regexp_replace(value, r"\$\{[^}:]+:([^}]+)\}", "$1")

@@ -51,6 +51,12 @@ def doc_outline(spark: SparkSession, d: str) -> DataFrame:
     return T.java_outline(table(spark, d, "documents"))
 
 
+def doc_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The two longest methods of each type in each text, and how much of them a budget of 300 tokens for a text gives, in the order of their lines."""
+    kept = T.quota(T.bodies(table(spark, d, "documents")), ["doc_id", "type"], [F.desc("size"), F.col("first_line")], 2)
+    return T.budgeted(kept, "doc_id", "first_line", "size", 1200)
+
+
 def doc_logs(spark: SparkSession, d: str) -> DataFrame:
     return T.log_lines(table(spark, d, "documents")).groupBy("level", "logger").agg(F.count("*").alias("n"), F.max("time").alias("last"))
 
@@ -143,7 +149,7 @@ def explain_flows(spark: SparkSession, d: str) -> DataFrame:
     return E.flow_ranks(g, facts, cut(L.flows(g)), questions, scores)
 
 
-QUERIES = {f.__name__: f for f in (doc_sections, doc_dependencies, doc_findings, report_read_back, doc_outline, doc_logs, doc_mentions, doc_prose, doc_prose_links, doc_config, route_access, stream_sessions, answers, explain_hits, explain_leads, explain_flows)}
+QUERIES = {f.__name__: f for f in (doc_sections, doc_dependencies, doc_findings, report_read_back, doc_bodies, doc_outline, doc_logs, doc_mentions, doc_prose, doc_prose_links, doc_config, route_access, stream_sessions, answers, explain_hits, explain_leads, explain_flows)}
 
 _LINES = "ln as (select doc_id, unnest(range(1, len(x) + 1)) as line_no, unnest(x) as line from (select doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) as x from documents where doc_id is not null and text is not null))"
 _G = f"with recursive {sql.graph()}"
@@ -170,6 +176,13 @@ ORACLE = {
     "doc_dependencies": f"with {_LINES} select doc_id, line_no::int as line_no, {_EX(_DEP, 1)} as scope, {_EX(_DEP, 2)} as name, {_EX(_DEP, 3)} as version from ln where regexp_matches(line, '{_DEP}')",
     "doc_findings": f"with {_LINES} select doc_id, line_no::int as line_no, {_EX(_FIND, 1)} as rule, {_EX(_FIND, 2)} as severity, {_EX(_FIND, 3)} as subject, {_EX(_FIND, 4)} as message from ln where regexp_matches(line, '{_FIND}')",
     "report_read_back": f"with {_LINES} select 'doc' || doc_id as tool, {_EX(_FIND, 1)} as rule, case when {_EX(_FIND, 2)} = 'note' then 'info' else {_EX(_FIND, 2)} end as severity, count(*) as n, max(line_no)::int as last_line from ln where regexp_matches(line, '{_FIND}') group by 1, 2, 3",
+    "doc_bodies": f"""with recursive {_LINES}, o as (select * from (select doc_id, line_no, case {' '.join(f"when {_EX(p, 1)} <> '' then '{w}'" for w, p in _JAVA.items())} end as what, case {' '.join(f"when {_EX(p, 1)} <> '' then {_EX(p, 1)}" for p in _JAVA.values())} end as name from ln) where what is not null),
+        m as (select ln.doc_id, ln.line_no, length(ln.line) as n, last_value(case when what = 'type' then name end ignore nulls) over w as type, last_value(case when what is not null then ln.line_no end ignore nulls) over w as at from ln left join o using (doc_id, line_no) where doc_id in (select doc_id from o) window w as (partition by ln.doc_id order by ln.line_no)),
+        b as (select m.doc_id, any_value(m.type) as type, o.name, m.at::int as first_line, max(m.line_no)::int as last_line, sum(n + 1)::bigint as size from m join o on o.doc_id = m.doc_id and o.line_no = m.at where o.what = 'method' group by m.doc_id, m.at, o.name),
+        q as (select * from b qualify row_number() over (partition by doc_id, type order by size desc, first_line) <= 2), k as (select *, row_number() over (partition by doc_id order by first_line) as i from q),
+        t as (select doc_id, i, case when size <= 1200 then size else 1200 end as taken, 1200 - case when size <= 1200 then size else 1200 end as left_ from k where i = 1
+            union all select k.doc_id, k.i, case when size <= left_ then size when left_ > 400 then left_ else 0 end, left_ - case when size <= left_ then size when left_ > 400 then left_ else 0 end from t join k on k.doc_id = t.doc_id and k.i = t.i + 1)
+        select k.doc_id, type, name, first_line, last_line, size, taken::bigint as taken from k join t using (doc_id, i)""",
     "doc_outline": f"with {_LINES} select * from (select doc_id, line_no::int as line_no, case " + " ".join(f"when {_EX(p, 1)} <> '' then '{w}'" for w, p in _JAVA.items()) + " end as what, case " + " ".join(f"when {_EX(p, 1)} <> '' then {_EX(p, 1)}" for p in _JAVA.values()) + " end as name from ln) where what is not null",
     "doc_logs": f"with {_LINES} select {_EX(_LOGP, 2)} as level, {_EX(_LOGP, 4)} as logger, count(*) as n, max({_EX(_LOGP, 1)}) as last from ln where regexp_matches(line, '{_LOGP}') group by 1, 2",
     "doc_mentions": f"{_G}, {_TYPES}, w as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '{_IDENT}'))) as w from documents where doc_id is not null and text is not null), {_MET.format('doc_id')} select id, count(distinct doc_id) as n_docs from met group by id",

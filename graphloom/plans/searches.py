@@ -86,13 +86,13 @@ def first_sentences(spark: SparkSession, d: str) -> DataFrame:
 def bench_scores(spark: SparkSession, d: str) -> DataFrame:
     """How much of each item's expected ids its text names: precision, recall and the upper median of text lengths in tokens per suite.
 
-    An expected id counts as named if its class's short name is a word of the text."""
+    An expected id counts as named if its class's short name is a word of the text; of alternatives a|b one is enough."""
     items = table(spark, d, "eval_items").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
     words = items.select("item_id", F.explode(F.array_distinct(F.split("text", r"[^A-Za-z0-9_]+"))).alias("w")).where(F.col("w").rlike("^[A-Z][a-z]+[A-Z]"))
-    wanted = items.select("item_id", F.explode(F.array_distinct("expected")).alias("x")).select("item_id", "x", F.substring_index("x", "#", 1).alias("w"))
+    wanted = items.select("item_id", F.explode(F.array_distinct("expected")).alias("x")).select("item_id", "x", F.explode(F.split("x", r"\|")).alias("w")).select("item_id", "x", F.substring_index("w", "#", 1).alias("w"))
     named = words.groupBy("item_id").agg(F.count("*").alias("n_named"))
-    met = wanted.join(words, ["item_id", "w"], "left_semi").groupBy("item_id").agg(F.count("*").alias("n_met"))
-    need = wanted.groupBy("item_id").agg(F.count("*").alias("n_need"))
+    met = wanted.join(words, ["item_id", "w"], "left_semi").select("item_id", "x").distinct().groupBy("item_id").agg(F.count("*").alias("n_met"))
+    need = wanted.select("item_id", "x").distinct().groupBy("item_id").agg(F.count("*").alias("n_need"))
     each = items.select("item_id", "suite", F.floor(F.length("text") / 4).alias("tokens")).join(named, "item_id", "left").join(met, "item_id", "left").join(need, "item_id", "left")
     precision, recall = F.coalesce(F.col("n_met") / F.col("n_named"), F.lit(0.0)), F.coalesce(F.coalesce("n_met", F.lit(0)) / F.col("n_need"), F.lit(0.0))
     median = F.element_at(F.sort_array(F.collect_list("tokens")), (F.floor(F.count("*") / 2) + 1).cast("int"))
@@ -162,7 +162,7 @@ ORACLE = {
     "vocabulary_own_near": f"""{_G}, {_OWN}, {_LOG}, w as (select distinct unnest({_words('arg')}) as word from l where kind = 'explain') select word, term, n, row_number() over (partition by word order by n desc, term)::int as place from w join own on length(word) >= 3 and word <> term and word not in (select term from own)
         and (starts_with(term, left(word, 4)) or starts_with(word, left(term, 4)) or (length(word) > 4 and contains(term, left(word, 5)))) qualify place <= 20""",
     "bench_scores": """with i as (select * from eval_items where item_id is not null and text is not null qualify row_number() over (partition by item_id) = 1), w as (select distinct item_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) as w from i),
-        w2 as (select * from w where regexp_matches(w, '^[A-Z][a-z]+[A-Z]')), x as (select distinct item_id, unnest(expected) as x from i), m as (select item_id, count(*) as n_met from x where (item_id, split_part(x, '#', 1)) in (select (item_id, w) from w2) group by item_id),
+        w2 as (select * from w where regexp_matches(w, '^[A-Z][a-z]+[A-Z]')), x as (select distinct item_id, unnest(expected) as x from i), a as (select item_id, x, split_part(unnest(string_split(x, '|')), '#', 1) as w from x), m as (select item_id, count(distinct x) as n_met from a where (item_id, w) in (select (item_id, w) from w2) group by item_id),
         e as (select i.item_id, suite, length(text) // 4 as tokens, coalesce(m.n_met / k.n, 0.0) as p, coalesce(coalesce(m.n_met, 0) / y.n, 0.0) as r from i left join m using (item_id) left join (select item_id, count(*) as n from w2 group by 1) k using (item_id) left join (select item_id, count(*) as n from x group by 1) y using (item_id))
         select suite, count(*) as n, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg((r >= 0.999)::int), 6) as full_share, list_sort(list(tokens))[count(*) // 2 + 1] as median_tokens from e group by suite""",
 }

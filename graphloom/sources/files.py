@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.names import placeholder_key, with_defaults
 from graphloom.sources.texts import property_keys, yaml_keys
 
 #: The parts of a manifest that are read; anything else in the file is passed over.
@@ -77,6 +78,19 @@ def config_values(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("e.key").agg(F.min(F.struct("file", "e.line", "e.value")).alias("f")).select("key", "f.value", "f.file", "f.line")
 
 
+def resolved(texts: DataFrame, config: DataFrame) -> DataFrame:
+    """texts: text and more; config: key, value. The same with value: what the placeholder of a text comes down to, its key's value with nested defaults filled in; the text
+    itself where it has no placeholder or no file defines its key."""
+    known = config.where("key is not null").groupBy("key").agg(F.min("value").alias("_value")).withColumnRenamed("key", "_key")
+    return texts.join(known, placeholder_key(F.col("text")) == F.col("_key"), "left").withColumn("value", F.coalesce(with_defaults(F.col("_value")), "text")).drop("_key", "_value")
+
+
+def registrations(spark: SparkSession, path: str) -> DataFrame:
+    """service, provider of the files under META-INF/services: a class per line, what follows a # is a comment."""
+    rows = spark.read.text(path, recursiveFileLookup=True).select(F.input_file_name().alias("file"), F.trim(F.substring_index("value", "#", 1)).alias("provider"))
+    return rows.where(F.contains("file", F.lit("META-INF/services/")) & (F.col("provider") != "")).select(F.substring_index("file", "/", -1).alias("service"), "provider").distinct()
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """The graph as Parquet tables parted by kind, which nearly every question filters by."""
     nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/nodes")

@@ -50,6 +50,45 @@ def java_outline(docs: DataFrame) -> DataFrame:
     return lines(docs).select("doc_id", "line_no", what.alias("what"), name.alias("name")).where("what is not null")
 
 
+def bodies(docs: DataFrame) -> DataFrame:
+    """doc_id, type, name, first_line, last_line, size: the methods of Java texts with the type above them; a body ends before the next declaration, and size is the number
+    of its characters, line ends included."""
+    told = java_outline(docs)
+    text = lines(docs).join(told.select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = text.join(told, ["doc_id", "line_no"], "left")
+    upto = Window.partitionBy("doc_id").orderBy("line_no")
+    placed = marked.select("doc_id", "line_no", F.length("line").alias("n"), F.last(F.when(F.col("what") == "type", F.col("name")), ignorenulls=True).over(upto).alias("type"),
+                           F.last(F.when(F.col("what").isNotNull(), F.struct(F.col("line_no").alias("at"), "what", "name")), ignorenulls=True).over(upto).alias("d"))
+    held = placed.where("d.what = 'method'").groupBy("doc_id", "d.at", "d.name").agg(F.first("type").alias("type"), F.max("line_no").alias("last_line"), F.sum(F.col("n") + 1).alias("size"))
+    return held.select("doc_id", "type", "name", F.col("at").alias("first_line"), "last_line", "size")
+
+
+def quota(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first most rows of each group; null keys are a group."""
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= most).drop("_place")
+
+
+def budgeted(rows: DataFrame, key: str, order: str, size: str, budget: int, least: int = 400) -> DataFrame:
+    """rows with taken: how much of each the budget of its group gives it, in order: all where it fits what is left, else what is left if that is more than least, else none.
+
+    A body that gets none leaves the rest to those behind it, so this is no running sum; the sizes of one group are folded on Arrow batches."""
+
+    def fold(sizes: pd.Series) -> pd.Series:
+        def take(each: list[int]) -> list[int]:
+            left, out = budget, []
+            for n in each:
+                got = n if n <= left else left if left > least else 0
+                left -= got
+                out.append(got)
+            return out
+
+        return sizes.map(take)
+
+    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(size).cast("long").alias(size)))).alias("h"))
+    given = held.select(F.col(key).alias("_key"), F.explode(F.arrays_zip(F.col(f"h.{order}").alias("at"), F.pandas_udf(fold, "array<long>")(F.col(f"h.{size}")).alias("taken"))).alias("g"))
+    return rows.join(given.select("_key", F.col("g.at").alias("_at"), F.col("g.taken").alias("taken")), (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_at"))).drop("_key", "_at")
+
+
 def log_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, time, level, thread, logger, message of the lines of logs."""
     p = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d) (\w+) \[([^\]]*)\] (\S+) - (.*)$"

@@ -33,6 +33,25 @@ def test_config_files(spark, tmp_path):
     assert found == {"orders.max": "10", "orders.topic": "shipments", "orders.deep.a.b": "x", "orders.list": "[one]", "spring.name": "app", "only": "1"}
 
 
+def test_placeholders_and_services(spark, tmp_path):
+    texts = spark.createDataFrame([("${a.topic}",), ("x ${a.topic:y} z",), ("${gone:d}",), ("plain",), (None,)], "text string")
+    config = spark.createDataFrame([("a.topic", "${ENV_TOPIC:job-events}/${NONE}"), (None, "x")], "key string, value string")
+    assert {r["text"]: r["value"] for r in files.resolved(texts, config).collect()} == {"${a.topic}": "job-events/${NONE}", "x ${a.topic:y} z": "job-events/${NONE}", "${gone:d}": "${gone:d}", "plain": "plain", None: None}
+    (tmp_path / "m" / "META-INF" / "services").mkdir(parents=True)
+    (tmp_path / "m" / "META-INF" / "services" / "p.Codec").write_text("# all\np.One # first\n\n  p.Two\np.One\n")
+    (tmp_path / "m" / "other.txt").write_text("p.Three\n")
+    assert {tuple(r) for r in files.registrations(spark, str(tmp_path)).collect()} == {("p.Codec", "p.One"), ("p.Codec", "p.Two")}
+
+
+def test_budget_and_quota(spark):
+    sizes = [900, 350, 200, 500, 90, 10]
+    rows = spark.createDataFrame([(1, k, n) for k, n in enumerate(sizes)] + [(2, 0, 2000), (2, 1, 1), (3, 0, 1200), (3, 1, 5)], "doc_id long, at int, size long")
+    found = {(r["doc_id"], r["at"]): r["taken"] for r in T.budgeted(rows, "doc_id", "at", "size", 1200).collect()}
+    assert found == {(1, 0): 900, (1, 1): 0, (1, 2): 200, (1, 3): 0, (1, 4): 90, (1, 5): 10, (2, 0): 1200, (2, 1): 0, (3, 0): 1200, (3, 1): 0}
+    kept = T.quota(rows, ["doc_id"], [F.desc("size"), F.col("at")], 2)
+    assert {(r["doc_id"], r["at"]) for r in kept.collect()} == {(1, 0), (1, 3), (2, 0), (2, 1), (3, 0), (3, 1)}
+
+
 def test_manifest(spark, tmp_path):
     manifest = {"schema": 1, "extra": 3, "modules": [{"name": "app", "configurations": [{"name": "compile", "artifacts": [{"group": "g", "name": "n", "version": "1", "classification": "external", "file": "/libs/own/n.jar"}, {"classification": "external", "file": "/x/tool.jar"}],
                 "conflicts": [{"group": "g", "name": "n", "requested": "0.9", "selected": "1"}]}]}]}
