@@ -1,6 +1,7 @@
 """Operators of the graph on a small project made by hand."""
 
 import itertools
+import json
 import random
 
 import pytest
@@ -13,6 +14,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import kernels as K
 from graphloom.operators import search as S
 from graphloom.operators import walk as W
+from graphloom.operators import wiring as V
 
 NODE = "id string, kind string, fqn string, origin string, signature string, file string, start_line int, end_line int, doc string, sha string, module string, artifact string, attrs map<string,string>"
 EDGE = "src string, dst string, kind string, resolution string, confidence double, line int"
@@ -116,6 +118,32 @@ def test_words_of_annotations(spark):
     assert {("a.B#c()", t, 1) for t in ("authorize", "pre", "role", "hasrole", "preauthorize")} <= found and {("a.B#c()", "admin", 2), ("a.B#c()", "note", 2), ("a.D", "d", 1)} <= found
 
 
+def test_wiring(spark):
+    web, ctx, bean = "org.springframework.web.bind.annotation.", "org.springframework.context.annotation.", "org.springframework.beans.factory.annotation."
+    at = lambda *pairs_: {"annotations": json.dumps(dict(pairs_))}
+    service, auto = "org.springframework.stereotype.Service", bean + "Autowired"
+    nodes = [
+        node("m.Own", "ANNOTATION", attrs=at((service, {}))), node("p.Ask", "INTERFACE"), node("p.Mail", "CLASS", attrs=at(("m.Own", {}))), node("p.Post", "CLASS", attrs=at((service, {"value": "post"}), (ctx + "Primary", {}))), node("p.Slow", "CLASS", attrs=at((service, {}), (ctx + "Profile", {"value": "dev"}))),
+        node("p.URLs", "CLASS", attrs=at((service, {}))), node("p.Conf", "CLASS", attrs=at((ctx + "Configuration", {}))), node("p.Conf#clock()", signature="clock(): java.time.Clock", attrs=at((ctx + "Bean", {"name": "utc,other"}))), node("p.Rows", "INTERFACE"), node("p.BaseRows", "INTERFACE"),
+        node("p.Desk", "CLASS", attrs=at((service, {}))), node("p.Desk#<init>(p.Ask,java.util.List<p.Ask>)", "CONSTRUCTOR"), node("p.Desk#rows", "FIELD", signature="private rows: p.Rows", attrs=at((auto, {}))), node("p.Desk#clock", "FIELD", signature="clock: java.time.Clock", attrs=at((auto, {}), (bean + "Qualifier", {"value": "utc"}))),
+        node("p.Desk#plain", "FIELD", signature="plain: p.Rows"), node("w.Api", "INTERFACE", attrs=at((web + "RequestMapping", {"value": "/api/"}))), node("w.Api#list()", attrs=at((web + "GetMapping", {"value": "a, /b"}))), node("w.Impl", "CLASS", attrs=at((web + "RestController", {}))), node("w.Impl#list()"), node("w.Impl#other()"),
+        node("w.Impl#drop()", attrs=at((web + "RequestMapping", {"path": "x", "method": "DELETE,RequestMethod.PUT"}))), node("w.Impl#tick()", attrs=at(("org.springframework.scheduling.annotation.Scheduled", {"cron": "0 * *"}))), node("w.Impl#hear()", attrs=at(("org.springframework.kafka.annotation.KafkaListener", {"topics": "t1, t2"}))),
+    ]
+    held = [n[0] for n in nodes if "#" in n[0]]
+    edges = [edge(m.split("#")[0], m, "CONTAINS") for m in held] + [edge(c, "p.Ask", "IMPLEMENTS") for c in ("p.Mail", "p.Post", "p.Slow")] + [edge("p.Rows", "p.BaseRows", "EXTENDS"), edge("p.BaseRows", "org.springframework.data.repository.CrudRepository", "EXTENDS"), edge("w.Impl", "w.Api", "IMPLEMENTS")]
+    g = G.Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE))
+    found = V.beans(g)
+    assert pairs(found, "id", "type", "primary", "profile") == {
+        ("bean:mail", "p.Mail", False, None), ("bean:post", "p.Post", True, None), ("bean:slow", "p.Slow", False, "dev"), ("bean:URLs", "p.URLs", False, None), ("bean:conf", "p.Conf", False, None), ("bean:utc", "java.time.Clock", False, None),
+        ("bean:rows", "p.Rows", False, None), ("bean:baseRows", "p.BaseRows", False, None), ("bean:desk", "p.Desk", False, None), ("bean:impl", "w.Impl", False, None), ("bean:own", "m.Own", False, None)}
+    assert pairs(V.injections(g, found), "src", "dst", "resolution", "confidence") == {("p.Desk", f"bean:{b}", "SPRING", 1.0) for b in ("post", "mail", "rows", "utc")}
+    assert pairs(V.injections(g, found.withColumn("primary", F.lit(False))), "dst", "confidence") == {("bean:post", 1.0), ("bean:mail", 1.0), ("bean:rows", 1.0), ("bean:utc", 1.0)}  # of a list each is sure
+    lone = G.Graph(g.nodes.where("id <> 'p.Desk#<init>(p.Ask,java.util.List<p.Ask>)'").union(spark.createDataFrame([node("p.Desk#<init>(p.Ask)", "CONSTRUCTOR")], NODE)), g.edges.union(spark.createDataFrame([edge("p.Desk", "p.Desk#<init>(p.Ask)", "CONTAINS")], EDGE)))
+    assert {("bean:post", "HEURISTIC", 0.5), ("bean:mail", "HEURISTIC", 0.5)} <= pairs(V.injections(lone, found.withColumn("primary", F.lit(False))), "dst", "resolution", "confidence")
+    assert pairs(V.routes(g), "handler", "verb", "path") == {("w.Impl#list()", "GET", "/api/a"), ("w.Impl#list()", "GET", "/api/b"), ("w.Impl#drop()", "DELETE", "/api/x"), ("w.Impl#drop()", "PUT", "/api/x")}
+    assert pairs(V.jobs(g), "id", "schedule") == {("job:w.Impl#tick()", "0 * *")} and pairs(V.listeners(g), "method", "topic") == {("w.Impl#hear()", "t1"), ("w.Impl#hear()", "t2")}
+
+
 def test_flows(project):
     found = {r["entry"]: r for r in L.flows(project).collect()}
     flow = found["wx.api.StationController#show(long)"]
