@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.common import cut_measured, meet, sieve
+from graphloom.common import cut, cut_measured, meet, sieve
 
 #: An orphan key with more than this share of the references to orphans is met by a broadcast, so there are at most 1 / HOT_SHARE of these.
 HOT_SHARE = 1 / 1024
@@ -92,7 +92,7 @@ def orphan_references(edges: DataFrame, keys: DataFrame) -> DataFrame:
 
     edges: snap_no, src, kind (clean), dst. A sieve ends nearly all other references where they are read, before any shuffle; the join tells the rest apart."""
     keys, seen = cut_measured(keys, refs=F.sum("refs"))
-    near = sieve(edges.where("dst is not null").select("snap_no", "src", "kind", "dst", *key_hashes("dst")), keys, "h1")
+    near = cut(sieve(edges.where("dst is not null").select("snap_no", "src", "kind", "dst", *key_hashes("dst")), keys, "h1"))
     own = keys.select(F.struct("snap_no", "h1", "h2").alias("_own"), "state", (F.col("refs") > seen["refs"] * HOT_SHARE).alias("_hot"))
     rows = near.select("snap_no", "src", "kind", "dst", F.struct("snap_no", "h1", "h2").alias("_key"))
     return meet(rows, "_key", own, "_own", F.col("_hot")).select("snap_no", "src", "kind", "dst", "state").distinct()
