@@ -133,7 +133,7 @@ def test_orphans_kept_from_delta_to_delta(spark):
 def test_a_long_chain_and_a_wide_star_without_the_adaptive_split(spark):
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
     try:
-        n, wide = 20_000, 1_000_000
+        n, wide = 100_000, 1_000_000
         chain = spark.range(n).select(F.lit("CONTAINS").alias("tree"), F.concat(F.lit("c"), "id").alias("parent"), F.concat(F.lit("c"), F.col("id") + 1).alias("child"))
         star = spark.range(wide).select(F.lit("EXTENDS").alias("tree"), F.lit("hub").alias("parent"), F.concat(F.lit("leaf"), "id").alias("child"))
         h = hierarchy.build(chain.unionByName(star))
