@@ -111,6 +111,11 @@ def drop(df: DataFrame | None) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows with a number (long) that grows with the order of a column, with gaps: cut it before it is used, as each run may number otherwise."""
+    return rows.orderBy(by).withColumn(name, F.monotonically_increasing_id())
+
+
 def meet(rows: DataFrame, key: str, few: DataFrame, own: str, hot: Column) -> DataFrame:
     """The join of rows with few, which is unique in own, on key = own. The rows of few that are hot, a bounded number, are broadcast, so that a key which a
     third of all rows has comes into no task's group; all others meet by a shuffle. Null keys meet nothing."""

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import cut, cut_measured
+from graphloom.common import cut, cut_measured, numbered, ship
 from graphloom.functions.names import package
 
+#: Links (both directions) up to which one task moves the nodes of communities, in arrays of about 100 bytes a link; beyond that the same moves are rounds of Spark, with the same result.
+LINKS_PER_TASK = 8_000_000
+
 #: Sources that betweenness searches from side by side; their states are what one round holds.
 SOURCES_PER_BLOCK = 2_000
 #: Resolutions of the levels of communities, finest first.
@@ -108,6 +115,104 @@ def _moved(links: DataFrame, resolution: float) -> DataFrame:
     return state.join(names, "community").select("id", F.col("name").alias("community"))
 
 
+def _parity(hashes: np.ndarray, value: int) -> np.ndarray:
+    """The last bit of xxhash64(id, value) as Spark has it, from hashes, the xxhash64(id), as unsigned."""
+    one, two, three, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = turned((hashes + five + np.uint64(4)) ^ (np.uint64(value) * one), 23) * two + three
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        return ((h ^ (h >> np.uint64(32))) & np.uint64(1)).astype(np.int64)
+
+
+def _grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its weights."""
+    if not len(keys):
+        return keys, weights
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(weights[order], starts)
+
+
+def moved_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: np.ndarray, resolution: float) -> np.ndarray:
+    """The moves of _moved in arrays. src, dst: places of nodes in the order of their names, hashes of all of them. For each node the place of its community's first; its own without links."""
+    n = len(hashes)
+    k = np.bincount(src, weights=weight, minlength=n)
+    double = float(k.sum()) or 1.0
+    linked = np.bincount(src, minlength=n) > 0
+    off = src != dst
+    src, dst, weight = src[off], dst[off], weight[off]
+    own = np.arange(n)
+    turn, moves, least, worse, alone = 0, 0, None, 0, False
+    while True:
+        mass = np.bincount(own, weights=k, minlength=n)
+        turned = linked if alone else linked & ((_parity(hashes, turn // 2) + turn) % 2 == 0)
+        at = turned[src]
+        nodes = np.flatnonzero(turned)
+        keys, w = _grouped(np.concatenate([src[at] * n + own[dst[at]], nodes * n + own[nodes]]), np.concatenate([weight[at], np.zeros(len(nodes))]))
+        node, community = keys // n, keys % n
+        stay = own[node] == community
+        gain = np.round(w - resolution * k[node] * (mass[community] - np.where(stay, k[node], 0.0)) / double, 9)
+        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, int)
+        top = np.maximum.reduceat(gain, starts) if len(node) else gain
+        group = np.cumsum(np.concatenate([[0], (node[1:] != node[:-1]).astype(np.int64)])) if len(node) else starts
+        stays = np.zeros(len(starts))
+        stays[group[stay]] = gain[stay]
+        # keys are in order, so the first of a node's best ones has the smallest name
+        best = np.flatnonzero((gain == top[group]) & (top > stays)[group]) if len(node) else starts
+        if len(best):
+            best = best[np.concatenate([[True], node[best][1:] != node[best][:-1]])]
+        movers, to, more = node[best], community[best], gain[best] - stays[group[best]]
+        moves += len(movers)
+        if alone and moves:
+            touched, by = np.concatenate([own[movers], to]), np.concatenate([np.arange(len(movers))] * 2)
+            order = np.lexsort((movers[by], more[by], touched))
+            last = np.concatenate([touched[order][1:] != touched[order][:-1], [True]])
+            first = np.bincount(by[order][last], minlength=len(movers)) == 2
+            movers, to = movers[first], to[first]
+        own[movers] = to
+        turn += 1
+        if alone or turn % 2 == 0:
+            if not moves:
+                break
+            worse = worse + 1 if least is not None and moves >= least else 0
+            least = moves if least is None else min(least, moves)
+            alone, moves = alone or worse > 1, 0
+    names = np.full(n, n)
+    np.minimum.at(names, own, np.arange(n))
+    return names[own]
+
+
+def _gathered(links: DataFrame) -> DataFrame:
+    """communities of links, all levels in one task: id, level, community."""
+    ship(links.sparkSession)
+    nodes = cut(numbered(links.select(F.col("src").alias("id")).distinct(), "id", "nr").withColumn("h", F.xxhash64("id")))
+    nr = lambda name: nodes.select(F.col("id").alias(name), F.col("nr").alias(f"_{name}"))
+    rows = links.join(nr("src"), "src").join(nr("dst"), "dst").join(nodes.select("nr", "h").withColumnRenamed("nr", "_src"), "_src").select("_src", "_dst", "weight", "h")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [tuple(p[c].to_numpy() for c in ("_src", "_dst", "weight", "h")) for p in parts]
+        if not every:
+            return
+        src, dst, weight, h = (np.concatenate(x) for x in zip(*every))
+        known, first, src = np.unique(src, return_index=True, return_inverse=True)
+        # sorted, so that sums don't depend on the order in which rows came
+        dst, hashes = np.searchsorted(known, dst), h[first].view(np.uint64)
+        order = np.lexsort((dst, src))
+        src, dst, weight, at, n = src[order], dst[order], weight[order], np.arange(len(known)), len(known)
+        for level, resolution in enumerate(RESOLUTIONS):
+            up = moved_arrays(src, dst, weight, hashes, resolution)
+            at = up[at]
+            yield pd.DataFrame({"nr": known, "level": np.full(n, level, np.int32), "_of": known[at]})
+            keys, weight = _grouped(up[src] * n + up[dst], weight)
+            src, dst = keys // n, keys % n
+
+    out = cut(rows.repartition(1).mapInPandas(run, "nr long, level int, _of long"))
+    return out.join(nodes.select("nr", "id"), "nr").join(nodes.select(F.col("nr").alias("_of"), F.col("id").alias("community")), "_of").select("id", "level", "community")
+
+
 def package_links(ids: DataFrame) -> DataFrame:
     """src, dst, weight: 2 / size for each pair of classes (id) of a package whose size lies in PACKAGES; no class has more pairs than the largest size."""
     of = cut(ids.select("id", package("id").alias("_p")).distinct())
@@ -127,6 +232,9 @@ def communities(projection: DataFrame, ids: DataFrame | None = None) -> DataFram
     if ids is not None:
         alone = ids.select("id").distinct().join(links.select(F.col("src").alias("id")), "id", "left_anti")
         alone = alone.select("id", F.explode(F.array(*(F.lit(k) for k in range(len(RESOLUTIONS))))).alias("level"), F.col("id").alias("community"))
+    if links.count() <= LINKS_PER_TASK:
+        out = _gathered(links)
+        return out if alone is None else out.unionByName(alone)
     found, out = None, None
     for level, resolution in enumerate(RESOLUTIONS):
         moved = _moved(links, resolution)

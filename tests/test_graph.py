@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.common import cut
 from graphloom.operators import derive as D
 from graphloom.operators import diff as X
 from graphloom.operators import flows as L
@@ -301,3 +302,16 @@ def test_questions(spark, project):
     assert "| 1 | 0 | 1 | 5 | 1 |" in page and "- `wx.core.ReadingService#prune()` method: added" in page and "- `wx.core.ReadingService#latest(long)` (distance 1)" in page and "- route:GET /stations/{id} (" in page and "- `wx.core.ReadingServiceIT`" in page
     text = fitted({"affected": affected}, 20, ["distance", "id"])
     assert len(text) // 4 <= 22 and '"omitted"' in text
+
+
+def test_communities_in_one_task_as_in_rounds(spark, monkeypatch):
+    rnd = random.Random(3)
+    links = [(f"p{rnd.randrange(6)}.C{rnd.randrange(9)}", f"p{rnd.randrange(6)}.C{rnd.randrange(9)}", rnd.choice((0.5, 1.0, 3.0))) for _ in range(70)]
+    ids = spark.createDataFrame([(i,) for i in sorted({x for a, b, _ in links for x in (a, b)} | {"q.Lone"})], "id string")
+    df, written = spark.createDataFrame(links, "src string, dst string, weight double"), []
+    monkeypatch.setattr(K, "cut", lambda *a: written.append(1) or cut(*a))
+    found = pairs(K.communities(df, ids), "id", "level", "community")
+    # the rounds wrote two tables each
+    assert len(written) <= 5
+    monkeypatch.setattr(K, "LINKS_PER_TASK", -1)
+    assert found == pairs(K.communities(df, ids), "id", "level", "community") and len(written) > 20
