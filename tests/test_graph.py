@@ -315,3 +315,12 @@ def test_communities_in_one_task_as_in_rounds(spark, monkeypatch):
     assert len(written) <= 5
     monkeypatch.setattr(K, "LINKS_PER_TASK", -1)
     assert found == pairs(K.communities(df, ids), "id", "level", "community") and len(written) > 20
+
+
+def test_labels_of_communities_in_one_task(spark, monkeypatch):
+    links, written = [("a.A", "a.B", 1.0), ("a.B", "a.C", 1.0), ("b.A", "b.B", 1.0), ("b.B", "b.C", 1.0), ("a.A", "b.A", 0.1)], []
+    ids = spark.createDataFrame([(f"{p}.{c}",) for p in "ab" for c in "ABC"], "id string")
+    monkeypatch.setattr(K, "cut", lambda *a: written.append(1) or cut(*a))
+    labels = pairs(K.labelled(K.communities(spark.createDataFrame(links, "src string, dst string, weight double"), ids)), "level", "community", "label", "n", "parent")
+    # the rounds wrote two tables each
+    assert len(written) <= 5 and {(0, "a.A", "a", 3), (0, "b.A", "b", 3)} == {x[:4] for x in labels if x[0] == 0}
