@@ -17,6 +17,8 @@ LINKS_PER_TASK = 8_000_000
 
 #: Sources that betweenness searches from side by side; their states are what one round holds.
 SOURCES_PER_BLOCK = 2_000
+#: Links that betweenness follows at once in a task, so that they stay in its caches.
+LINKS_AT_ONCE = 1_000_000
 #: Resolutions of the levels of communities, finest first.
 RESOLUTIONS = (1.0, 0.4, 0.15)
 #: Packages of so many classes, least and most, draw their classes together.
@@ -40,15 +42,79 @@ def betweenness(projection: DataFrame, ids: DataFrame, sample: int | None = None
     if sample is not None and sample < n:
         sources = sources.orderBy(F.xxhash64("source"), "source").limit(sample)
     sources, scale = cut(sources), 1.0 if sample is None or sample >= n else n / sample
-    blocks = min(n, sample or n) // SOURCES_PER_BLOCK + 1
+    # no larger graph can be searched from all of its classes in a lifetime
+    whole = links.count() <= LINKS_PER_TASK
+    blocks = 1 if whole else min(n, sample or n) // SOURCES_PER_BLOCK + 1
     total = None
     for block in range(blocks):
-        own = _searched(links, sources.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == block))
+        own = _shared(links, sources) if whole else _searched(links, sources.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == block))
         total = own if total is None else total.union(own)
     sums = total.groupBy("id").agg((F.sum("delta") * F.lit(scale / 2)).alias("_b"))
     return ids.select("id").join(sums, "id", "left").select("id", F.coalesce("_b", F.lit(0.0)).alias("betweenness"))
 
 
+def shares(start: np.ndarray, to: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """For each node the sum of its shares of the shortest ways from sources to all others. start, to: neighbours of node k are to[start[k]:start[k + 1]].
+
+    Some sources go side by side, so that one level of them has about LINKS_AT_ONCE links at most; a link is looked at twice from each source, as in the plain search."""
+    n, total = len(start) - 1, np.zeros(len(start) - 1)
+    wide, degree = max(1, LINKS_AT_ONCE // max(1, len(to))), np.diff(start)
+    for begin in range(0, len(sources), wide):
+        own = sources[begin : begin + wide]
+        size = len(own) * n
+        level, ways, back = np.full(size, -1, np.int16 if n < 1 << 15 else np.int32), np.zeros(size), []
+        front = np.arange(len(own)) * n + own
+        level[front], ways[front], depth = 0, 1.0, 0
+        while len(front):
+            node = front % n
+            count = degree[node]
+            by = np.repeat(np.arange(len(front)), count)
+            first = np.cumsum(count) - count
+            met = (front - node)[by] + to[np.arange(len(by)) + (start[node] - first)[by]]
+            new = level[met] < 0
+            by, met = by[new], met[new]
+            came = front[by]
+            back.append((came, met))
+            summed = np.bincount(met, weights=ways[came], minlength=size)
+            front = np.flatnonzero(summed)
+            depth += 1
+            level[front], ways[front] = depth, summed[front]
+        delta = np.zeros(size)
+        for came, met in reversed(back):
+            part = np.bincount(came, weights=(1.0 + delta[met]) / ways[met], minlength=size)
+            delta += part * ways
+        delta[np.arange(len(own)) * n + own] = 0.0
+        total += delta.reshape(len(own), n).sum(axis=0)
+    return total
+
+
+def _shared(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """id, delta: as _searched, from a broadcast of the links; each task takes some of the sources."""
+    spark = links.sparkSession
+    ship(spark)
+    nodes = cut(numbered(links.select(F.col("src").alias("id")).distinct(), "id", "nr"))
+    nr = lambda name: nodes.select(F.col("id").alias(name), F.col("nr").alias(f"_{name}"))
+    got = links.join(nr("src"), "src").join(nr("dst"), "dst").select("_src", "_dst").toArrow()
+    known, src = np.unique(got["_src"].to_numpy(), return_inverse=True)
+    dst = np.searchsorted(known, got["_dst"].to_numpy())
+    order = np.lexsort((dst, src))
+    graph = spark.sparkContext.broadcast((known, np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(known)))]), dst[order]))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, start, to = graph.value
+        total, any_ = np.zeros(len(known)), False
+        for p in parts:
+            total, any_ = total + shares(start, to, np.searchsorted(known, p["nr"].to_numpy())), any_ or len(p) > 0
+        if any_:
+            yield pd.DataFrame({"nr": known, "delta": total})
+
+    # so many tasks that the last one to end doesn't keep the others waiting
+    tasks = max(4, 4 * spark.sparkContext.defaultParallelism)
+    mine = sources.select(F.col("source").alias("id")).join(nodes, "id").select("nr").repartition(tasks, F.xxhash64("nr"))
+    own = mine.mapInPandas(run, "nr long, delta double").groupBy("nr").agg(F.sum("delta").alias("delta"))
+    return cut(own.join(nodes, "nr").select("id", "delta"))
+
+
 def _searched(links: DataFrame, sources: DataFrame) -> DataFrame:
     """id, delta: the shares of the shortest ways from some sources, in the same rounds: forwards the number of ways to each node level by level, then backwards
     each node's share."""

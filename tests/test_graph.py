@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.common import cut
+from graphloom.common import cut, cut_measured
 from graphloom.operators import derive as D
 from graphloom.operators import diff as X
 from graphloom.operators import flows as L
@@ -324,3 +324,17 @@ def test_labels_of_communities_in_one_task(spark, monkeypatch):
     labels = pairs(K.labelled(K.communities(spark.createDataFrame(links, "src string, dst string, weight double"), ids)), "level", "community", "label", "n", "parent")
     # the rounds wrote two tables each
     assert len(written) <= 5 and {(0, "a.A", "a", 3), (0, "b.A", "b", 3)} == {x[:4] for x in labels if x[0] == 0}
+
+
+def test_betweenness_in_arrays_as_in_rounds(spark, monkeypatch):
+    rnd = random.Random(5)
+    links = [(f"n{rnd.randrange(25)}", f"n{rnd.randrange(25)}", 1.0) for _ in range(40)] + [("x", "y", 1.0)]
+    df, written = spark.createDataFrame(links, "src string, dst string, weight double"), []
+    ids = spark.createDataFrame([(f"n{k}",) for k in range(26)] + [("x",), ("y",), ("lone",)], "id string")
+    monkeypatch.setattr(K, "LINKS_AT_ONCE", 200)
+    monkeypatch.setattr(K, "cut_measured", lambda *a, **k: written.append(1) or cut_measured(*a, **k))
+    whole = dict(pairs(K.betweenness(df, ids), "id", "betweenness"))
+    assert not written, "a table was written for each level of the search"
+    monkeypatch.setattr(K, "LINKS_PER_TASK", -1)
+    rounds = dict(pairs(K.betweenness(df, ids), "id", "betweenness"))
+    assert written and whole.keys() == rounds.keys() and all(abs(whole[i] - rounds[i]) < 1e-9 for i in rounds) and max(whole.values()) > 1
