@@ -16,6 +16,7 @@ from graphloom.operators import kernels as K
 from graphloom.operators import search as S
 from graphloom.operators import walk as W
 from graphloom.operators import wiring as V
+from tests.conftest import DATA
 
 NODE = "id string, kind string, fqn string, origin string, signature string, file string, start_line int, end_line int, doc string, sha string, module string, artifact string, attrs map<string,string>"
 EDGE = "src string, dst string, kind string, resolution string, confidence double, line int"
@@ -338,3 +339,12 @@ def test_betweenness_in_arrays_as_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(K, "LINKS_PER_TASK", -1)
     rounds = dict(pairs(K.betweenness(df, ids), "id", "betweenness"))
     assert written and whole.keys() == rounds.keys() and all(abs(whole[i] - rounds[i]) < 1e-9 for i in rounds) and max(whole.values()) > 1
+
+
+def test_god_scores_without_rounds(spark, monkeypatch):
+    from graphloom.plans import knowledge
+
+    written = []
+    monkeypatch.setattr(K, "cut_measured", lambda *a, **k: written.append(1) or cut_measured(*a, **k))
+    found = dict(pairs(knowledge.god_scores(spark, DATA), "id", "score"))
+    assert not written and 1 <= max(found.values()) <= 2
