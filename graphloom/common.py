@@ -111,8 +111,8 @@ def drop(df: DataFrame | None) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """rows with a number (long) that grows with the order of a column, with gaps: cut it before it is used, as each run may number otherwise."""
+def numbered(rows: DataFrame, by: str | Column, name: str) -> DataFrame:
+    """rows with a number (long) that grows with the order of by, with gaps: cut it before it is used, as each run may number otherwise."""
     return rows.orderBy(by).withColumn(name, F.monotonically_increasing_id())
 
 

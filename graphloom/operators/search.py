@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.common import BLANKS
+from graphloom.common import BLANKS, cut, numbered, ship
 from graphloom.functions.names import annotation_terms, simple_name, stem, terms, tokens
 from graphloom.operators import graph as G
 
@@ -17,6 +21,8 @@ STOP = tuple(
 )
 #: Seconds after a question in which a fetch belongs to it, and the share of words that makes two questions alike.
 REMEMBERED, ALIKE = 120, 0.5
+#: Rows of words of past questions, and of what they fetched, up to which each task holds all of them; beyond that questions meet in a join, with the same result.
+REMEMBERED_PER_TASK = 8_000_000
 #: The kinds of nodes whose names are the project's own words.
 OWN_KINDS = ("CLASS", "INTERFACE", "ENUM", "RECORD", "METHOD", "FIELD", "CONFIG_KEY", "HTTP_ROUTE")
 
@@ -100,10 +106,12 @@ def recall(entries: DataFrame, questions: DataFrame, top: int = 3) -> DataFrame:
 
     Alike means that the stems have a Jaccard share of ALIKE at least. Candidates share one of their rarest stems: of m stems, two sets with that share have
     a common one among the first m - ceil(ALIKE * m) + 1 in order of rarity, so only these are joined (prefix filter), and no pair is lost."""
-    found = fetches(entries).groupBy("question", "arg").agg(F.count("*").alias("n"))
+    found = cut(fetches(entries).groupBy("question", "arg").agg(F.count("*").alias("n")))
     past = found.select("question").distinct().select("question", question_words("question").alias("words")).where("size(words) > 0")
     asked = questions.select("question").distinct().select(F.col("question").alias("ask"), question_words("question").alias("asked")).where("size(asked) > 0")
     rarity = past.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    if max(rarity.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0], found.count()) <= REMEMBERED_PER_TASK:
+        return _recalled_in_tasks(found, past, asked, rarity, top)
 
     def prefix(df: DataFrame, key: str, words: str) -> DataFrame:
         each = df.select(key, words, F.explode(words).alias("w")).join(rarity, "w", "left").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "w")))
@@ -116,6 +124,58 @@ def recall(entries: DataFrame, questions: DataFrame, top: int = 3) -> DataFrame:
     return counted.withColumn("place", place).where(F.col("place") <= top)
 
 
+def _lists(key: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """start, values: those of key k, a place from 0 to n - 1, are values[start[k]:start[k + 1]]."""
+    return np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n))]), value[np.argsort(key, kind="stable")]
+
+
+def _recalled_in_tasks(found: DataFrame, past: DataFrame, asked: DataFrame, rarity: DataFrame, top: int) -> DataFrame:
+    """recall with all that is remembered in arrays of each task, so that no pair of questions is ever written. Words are numbered from the rarest on, args in their order."""
+    spark = found.sparkSession
+    ship(spark)
+    words = cut(numbered(rarity, F.struct("df", "w"), "wnr")).select("w", "wnr")
+    args = cut(numbered(found.select("arg").distinct(), "arg", "anr"))
+    olds = cut(numbered(past, "question", "qnr"))
+    had = olds.select("qnr", F.explode("words").alias("w")).join(words, "w").select("qnr", "wnr").toArrow()
+    got = found.join(olds.select("question", "qnr"), "question").join(args, "arg").select("qnr", "anr", "n").toArrow()
+    known, q = np.unique(had["qnr"].to_numpy(), return_inverse=True)
+    names, w = np.unique(had["wnr"].to_numpy(), return_inverse=True)
+    by_word = _lists(w, q.astype(np.int32), len(names))
+    at = np.searchsorted(known, got["qnr"].to_numpy())
+    by_old = _lists(at, np.arange(len(at)), len(known))
+    order = by_old[1]
+    held = spark.sparkContext.broadcast((names, by_word, np.bincount(q, minlength=len(known)), by_old[0], got["anr"].to_numpy()[order], got["n"].to_numpy()[order]))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, (start, olds), sizes, first, anr, n = held.value
+        shared = np.zeros(len(sizes), np.int32)
+        for p in parts:
+            out = []
+            for ask, m, own in zip(p["ask"], p["m"], p["own"]):
+                own = np.searchsorted(names, np.sort(own))
+                lists = [olds[start[k] : start[k + 1]] for k in own]
+                for x in lists:
+                    shared[x] += 1
+                # of m words so many must be common that one is among the rarest; words that nobody asked before are rarer still
+                few = int(m - np.ceil(m * ALIKE) + 1) - int(m - len(own))
+                near = np.concatenate(lists[:few]) if few > 0 else np.zeros(0, np.int32)
+                near = near[shared[near] >= ALIKE * (m + sizes[near] - shared[near])]
+                for x in lists:
+                    shared[x] = 0
+                near = np.unique(near)
+                count = first[near + 1] - first[near]
+                at = np.arange(count.sum()) + np.repeat(first[near] - (np.cumsum(count) - count), count)
+                each, to = np.unique(anr[at], return_inverse=True)
+                total = np.bincount(to, weights=n[at], minlength=len(each)).astype(np.int64)
+                best = np.lexsort((each, -total))[:top]
+                out += [(ask, each[k], total[k], place) for place, k in enumerate(best, 1)]
+            yield pd.DataFrame(out, columns=["question", "anr", "n", "place"])
+
+    own = asked.select("ask", F.size("asked").alias("m"), F.explode("asked").alias("w")).join(words, "w").groupBy("ask", "m").agg(F.collect_list("wnr").alias("own"))
+    told = own.repartition(4 * max(1, spark.sparkContext.defaultParallelism), "ask").mapInPandas(run, "question string, anr long, n long, place int")
+    return told.join(args, "anr").select("question", "arg", "n", "place")
+
+
 def subsystems(g: G.Graph, questions: DataFrame, least: int = 3, top: int = 5) -> DataFrame:
     """question, id, n_in, busiest, place: the types whose names carry most of a question's stems and those directly below them, where there are at least least; the most
     used first, a top-k report per question. busiest: the member with most calls out, then the longest, of three lines at least.

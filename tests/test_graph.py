@@ -348,3 +348,17 @@ def test_god_scores_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(K, "cut_measured", lambda *a, **k: written.append(1) or cut_measured(*a, **k))
     found = dict(pairs(knowledge.god_scores(spark, DATA), "id", "score"))
     assert not written and 1 <= max(found.values()) <= 2
+
+
+def test_recall_in_tasks_as_in_a_join(spark, monkeypatch):
+    rnd, log = random.Random(9), []
+    for k in range(120):
+        log += [(1000 * k, "explain", " ".join(rnd.choices(["region", "parcel", "depot", "queue", "vault", "panel"], k=rnd.randrange(1, 5)))), (1000 * k + 5, "source", f"a.C{rnd.randrange(7)}")]
+    entries = spark.createDataFrame([*log, (5, "explain", "unheard words alone"), (500_000, "explain", "unheard region parcel")], "t long, kind string, arg string")
+    asked = entries.where("kind = 'explain'").select(F.col("arg").alias("question"))
+    whole = S.recall(entries, asked)
+    assert "MapInPandas" in whole._jdf.queryExecution().toString(), "pairs of questions were joined and written"
+    found = pairs(whole, "question", "arg", "n", "place")
+    monkeypatch.setattr(S, "REMEMBERED_PER_TASK", -1)
+    assert found == pairs(S.recall(entries, asked), "question", "arg", "n", "place") and len(found) > 50
+    assert S.recall(entries.where("false"), asked).count() == 0
