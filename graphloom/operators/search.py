@@ -176,6 +176,42 @@ def _recalled_in_tasks(found: DataFrame, past: DataFrame, asked: DataFrame, rari
     return told.join(args, "anr").select("question", "arg", "n", "place")
 
 
+def _cards_in_tasks(words: DataFrame, held: DataFrame, below: DataFrame, used: DataFrame, types: DataFrame, least: int, top: int) -> DataFrame:
+    """question, id, n_in, place of subsystems. words: question, w. held: w, id. Types are numbered as they are placed, so that the best are the smallest numbers, and each
+    task has the numbers of each word and of what is below each type, so that no pair of a question and a type is written but the best."""
+    spark = words.sparkSession
+    ship(spark)
+    ranked = types.join(used, "id", "left").select("id", F.coalesce("n_in", F.lit(0)).alias("n_in"))
+    nrs = cut(ranked.orderBy(F.desc("n_in"), "id").withColumn("nr", F.monotonically_increasing_id()))
+    of = held.join(nrs.select("id", "nr"), "id").select("w", "nr").toArrow()
+    subs = below.join(nrs.select("id", "nr"), "id").join(nrs.select(F.col("id").alias("sub"), F.col("nr").alias("snr")), "sub").select("nr", "snr").toArrow()
+    known = np.sort(nrs.select("nr").toArrow()["nr"].to_numpy())
+    names, w = np.unique(of["w"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    place = lambda x: np.searchsorted(known, x.to_numpy())
+    tables = spark.sparkContext.broadcast((known, dict(zip(names.tolist(), range(len(names)))), _lists(w, place(of["nr"]), len(names)), _lists(place(subs["nr"]), place(subs["snr"]), len(known))))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, names, (start, ids), (first, subs) = tables.value
+        done: dict[tuple[int, ...], np.ndarray] = {}
+        for p in parts:
+            out = []
+            for question, ws in zip(p["question"], p["ws"]):
+                own = tuple(sorted(names[x] for x in ws if x in names))
+                if own not in done:
+                    done.clear() if len(done) >= 100_000 else None
+                    met, n = np.unique(np.concatenate([ids[start[k] : start[k + 1]] for k in own]) if own else ids[:0], return_counts=True)
+                    named = met[n == n.max()] if len(n) else met
+                    count = first[named + 1] - first[named]
+                    at = np.arange(count.sum()) + np.repeat(first[named] - (np.cumsum(count) - count), count)
+                    family = np.unique(np.concatenate([named, subs[at]]))
+                    done[own] = family[:top].copy() if len(family) >= least else family[:0]
+                out += [(question, known[k], at) for at, k in enumerate(done[own], 1)]
+            yield pd.DataFrame(out, columns=["question", "nr", "place"])
+
+    asked = words.groupBy("question").agg(F.collect_list("w").alias("ws")).repartition(4 * max(1, spark.sparkContext.defaultParallelism), "question")
+    return asked.mapInPandas(run, "question string, nr long, place int").join(nrs, "nr").select("question", "id", "n_in", "place")
+
+
 def subsystems(g: G.Graph, questions: DataFrame, least: int = 3, top: int = 5) -> DataFrame:
     """question, id, n_in, busiest, place: the types whose names carry most of a question's stems and those directly below them, where there are at least least; the most
     used first, a top-k report per question. busiest: the member with most calls out, then the longest, of three lines at least.
@@ -185,14 +221,19 @@ def subsystems(g: G.Graph, questions: DataFrame, least: int = 3, top: int = 5) -
     names = types.where("not contains(id, '$')").select("id", F.lower(simple_name("id")).alias("name"))
     pieces = names.where("length(name) >= 3").select("id", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda k: F.substring(F.col("name"), k, F.lit(3))))).alias("piece"))
     words = questions.select("question").distinct().select("question", F.explode(question_words("question")).alias("w")).where("length(w) >= 3")
+    met = words.select("w").distinct().withColumn("piece", F.substring("w", 1, 3)).join(pieces, "piece").where(F.contains("name", F.col("w"))).select("w", "id").distinct()
     held = words.withColumn("piece", F.substring("w", 1, 3)).join(pieces, "piece").where(F.contains("name", F.col("w"))).groupBy("question", "id").agg(F.count("*").alias("n"))
     named = held.withColumn("most", F.max("n").over(Window.partitionBy("question"))).where("n = most").select("question", "id")
     below = g.edges.where("kind in ('EXTENDS', 'IMPLEMENTS')").select(F.col("dst").alias("id"), F.col("src").alias("sub")).join(types.withColumnRenamed("id", "sub"), "sub", "left_semi")
+    used = g.edges.where("kind <> 'CONTAINS'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))
+    met = cut(met)
+    small = met.count() <= REMEMBERED_PER_TASK
     family = named.unionByName(named.join(below, "id").select("question", F.col("sub").alias("id"))).distinct()
     counted = family.withColumn("size", F.count("*").over(Window.partitionBy("question"))).where(F.col("size") >= least)
-    used = g.edges.where("kind <> 'CONTAINS'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_in"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("n_in"), "id"))
     best = counted.join(used, "id", "left").select("question", "id", F.coalesce("n_in", F.lit(0)).alias("n_in")).withColumn("place", place).where(F.col("place") <= top)
+    if small:
+        best = _cards_in_tasks(words, met, below, used, types, least, top)
     lines = F.coalesce("end_line", F.lit(0)) - F.coalesce("start_line", F.lit(0))
     bodies = g.nodes.where("kind in ('METHOD', 'CONSTRUCTOR')").select(F.col("id").alias("member"), lines.alias("lines")).where("lines >= 2")
     calls = g.edges.where("kind = 'CALLS'").groupBy(F.col("src").alias("member")).agg(F.count("*").alias("calls"))

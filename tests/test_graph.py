@@ -362,3 +362,16 @@ def test_recall_in_tasks_as_in_a_join(spark, monkeypatch):
     monkeypatch.setattr(S, "REMEMBERED_PER_TASK", -1)
     assert found == pairs(S.recall(entries, asked), "question", "arg", "n", "place") and len(found) > 50
     assert S.recall(entries.where("false"), asked).count() == 0
+
+
+def test_cards_in_tasks_as_in_a_join(spark, monkeypatch):
+    names = [f"a.{x}{y}" for x in ("Region", "Parcel", "Depot") for y in ("Queue", "Vault", "Panel", "")]
+    nodes = [node(n, "CLASS") for n in names] + [node("a.Sub$In", "CLASS")] + [node(f"{n}#m()", lines=(1, 9)) for n in names[::2]]
+    edges = [edge("a.Sub$In", "a.Depot", "EXTENDS")] + [edge(n, f"{n}#m()", "CONTAINS") for n in names[::2]] + [edge(f"{a}#m()", b) for a in names[::4] for b in names[1::2]]
+    g = G.Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE))
+    asked = spark.createDataFrame([("region queue",), ("depot",), ("queue vault panel",), ("parcel",), ("nothing",), ("",)], "question string")
+    whole = S.subsystems(g, asked)
+    assert "MapInPandas" in whole._jdf.queryExecution().toString(), "pairs of questions and types were joined and written"
+    found = pairs(whole, "question", "id", "n_in", "busiest", "place")
+    monkeypatch.setattr(S, "REMEMBERED_PER_TASK", -1)
+    assert found == pairs(S.subsystems(g, asked), "question", "id", "n_in", "busiest", "place") and {x[0] for x in found} == {"depot", "queue vault panel", "parcel"}
