@@ -44,6 +44,9 @@ VERB_BONUS, MOST_USERS, MOST_CALLERS, PASSED_ON = 1.0, 6, 3, 0.9
 #: Edges that tie code to wiring, by the kind of the node they lead to; nodes of a kind that a bare listing holds, and that stand in where nothing is found.
 ATTACHED = {"HTTP_ROUTE": ("HANDLES_ROUTE", "CALLS_REMOTE"), "MESSAGE_TOPIC": ("CONSUMES_FROM", "PRODUCES_TO"), "CONFIG_KEY": ("BINDS_CONFIG",), "BEAN": ("PROVIDES_BEAN",)}
 LISTED, STAND_INS = 20, 10
+#: Ranked hits of a text that any probe looks at; kinds that no list of matches shows.
+MOST_SEEN = 3 * max(v[0] for v in PROBES.values())
+UNMATCHED = ("FLOW", "COMMUNITY", "PACKAGE", "FILE")
 
 
 def _map(values: dict) -> Column:
@@ -104,7 +107,7 @@ def found(index: DataFrame, facts: DataFrame, asking: DataFrame) -> tuple[DataFr
     """asking: probes. The hits that each probe keeps (question, how, pos, text, first, id, at and facts), and the ranked hits of all texts by kind of wiring (text, kind, id, place)."""
     texts = asking.select(F.col("text").alias("query"), "words").groupBy("query").agg(F.first("words").alias("words"))
     scored = cut(S.scored(index, texts).join(facts.select("id", "kind"), "id"))
-    most = 3 * max(v[0] for v in PROBES.values())
+    most = MOST_SEEN
     every = _best(scored, ["query"], most).select("query", "id", "place", F.lit(True).alias("_docs"))
     code = _best(scored.where("kind <> 'DOC'"), ["query"], most).select("query", "id", "place", F.lit(False).alias("_docs"))
     of_kind = _best(scored.where(_is(*set(KIND_WORDS.values()))), ["query", "kind"], most).select(F.col("query").alias("text"), "kind", "id", "place")
@@ -135,16 +138,31 @@ def _summed(rows: DataFrame) -> DataFrame:
     return cut(rows.groupBy("question", "id").agg(F.sum("score").alias("score")))
 
 
-def _from_users(g: G.Graph, facts: DataFrame, hits: DataFrame) -> DataFrame:
-    """What hits on fields and one-line accessors pass to the few members of the project that use them."""
+def user_links(g: G.Graph, facts: DataFrame) -> DataFrame:
+    """id, user of fields and one-line accessors with the few members of the project that use them."""
     name = simple_name("id")
     accessor = _is("METHOD") & (F.col("lines") <= 0) & (F.startswith(name, F.lit("get")) | F.startswith(name, F.lit("set")) | F.startswith(name, F.lit("is")))
     passing = facts.where("own").where(_is("FIELD") | accessor).select("id", "kind")
     uses = g.edges.where("kind in ('WRITES_FIELD', 'READS_FIELD', 'CALLS')").select(F.col("dst").alias("id"), F.col("src").alias("user"), F.col("kind").alias("_by"))
     users = facts.where("own and not test").where(_is("METHOD", "CONSTRUCTOR")).select(F.col("id").alias("user"))
     known = uses.join(passing, "id").where("(kind = 'FIELD') = (_by <> 'CALLS')").join(users, "user", "left_semi").select("id", "user").distinct()
-    few = known.join(known.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_USERS).select("id"), "id", "left_semi")
-    return hits.join(few, "id").select("question", F.col("user").alias("id"), "score")
+    return known.join(known.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_USERS).select("id"), "id", "left_semi")
+
+
+def _from_users(g: G.Graph, facts: DataFrame, hits: DataFrame) -> DataFrame:
+    """What hits on fields and one-line accessors pass to the few members of the project that use them."""
+    return hits.join(user_links(g, facts), "id").select("question", F.col("user").alias("id"), "score")
+
+
+def kind_nodes(g: G.Graph, facts: DataFrame) -> DataFrame:
+    """id, kind of the nodes of kinds that a question may name, but for those of other services."""
+    return facts.where(_is(*set(KIND_WORDS.values()))).join(g.nodes.where(F.coalesce(G.attr("remote") == "true", F.lit(False))).select("id"), "id", "left_anti").select("id", "kind")
+
+
+def tied_pieces(g: G.Graph, kinds: DataFrame) -> DataFrame:
+    """id, kind, w: the pieces of the names of whatever is tied to each of kinds."""
+    pieces = F.array_distinct(F.filter(F.transform(F.split(F.substring_index("src", "(", 1), r"[^\p{Alnum}]+|(?<=[a-z0-9])(?=[A-Z])"), F.lower), lambda w: w != ""))
+    return g.edges.select("src", F.col("dst").alias("id")).join(kinds, "id").select("id", "kind", F.explode(pieces).alias("w")).distinct()
 
 
 def _kind_hits(g: G.Graph, facts: DataFrame, q: DataFrame, of_kind: DataFrame) -> DataFrame:
@@ -159,11 +177,10 @@ def _kind_hits(g: G.Graph, facts: DataFrame, q: DataFrame, of_kind: DataFrame) -
     key = Window.partitionBy("question", "word")
     matched = first.withColumn("held", held).withColumn("top", F.max("held").over(key)).withColumn("tops", F.sum((F.col("held") == F.col("top")).cast("int")).over(key))
     scoped = matched.where("top = 0 or tops > 1 or held = top").select("question", "word", "id", F.struct("order.nr", "order.at", "id").alias("by"))
-    kinds = facts.where(_is(*set(KIND_WORDS.values()))).join(g.nodes.where(F.coalesce(G.attr("remote") == "true", F.lit(False))).select("id"), "id", "left_anti").select("id", "kind")
+    kinds = kind_nodes(g, facts)
     lacking = named.join(scoped.select("question", "word").distinct(), ["question", "word"], "left_anti")
-    pieces = F.array_distinct(F.filter(F.transform(F.split(F.substring_index("src", "(", 1), r"[^\p{Alnum}]+|(?<=[a-z0-9])(?=[A-Z])"), F.lower), lambda w: w != ""))
     begins = lambda w, least: F.transform(F.filter(F.sequence(F.lit(least), F.greatest(F.lit(least), F.length(w))), lambda k: k <= F.length(w)), lambda k: F.substring(w, F.lit(1), k))
-    tied = g.edges.select("src", F.col("dst").alias("id")).join(kinds, "id").select("id", "kind", F.explode(pieces).alias("w")).distinct()
+    tied = tied_pieces(g, kinds)
     stems = lacking.select("question", "word", "kind", F.explode("rest").alias("r")).select("question", "word", "kind", stem("r").alias("st"))
     longer = tied.select("id", "kind", F.explode(begins(F.col("w"), 1)).alias("st")).distinct().join(stems, ["kind", "st"])
     shorter = stems.where("length(st) >= 4").select("question", "word", "kind", F.explode(begins(F.col("st"), 3)).alias("w")).join(tied, ["kind", "w"])
@@ -191,25 +208,35 @@ def kind_texts(named: DataFrame) -> DataFrame:
 
 def _substring_hits(facts: DataFrame, q: DataFrame, hits: DataFrame) -> DataFrame:
     """Where nothing else is found, half a point for the ten first ids that hold a word anywhere. Words meet ids by their first three letters, an equal join."""
-    words = q.join(hits.select("question").distinct(), "question", "left_anti").select("question", "docs", F.explode("words").alias("w")).withColumn("piece", F.substring("w", 1, 3))
+    words = q.join(hits.select("question").distinct(), "question", "left_anti").select("question", "docs", F.posexplode("words").alias("pos", "w")).withColumn("piece", F.substring("w", 1, 3))
     pieces = facts.select("id", "kind", "weight", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("id") - 2)), lambda k: F.substring(F.lower("id"), k, F.lit(3))))).alias("piece"))
     met = pieces.join(words, "piece").where(F.contains(F.lower("id"), F.col("w"))).where("docs or kind <> 'DOC'")
-    first = met.withColumn("at", F.row_number().over(Window.partitionBy("question", "w").orderBy(F.length("id"), "id"))).where("at <= 10")
+    first = met.withColumn("at", F.row_number().over(Window.partitionBy("question", "pos").orderBy(F.length("id"), "id"))).where("at <= 10")
     return first.select("question", "id", (0.5 * F.col("weight")).alias("score"))
 
 
-def _passed_on(g: G.Graph, facts: DataFrame, q: DataFrame, hits: DataFrame) -> DataFrame:
-    """What hits on wiring pass to the code it is tied to, and hits on a library's method that the question names to its few callers."""
-    known = facts.select("id", "kind", "own", "external", "test", "weight")
+def wired_links(g: G.Graph, facts: DataFrame) -> DataFrame:
+    """id, other: wiring with the code that it is tied to, a row for each way."""
+    known = facts.select("id", "kind")
     into = g.edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.col("kind").alias("_by"))
-    tied = into.join(known.where(_is(*ATTACHED)).select("id", "kind"), "id").where(" or ".join(f"(kind = '{k}' and _by in ({', '.join(repr(x) for x in v)}))" for k, v in ATTACHED.items())).select("id", "other")
+    tied = into.join(known.where(_is(*ATTACHED)), "id").where(" or ".join(f"(kind = '{k}' and _by in ({', '.join(repr(x) for x in v)}))" for k, v in ATTACHED.items())).select("id", "other")
     jobs = g.edges.where("kind = 'CALLS'").join(known.where(_is("SCHEDULED_JOB")).select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"))
-    wired = hits.join(tied.unionByName(jobs), "id").select("question", F.col("other").alias("id"), "score")
-    named = known.where("external").where(_is("METHOD")).select("id")
-    callers = into.where("_by = 'CALLS'").join(named, "id", "left_semi").join(known.where("own and not test").select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
-    few = callers.join(callers.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_CALLERS).select("id"), "id", "left_semi")
-    called = hits.join(few, "id").join(q.select("question", "stems"), "question").where(F.exists("stems", lambda s: F.startswith(F.lower(simple_name("id")), s))).select("question", F.col("other").alias("id"), "score")
-    return wired.unionByName(called).join(known.select("id", "weight"), "id").select("question", "id", (PASSED_ON * F.col("score") * F.col("weight")).alias("score"))
+    return tied.unionByName(jobs)
+
+
+def caller_links(g: G.Graph, facts: DataFrame) -> DataFrame:
+    """id, other: a library's methods with their callers in the project, where these are few."""
+    known = facts.select("id", "kind", "own", "external", "test")
+    into = g.edges.where("kind = 'CALLS'").select(F.col("dst").alias("id"), F.col("src").alias("other"))
+    callers = into.join(known.where("external").where(_is("METHOD")).select("id"), "id", "left_semi").join(known.where("own and not test").select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
+    return callers.join(callers.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_CALLERS).select("id"), "id", "left_semi")
+
+
+def _passed_on(g: G.Graph, facts: DataFrame, q: DataFrame, hits: DataFrame) -> DataFrame:
+    """What hits on wiring pass to the code it is tied to, and hits on a library's method that the question names to its few callers."""
+    wired = hits.join(wired_links(g, facts), "id").select("question", F.col("other").alias("id"), "score")
+    called = hits.join(caller_links(g, facts), "id").join(q.select("question", "stems"), "question").where(F.exists("stems", lambda s: F.startswith(F.lower(simple_name("id")), s))).select("question", F.col("other").alias("id"), "score")
+    return wired.unionByName(called).join(facts.select("id", "weight"), "id").select("question", "id", (PASSED_ON * F.col("score") * F.col("weight")).alias("score"))
 
 
 def _remembered(facts: DataFrame, hits: DataFrame, recalled: DataFrame) -> DataFrame:
@@ -237,17 +264,22 @@ def hits(g: G.Graph, index: DataFrame, facts: DataFrame, questions: DataFrame, r
 
 def matched(facts: DataFrame, scores: DataFrame, top: int = 10) -> DataFrame:
     """question, id, score, place of the best matches, tests at three tenths; a top-k report per question, ties by id."""
-    known = scores.join(facts.select("id", "kind", "test"), "id").where(~_is("FLOW", "COMMUNITY", "PACKAGE", "FILE"))
+    known = scores.join(facts.select("id", "kind", "test"), "id").where(~_is(*UNMATCHED))
     own = known.select("question", "id", F.round(F.col("score") * F.when(F.col("test"), 0.3).otherwise(1.0), 5).alias("score"))
     return _best(own, ["question"], top)
 
 
+def able_members(g: G.Graph, facts: DataFrame) -> DataFrame:
+    """id, lines, calls of the members whose bodies may lead an answer."""
+    kind_of = facts.select(F.col("id").alias("_cls"), F.col("kind").alias("_kind"))
+    able = facts.where("not external and not test").where(_is("METHOD", "CONSTRUCTOR")).join(kind_of, owner("id") == F.col("_cls"), "left").where("lines >= 1 or _kind = 'INTERFACE'").select("id", "lines")
+    return able.join(g.edges.where("kind = 'CALLS'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("calls")), "id", "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
+
+
 def leads(g: G.Graph, facts: DataFrame, layers: DataFrame, scores: DataFrame, top: int = 5) -> DataFrame:
     """question, id, score, place of the members whose bodies lead an answer: own members of two lines at least, weighted by the layer of their class; one of the three best
     classes that a question hits is stood for by its busiest such member. A top-k report per question, ties by id."""
-    kind_of = facts.select(F.col("id").alias("_cls"), F.col("kind").alias("_kind"))
-    able = facts.where("not external and not test").where(_is("METHOD", "CONSTRUCTOR")).join(kind_of, owner("id") == F.col("_cls"), "left").where("lines >= 1 or _kind = 'INTERFACE'").select("id", "lines")
-    able = cut(able.join(g.edges.where("kind = 'CALLS'").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("calls")), "id", "left").withColumn("calls", F.coalesce("calls", F.lit(0))))
+    able = cut(able_members(g, facts))
     classes = _best(scores.join(facts.where(G.is_code()).select("id", "test"), "id").select("question", "id", (F.col("score") * F.when(F.col("test"), 0.3).otherwise(1.0)).alias("score"), F.col("score").alias("own")), ["question"], 3)
     held = g.edges.where("kind = 'CONTAINS'").select(F.col("src").alias("cls"), F.col("dst").alias("id")).join(able, "id")
     members = classes.select("question", F.col("id").alias("cls"), "own").join(held, "cls").join(scores.select("question", "id"), ["question", "id"], "left_anti")
@@ -258,24 +290,38 @@ def leads(g: G.Graph, facts: DataFrame, layers: DataFrame, scores: DataFrame, to
     return _best(weighed, ["question"], top)
 
 
+def flow_steps(flows: DataFrame) -> DataFrame:
+    """entry, id, sure of each step, which is surer the nearer it is to the entry."""
+    return flows.select("entry", F.explode("steps").alias("s")).select("entry", F.col("s.id").alias("id"), (1.0 / (F.col("s.depth") + 1)).alias("sure"))
+
+
+def flow_handles(g: G.Graph, flows: DataFrame) -> DataFrame:
+    """id, entry: routes with the flows that begin at them."""
+    return g.edges.where("kind = 'HANDLES_ROUTE'").select(F.col("dst").alias("id"), F.col("src").alias("entry")).join(flows.select("entry"), "entry", "left_semi")
+
+
+def flow_tokens(g: G.Graph, flows: DataFrame) -> DataFrame:
+    """entry, entry_kind, label, tokens: the words of a flow's label, first steps and annotations."""
+    noted = g.nodes.select(F.col("id").alias("entry"), annotation_terms("attrs").alias("notes"))
+    short = F.transform(F.slice("steps", 1, 6), lambda s: F.substring_index(F.substring_index(s["id"], "(", 1), ".", -1))
+    text = F.concat_ws(" ", "label", F.array_join(short, " "), "notes")
+    pieces = F.array_distinct(F.filter(F.transform(F.split(text, r"[^\p{Alnum}]+|(?<=[a-z0-9])(?=[A-Z])"), F.lower), lambda t: t != ""))
+    return flows.join(noted, "entry", "left").select("entry", "entry_kind", "label", pieces.alias("tokens"))
+
+
 def flow_ranks(g: G.Graph, facts: DataFrame, flows: DataFrame, questions: DataFrame, scores: DataFrame, top: int = 3) -> DataFrame:
     """question, entry, covered, score, place of the flows that tell most about a question: a route that it names first, then by the words that label and steps cover, rare
     ones more, the best step, the kind of entry and the sum of what hits give by their depth. A top-k report per question."""
     q = asked(questions)
-    step = cut(flows.select("entry", F.explode("steps").alias("s")).select("entry", F.col("s.id").alias("id"), (1.0 / (F.col("s.depth") + 1)).alias("sure")))
+    step = cut(flow_steps(flows))
     known = scores.join(facts.select("id", "kind"), "id")
     held = g.edges.where("kind = 'CONTAINS'").select(F.col("src").alias("id"), F.col("dst").alias("member"))
     members = known.where(G.is_code()).join(held, "id").select("question", F.col("member").alias("id"), "score").unionByName(known.where(~_is("FLOW", "COMMUNITY")).select("question", "id", "score"))
     given = members.join(step, "id").select("question", "entry", (F.col("score") * F.col("sure")).alias("part"))
-    handles = g.edges.where("kind = 'HANDLES_ROUTE'").select(F.col("dst").alias("id"), F.col("src").alias("entry")).join(flows.select("entry"), "entry", "left_semi")
-    routed = known.where(_is("HTTP_ROUTE")).join(handles, "id")
+    routed = known.where(_is("HTTP_ROUTE")).join(flow_handles(g, flows), "id")
     summed = cut(given.unionByName(routed.select("question", "entry", (3 * F.col("score")).alias("part"))).groupBy("question", "entry").agg(F.sum("part").alias("score")))
     best = step.join(scores, "id").groupBy("question", "entry").agg(F.max("score").alias("best"))
-    noted = g.nodes.select(F.col("id").alias("entry"), annotation_terms("attrs").alias("notes"))
-    short = F.transform(F.slice("steps", 1, 6), lambda s: F.substring_index(F.substring_index(s["id"], "(", 1), ".", -1))
-    text = F.concat_ws(" ", "label", F.array_join(short, " "), "notes")
-    pieces = F.array_distinct(F.filter(F.transform(F.split(text, r"[^\p{Alnum}]+|(?<=[a-z0-9])(?=[A-Z])"), F.lower), lambda t: t != ""))
-    tokens = cut(flows.join(noted, "entry", "left").select("entry", "entry_kind", "label", pieces.alias("tokens")))
+    tokens = cut(flow_tokens(g, flows))
     each = summed.join(tokens, "entry").join(q.select("question", "words", "stems"), "question")
     says = lambda s: F.exists("tokens", lambda t: F.startswith(t, s) | ((F.length(s) >= 4) & F.startswith(s, t) & (F.length(t) >= 3)))
     at = cut(each.select("question", "entry", "entry_kind", "label", "score", "words", "stems", F.transform("stems", says).alias("has")))

@@ -33,16 +33,10 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.where("id is not null").select("id", F.explode(tokens(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, id, score of all ids that match each query (query, words array): every word must begin some term of an id.
-
-    The number of ids and their mean length come from the whole index, as does the number of ids that each word hits. Words are short
-    and few, so they are matched against the distinct terms by all beginnings of the terms, an equal join."""
+def word_parts(index: DataFrame, words: DataFrame) -> DataFrame:
+    """word, id, part: what each of the distinct words (word) adds to the score of every id that has a term which it begins."""
     lengths = index.groupBy("id").agg(F.sum("tf").alias("len"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    asked = queries.select("query", F.explode(F.array_distinct("words")).alias("word")).where("word <> ''")
-    need = asked.groupBy("query").agg(F.count("*").alias("need"))
-    words = asked.select("word").distinct()
     begins = index.select("term").distinct().select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substring("term", F.lit(1), k))).alias("word"))
     matched = begins.join(words, "word", "left_semi")
     hits = index.join(matched, "term").groupBy("word", "id").agg(F.sum("tf").alias("f"))
@@ -50,7 +44,18 @@ def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
     found = hits.join(spread, "word").join(lengths, "id").crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    summed = asked.join(found.select("word", "id", part.alias("part")), "word").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("have"))
+    return found.select("word", "id", part.alias("part"))
+
+
+def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, id, score of all ids that match each query (query, words array): every word must begin some term of an id.
+
+    The number of ids and their mean length come from the whole index, as does the number of ids that each word hits. Words are short
+    and few, so they are matched against the distinct terms by all beginnings of the terms, an equal join."""
+    asked = queries.select("query", F.explode(F.array_distinct("words")).alias("word")).where("word <> ''")
+    need = asked.groupBy("query").agg(F.count("*").alias("need"))
+    parts = word_parts(index, asked.select("word").distinct())
+    summed = asked.join(parts, "word").groupBy("query", "id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("have"))
     return summed.join(need, "query").where("have = need").select("query", "id", "score")
 
 

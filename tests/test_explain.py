@@ -1,6 +1,7 @@
 """What questions hit, lead and cover, against the rules written out one question at a time."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.common import cut
 from graphloom.functions import names
+from graphloom.operators import answers as A
 from graphloom.operators import derive as D
 from graphloom.operators import explain as E
 from graphloom.operators import graph as G
@@ -262,3 +264,21 @@ def test_stems_in_columns(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert {r["w"]: r["s"] for r in df.select("w", names.stem("w").alias("s")).collect()} == {w: _stem(w) for w in words}
     assert _stem("adding") == "add" and _stem("planned") == "plan" and df.select(F.lit(1)).count() == len(words)
+
+
+def _same(a, b, columns, score="score"):
+    """Equal rows by their key, scores but for how sums are rounded."""
+    told = lambda df: {tuple(r[c] for c in columns): r[score] for r in df.collect()}
+    x, y = told(a), told(b)
+    assert x.keys() == y.keys() and all(abs(x[k] - y[k]) < 1e-4 * max(1, y[k]) for k in y)
+    return len(x)
+
+
+def test_leads_in_tasks_as_by_joins(spark, made):
+    g, projection, facts, asked, scores, _ = made
+    tasks = A.Asked(g, cut(S.postings(g.nodes)), facts, asked)
+    assert tasks.small()
+    layers = cut(D.layers(g, projection))
+    found = tasks.leads(tasks.held(), layers)
+    assert "MapInPandas" in found._jdf.queryExecution().toString(), "leads were joined with all hits"
+    assert _same(found, E.leads(g, facts, layers, scores), ("question", "place")) > 40
