@@ -343,6 +343,17 @@ class Asked:
     def hits(self, held: Held) -> DataFrame:
         return self.named(self.run(held, lambda h, words, stems, ids, score: (ids, score), "nr long, score double")).select("question", "id", "score")
 
+    def matched(self, held: Held, top: int = 10) -> DataFrame:
+        held.shown = ~np.isin(held.kind, [held.code(k) for k in (*E.UNMATCHED, NO_KIND)])
+
+        def pick(h: Held, words: list[str], stems: list[str], ids: np.ndarray, score: np.ndarray) -> tuple:
+            shown = h.shown[ids]
+            ids, score = ids[shown], score[shown]
+            got = h.first(ids, rounded(score * np.where(h.test[ids], 0.3, 1.0), 5), top)
+            return *got, np.arange(1, len(got[0]) + 1)
+
+        return self.named(self.run(held, pick, "nr long, score double, place int")).select("question", "id", "score", "place")
+
     def leads(self, held: Held, layers: DataFrame, top: int = 5) -> DataFrame:
         able = E.able_members(self.g, self.facts).join(layers.select(F.col("id").alias("_cls"), "layer"), owner("id") == F.col("_cls"), "left")
         able = cut(able.select("id", "calls", "lines", F.coalesce(F.try_element_at(E._map(E.LAYER_WEIGHTS), F.col("layer")), F.lit(1.0)).alias("share")))

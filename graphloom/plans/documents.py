@@ -137,7 +137,7 @@ def _explained(spark: SparkSession, d: str) -> tuple[G.Graph, DataFrame, DataFra
 def explain_hits(spark: SparkSession, d: str) -> DataFrame:
     """The ten best matches of each logged question."""
     _, facts, _, asked, scores = _explained(spark, d)
-    return E.matched(facts, scores())
+    return asked.matched(asked.held()) if asked.small() else E.matched(facts, scores())
 
 
 def explain_leads(spark: SparkSession, d: str) -> DataFrame:

@@ -274,6 +274,20 @@ def _same(a, b, columns, score="score"):
     return len(x)
 
 
+def test_answers_in_tasks_as_by_joins(spark, made):
+    g, projection, facts, asked, scores, _ = made
+    index, some = cut(S.postings(g.nodes)), facts.where("kind = 'METHOD'").orderBy("id").limit(3).select("id").toPandas()["id"].tolist()
+    more = asked.union(spark.createDataFrame([("anvilzz tray",), ("ridg ridg zone ridg",), ("\u00fc\u00fc\u00fc",)], "question string"))
+    recalled = spark.createDataFrame([(q, i, k) for q in ("resolve the snapshot", "\u00fc\u00fc\u00fc", "anvilzz") for k, i in enumerate(["gone", *some], 1)], "question string, arg string, place int")
+    joined = cut(E.hits(g, index, facts, more, recalled))
+    tasks = A.Asked(g, index, facts, more, recalled)
+    assert tasks.small()
+    found = tasks.hits(tasks.held())
+    assert "MapInPandas" in found._jdf.queryExecution().toString(), "texts were joined with all hits of their words"
+    assert _same(found, joined, ("question", "id")) > 300
+    assert _same(tasks.matched(tasks.held()), E.matched(facts, joined), ("question", "place")) > 100
+
+
 def test_leads_in_tasks_as_by_joins(spark, made):
     g, projection, facts, asked, scores, _ = made
     tasks = A.Asked(g, cut(S.postings(g.nodes)), facts, asked)
