@@ -18,6 +18,7 @@ from graphloom.functions.names import owner, simple_name
 from graphloom.operators import explain as E
 from graphloom.operators import graph as G
 from graphloom.operators import search as S
+from graphloom.operators.flows import ENTRY_KINDS
 
 #: Rows of words and what they hit, and of nodes and edges, up to which each task holds all of them; beyond that explain's joins do the same.
 HELD_PER_TASK = 8_000_000
@@ -386,3 +387,65 @@ class Asked:
             return *got, np.arange(1, len(got[0]) + 1)
 
         return self.named(self.run(held, pick, "nr long, score double, place int")).select("question", "id", "score", "place")
+
+    def flow_ranks(self, held: Held, flows: DataFrame, top: int = 3) -> DataFrame:
+        n = len(self.nrs)
+        told = cut(E.flow_tokens(self.g, flows)).toArrow().sort_by("entry")
+        entries = told["entry"].to_pylist()
+        at = {e: k for k, e in enumerate(entries)}
+        flow = lambda c: np.array([at[e] for e in c.to_pylist()], np.int64)
+        steps = self.numbers(E.flow_steps(flows), "id").toArrow()
+        held.steps = Lists(self.places(steps["id"])[0], n, flow(steps["entry"]), steps["sure"].to_numpy())
+        handles = self.numbers(E.flow_handles(self.g, flows), "id").toArrow()
+        held.handles = Lists(self.places(handles["id"])[0], n, flow(handles["entry"]))
+        members = self.numbers(self.g.edges.where("kind = 'CONTAINS'").select("src", "dst"), "src", "dst").toArrow()
+        src, dst = self.places(members["src"], members["dst"])
+        held.members = Lists(src, n, dst)
+        held.types, held.route = np.isin(held.kind, [held.code(k) for k in G.CODE]), held.kind == held.code("HTTP_ROUTE")
+        held.gives = ~np.isin(held.kind, [held.code(k) for k in ("FLOW", "COMMUNITY", NO_KIND)])
+        held.tokens, held.labels = told["tokens"].to_pylist(), [x or "" for x in told["label"].to_pylist()]
+        held.order = np.array([ENTRY_KINDS.index(k) + 1 if k in ENTRY_KINDS else 0 for k in told["entry_kind"].to_pylist()])
+        verbs = self.nodes.where("kind = 'HTTP_ROUTE'").select("nr", F.lower(F.regexp_extract("id", r"^route:(\w+) ", 1)).alias("verb")).toArrow()
+        held.route_verbs = dict(zip(self.places(verbs["nr"])[0].tolist(), verbs["verb"].to_pylist()))
+
+        def says(h: Held, s: str) -> np.ndarray:
+            tells = lambda t: t.startswith(s) or (len(s) >= 4 and len(t) >= 3 and s.startswith(t))
+            return h.kept(("says", s), lambda: np.array([any(map(tells, x)) for x in h.tokens], bool))
+
+        def verb(h: Held, s: str) -> np.ndarray:
+            return h.kept(("verb", s), lambda: np.array([x.startswith(E.HTTP_VERBS.get(s, "\0")) for x in h.labels], bool))
+
+        def pick(h: Held, words: list[str], stems: list[str], ids: np.ndarray, score: np.ndarray) -> tuple:
+            if not len(ids):
+                return (ids,) * 4
+            size = len(h.labels)
+            types = h.types[ids]
+            by, member = h.members.of(ids[types])
+            given, sc = np.concatenate([member, ids[h.gives[ids]]]), np.concatenate([score[types][by], score[h.gives[ids]]])
+            by, to, sure = h.steps.of(given)
+            routes = h.route[ids]
+            to_route, entry = h.handles.of(ids[routes])
+            where = np.concatenate([to, entry])
+            parts = np.bincount(where, weights=np.concatenate([sc[by] * sure, 3 * score[routes][to_route]]), minlength=size)
+            own = np.flatnonzero(np.bincount(where, minlength=size))
+            by, to, _ = h.steps.of(ids)
+            best = np.zeros(size)
+            np.maximum.at(best, to, score[by])
+            cover = np.zeros(len(own), np.int64)
+            for s in stems:
+                has = says(h, s)[own]
+                met = int(has.sum())
+                cover += has * (0 if met > max(2, len(own) // 2) else 3 if met <= 2 else 1)
+            if stems:
+                cover += np.logical_or.reduce([verb(h, s)[own] for s in stems])
+            pin = np.zeros(len(own), bool)
+            if not set(E.ROUTE_WORDS).isdisjoint(words):
+                near = [(h.route_verbs.get(i) not in words, -s, i, e) for i, s, e in zip(ids[routes][to_route].tolist(), score[routes][to_route].tolist(), entry.tolist()) if s >= score.max() / 2]
+                pin = own == min(near)[3] if near else pin
+            total, peak = rounded(parts[own], 5), rounded(best[own], 5)
+            order = np.lexsort((own, -total, h.order[own], -peak, -cover, ~pin))[:top]
+            return own[order], cover[order], total[order], np.arange(1, len(order) + 1)
+
+        asked = self.run(held, pick, "flow int, covered int, score double, place int")
+        named = self.spark.createDataFrame(pd.DataFrame({"flow": np.arange(len(entries)), "entry": np.array(entries, object)}), "flow int, entry string")
+        return asked.join(named, "flow").select("question", "entry", "covered", "score", "place")

@@ -296,3 +296,18 @@ def test_leads_in_tasks_as_by_joins(spark, made):
     found = tasks.leads(tasks.held(), layers)
     assert "MapInPandas" in found._jdf.queryExecution().toString(), "leads were joined with all hits"
     assert _same(found, E.leads(g, facts, layers, scores), ("question", "place")) > 40
+
+
+def test_flows_in_tasks_as_by_joins(spark, made):
+    g, _, facts, asked, scores, _ = made
+    tasks = A.Asked(g, cut(S.postings(g.nodes)), facts, asked)
+    assert tasks.small()
+    ids = sorted({r["id"] for r in scores.join(facts.where("kind in ('METHOD', 'CLASS')"), "id").select("id").collect()})
+    handlers = sorted({r["src"] for r in g.edges.where("kind = 'HANDLES_ROUTE'").select("src").collect()})
+    rnd = random.Random(4)
+    made_flows = [(e, rnd.choice(("route", "job", "main")), f"{rnd.choice(('GET', 'POST', 'DELETE'))} /{rnd.choice(('archives', 'vessels/quota', 'filters', 'quarrys'))}", [(i, k, "EXACT") for k, i in enumerate(rnd.sample(ids, 6))]) for e in sorted({*handlers, *ids[:8]})]
+    flows = cut(spark.createDataFrame(made_flows, "entry string, entry_kind string, label string, steps array<struct<id:string,depth:int,via:string>>"))
+    found, joined = tasks.flow_ranks(tasks.held(), flows), cut(E.flow_ranks(g, facts, flows, asked, scores))
+    assert "MapInPandas" in found._jdf.queryExecution().toString(), "flows were joined with all hits"
+    found = cut(found)
+    assert _same(found, joined, ("question", "place", "entry")) > 10 and _same(found, joined, ("question", "place", "entry"), "covered") > 10
