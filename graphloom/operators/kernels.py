@@ -17,8 +17,10 @@ LINKS_PER_TASK = 8_000_000
 
 #: Sources that betweenness searches from side by side; their states are what one round holds.
 SOURCES_PER_BLOCK = 2_000
-#: Links that betweenness follows at once in a task, so that they stay in its caches.
-LINKS_AT_ONCE = 1_000_000
+#: Links of all sources that betweenness holds at once in a task, about 20 bytes for each, and sources that go side by side at most.
+LINKS_AT_ONCE, SIDE_BY_SIDE = 32_000_000, 64
+#: Values that betweenness adds up at once, so that they stay in a task's caches; so many times fewer links must be followed one by one, or rows of all links are added up.
+VALUES_AT_ONCE, ROWS_FROM = 1 << 16, 16
 #: Resolutions of the levels of communities, finest first.
 RESOLUTIONS = (1.0, 0.4, 0.15)
 #: Packages of so many classes, least and most, draw their classes together.
@@ -53,39 +55,102 @@ def betweenness(projection: DataFrame, ids: DataFrame, sample: int | None = None
     return ids.select("id").join(sums, "id", "left").select("id", F.coalesce("_b", F.lit(0.0)).alias("betweenness"))
 
 
+def _added(keys: np.ndarray, weights: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each key that has a weight once, in order, with the sum of its weights; keys lie below size."""
+    if len(keys) * 32 < size:
+        known, at = np.unique(keys, return_inverse=True)
+        return known, np.bincount(at, weights=weights, minlength=len(known))
+    summed = np.bincount(keys, weights=weights, minlength=size)
+    known = np.flatnonzero(summed)
+    return known, summed[known]
+
+
+def _runs(degree: np.ndarray) -> list[tuple[int, int, int]]:
+    """Begin, end and degree of each run of nodes of one degree, without those of degree 0."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(degree)) + 1, [len(degree)]]).tolist()
+    return [(a, b, int(degree[a])) for a, b in zip(edges, edges[1:]) if a < b and degree[a]]
+
+
+def _sums(values: np.ndarray, start: np.ndarray, to: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """For each node (row) the sum of the rows of its neighbours, a cache's share of them at once. runs: as _runs gives them."""
+    out, wide = np.zeros_like(values), values.shape[1]
+    for begin, end, degree in runs:
+        rows = VALUES_AT_ONCE // (degree * wide)
+        if rows:
+            for a in range(begin, end, rows):
+                b = min(end, a + rows)
+                values.take(to[start[a] : start[b]], axis=0).reshape(b - a, degree, wide).sum(axis=1, out=out[a:b])
+        else:
+            step = max(1, VALUES_AT_ONCE // wide)
+            for a in range(begin, end):
+                for at in range(start[a], start[a + 1], step):
+                    out[a] += values.take(to[at : min(at + step, start[a + 1])], axis=0).sum(axis=0)
+    return out
+
+
 def shares(start: np.ndarray, to: np.ndarray, sources: np.ndarray) -> np.ndarray:
     """For each node the sum of its shares of the shortest ways from sources to all others. start, to: neighbours of node k are to[start[k]:start[k + 1]].
 
-    Some sources go side by side, so that one level of them has about LINKS_AT_ONCE links at most; a link is looked at twice from each source, as in the plain search."""
-    n, total = len(start) - 1, np.zeros(len(start) - 1)
-    wide, degree = max(1, LINKS_AT_ONCE // max(1, len(to))), np.diff(start)
-    for begin in range(0, len(sources), wide):
-        own = sources[begin : begin + wide]
-        size = len(own) * n
-        level, ways, back = np.full(size, -1, np.int16 if n < 1 << 15 else np.int32), np.zeros(size), []
-        front = np.arange(len(own)) * n + own
-        level[front], ways[front], depth = 0, 1.0, 0
+    Up to SIDE_BY_SIDE sources with about as many links go level by level together, with a row for each node and a column for each source. A level is found in the cheapest of three ways: along the
+    links of the level before, from what isn't reached yet, or by adding up the rows of all neighbours, which costs a fraction for each link but takes all links."""
+    n, degree = len(start) - 1, np.diff(start)
+    # nodes of one degree stand together, those with most links first, so that their neighbours' rows are tables
+    order = np.argsort(-degree, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    links = np.repeat(start[:-1][order], degree[order])
+    degree = degree[order]
+    start = np.concatenate([[0], np.cumsum(degree)])
+    to = place[to[links + np.arange(len(to)) - np.repeat(start[:-1], degree)]]
+    runs, sources, total = _runs(degree), np.sort(place[sources]), np.zeros(n)
+    most = min(SIDE_BY_SIDE, max(1, LINKS_AT_ONCE // max(1, len(to))))
+    for begin in range(0, len(sources), most):
+        own = sources[begin : begin + most]
+        wide, size = len(own), n * len(own)
+        level, ways = np.full(size, -1, np.int16 if n < 1 << 15 else np.int32), np.zeros(size)
+        front = own * wide + np.arange(wide)
+        level[front], ways[front], fronts, back = 0, 1.0, [front], []
+        left = len(to) * wide
         while len(front):
-            node = front % n
-            count = degree[node]
-            by = np.repeat(np.arange(len(front)), count)
-            first = np.cumsum(count) - count
-            met = (front - node)[by] + to[np.arange(len(by)) + (start[node] - first)[by]]
-            new = level[met] < 0
-            by, met = by[new], met[new]
-            came = front[by]
-            back.append((came, met))
-            summed = np.bincount(met, weights=ways[came], minlength=size)
-            front = np.flatnonzero(summed)
-            depth += 1
-            level[front], ways[front] = depth, summed[front]
+            depth = len(back)
+            ahead = int(degree[front // wide].sum())
+            left -= ahead
+            if min(ahead, left) * ROWS_FROM > len(to) * wide:
+                values = np.zeros(size)
+                values[front] = ways[front]
+                summed = _sums(values.reshape(n, wide), start, to, runs).reshape(size)
+                front = np.flatnonzero((summed > 0) & (level < 0))
+                summed = summed[front]
+                back.append(None)
+            else:
+                pairs = front if ahead <= left else np.flatnonzero(level < 0)
+                node, column = np.divmod(pairs, wide)
+                count = degree[node]
+                first = np.cumsum(count) - count
+                met = to[np.repeat(start[node] - first, count) + np.arange(count.sum())] * wide + np.repeat(column, count)
+                new = level[met] < 0 if ahead <= left else level[met] == depth
+                came, met = np.repeat(pairs, count)[new], met[new]
+                if ahead > left:
+                    came, met = met, came
+                front, summed = _added(met, ways[came], size)
+                back.append((came.astype(np.int32), met.astype(np.int32)) if size < 1 << 31 else (came, met))
+            level[front], ways[front] = depth + 1, summed
+            fronts.append(front)
         delta = np.zeros(size)
-        for came, met in reversed(back):
-            part = np.bincount(came, weights=(1.0 + delta[met]) / ways[met], minlength=size)
-            delta += part * ways
-        delta[np.arange(len(own)) * n + own] = 0.0
-        total += delta.reshape(len(own), n).sum(axis=0)
-    return total
+        while back:
+            found, links = fronts.pop(), back.pop()
+            if links is None:
+                values = np.zeros(size)
+                values[found] = (1.0 + delta[found]) / ways[found]
+                above = fronts[-1]
+                part = _sums(values.reshape(n, wide), start, to, runs).reshape(size)[above]
+            else:
+                came, met = links
+                above, part = _added(came, (1.0 + delta[met]) / ways[met], size)
+            delta[above] += part * ways[above]
+        delta[own * wide + np.arange(wide)] = 0.0
+        total += delta.reshape(n, wide).sum(axis=1)
+    return total[place]
 
 
 def _shared(links: DataFrame, sources: DataFrame) -> DataFrame:

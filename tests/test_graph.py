@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +351,56 @@ def test_god_scores_without_rounds(spark, monkeypatch):
     assert not written and 1 <= max(found.values()) <= 2
 
 
+def brandes(start, to, sources):
+    """The shares of the shortest ways from sources, one by one."""
+    total = [0.0] * (len(start) - 1)
+    for s in sources:
+        level, ways, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in to[start[v] : start[v + 1]]:
+                if w not in level:
+                    level[w], ways[w] = level[v] + 1, 0
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    ways[w] += ways[v]
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in to[start[w] : start[w + 1]]:
+                if level[v] == level[w] - 1:
+                    delta[v] += ways[v] / ways[w] * (1 + delta[w])
+            if w != s:
+                total[w] += delta[w]
+    return total
+
+
+def arrays(n, links):
+    src, dst = np.array(sorted({x for a, b in links if a != b for x in ((a, b), (b, a))})).T
+    return np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), dst
+
+
+def test_shares_by_rows_as_by_links(monkeypatch):
+    rnd, n = random.Random(8), 90
+    links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(200)] + [(k, k + 1) for k in range(58, 75)] + [(80, k) for k in range(81, 88)]
+    start, to = arrays(n, links)
+    sources = np.array([k for k in range(n) if rnd.random() < 0.8])
+    wanted = brandes(start.tolist(), to.tolist(), sources.tolist())
+    for rows_from, side, values in ((0, 7, 1 << 16), (16, 64, 1 << 16), (1e9, 64, 1 << 16), (1e9, 5, 40), (1e9, 64, 1), (3, 1, 100)):
+        monkeypatch.setattr(K, "ROWS_FROM", rows_from)
+        monkeypatch.setattr(K, "SIDE_BY_SIDE", side)
+        monkeypatch.setattr(K, "VALUES_AT_ONCE", values)
+        assert np.abs(K.shares(start, to, sources) - wanted).max() < 1e-9, (rows_from, side, values)
+
+
+def test_shares_follow_few_links_one_by_one(monkeypatch):
+    rnd, n = random.Random(8), 1000
+    start, to = arrays(n, [(rnd.randrange(n), rnd.randrange(n)) for _ in range(8 * n)])
+    counted, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: counted.append(len(x)) or plain(x, *a, **k))
+    K.shares(start, to, np.arange(n))
+    # followed one by one, each node is met at least twice from each source
+    assert sum(counted) < 1.5 * n * n
+
+
 def test_recall_in_tasks_as_in_a_join(spark, monkeypatch):
     rnd, log = random.Random(9), []
     for k in range(120):
