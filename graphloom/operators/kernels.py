@@ -267,8 +267,69 @@ def _grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[starts], np.add.reduceat(weights[order], starts)
 
 
+def _places(start: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the links of nodes, which for node k are start[k] to start[k + 1], and how many each has."""
+    count = start[nodes + 1] - start[nodes]
+    return np.repeat(start[nodes] - (np.cumsum(count) - count), count) + np.arange(count.sum()), count
+
+
+def _places(start: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of what each of nodes has, for node k from start[k] to start[k + 1], and how many these are."""
+    count = start[nodes + 1] - start[nodes]
+    return np.repeat(start[nodes] - (np.cumsum(count) - count), count) + np.arange(count.sum()), count
+
+
+def _moved_alone(own: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, k: np.ndarray, linked: np.ndarray, resolution: float, double: float) -> None:
+    """The moves of _moved once a node moves only if no better move touches the two communities; own is changed. src is in order and no link is a loop.
+
+    There may be thousands of such rounds, so each node's communities and gains are kept: only those beside a node that moved are gathered again, and only gains in communities that changed are reckoned again."""
+    n = len(own)
+    start = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
+    # an entry for each link and one for the node's own community; those that aren't needed have no community
+    slot = start + np.arange(n + 1)
+    holder, at = np.repeat(np.arange(n), np.diff(slot)), np.full(slot[-1], n)
+    w, gain, home = np.zeros(slot[-1]), np.full(slot[-1], -np.inf), slot[:-1].copy()
+    again, changed = np.flatnonzero(linked), np.zeros(n + 1, bool)
+    while True:
+        mass = np.bincount(own, weights=k, minlength=n)
+        places, count = _places(start, again)
+        keys, sums = _grouped(np.concatenate([np.repeat(again, count) * n + own[dst[places]], again * n + own[again]]), np.concatenate([weight[places], np.zeros(len(again))]))
+        node, community = keys // n, keys % n
+        mine, _ = _places(slot, again)
+        at[mine], gain[mine] = n, -np.inf
+        put = slot[node] + np.arange(len(node)) - np.searchsorted(node, node)
+        at[put], w[put] = community, sums
+        stay = own[node] == community
+        home[node[stay]] = put[stay]
+        renewed = changed[at]
+        renewed[put] = True
+        renewed = np.flatnonzero(renewed)
+        by, of = holder[renewed], at[renewed]
+        gain[renewed] = np.round(w[renewed] - resolution * k[by] * (mass[of] - np.where(own[by] == of, k[by], 0.0)) / double, 9)
+        top, stays = np.maximum.reduceat(gain, slot[:-1]), gain[home]
+        movers = np.flatnonzero(top > stays)
+        if not len(movers):
+            return
+        places, count = _places(slot, movers)
+        # entries are in order, so the first of a node's best ones has the smallest name
+        best = places[gain[places] == np.repeat(top[movers], count)]
+        best = best[np.concatenate([[True], holder[best][1:] != holder[best][:-1]])]
+        to, more = at[best], top[movers] - stays[movers]
+        touched, by = np.concatenate([own[movers], to]), np.concatenate([np.arange(len(movers))] * 2)
+        order = np.lexsort((movers[by], more[by], touched))
+        last = np.concatenate([touched[order][1:] != touched[order][:-1], [True]])
+        first = np.bincount(by[order][last], minlength=len(movers)) == 2
+        movers, to = movers[first], to[first]
+        changed[:] = False
+        changed[own[movers]] = changed[to] = True
+        own[movers] = to
+        beside = np.zeros(n, bool)
+        beside[movers] = beside[dst[_places(start, movers)[0]]] = True
+        again = np.flatnonzero(beside)
+
+
 def moved_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: np.ndarray, resolution: float) -> np.ndarray:
-    """The moves of _moved in arrays. src, dst: places of nodes in the order of their names, hashes of all of them. For each node the place of its community's first; its own without links."""
+    """The moves of _moved in arrays. src, dst: places of nodes in the order of their names, src in order, hashes of all of them. For each node the place of its community's first; its own without links."""
     n = len(hashes)
     k = np.bincount(src, weights=weight, minlength=n)
     double = float(k.sum()) or 1.0
@@ -276,10 +337,10 @@ def moved_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: n
     off = src != dst
     src, dst, weight = src[off], dst[off], weight[off]
     own = np.arange(n)
-    turn, moves, least, worse, alone = 0, 0, None, 0, False
-    while True:
+    turn, moves, least, worse = 0, 0, None, 0
+    while worse < 2:
         mass = np.bincount(own, weights=k, minlength=n)
-        turned = linked if alone else linked & ((_parity(hashes, turn // 2) + turn) % 2 == 0)
+        turned = linked & ((_parity(hashes, turn // 2) + turn) % 2 == 0)
         at = turned[src]
         nodes = np.flatnonzero(turned)
         keys, w = _grouped(np.concatenate([src[at] * n + own[dst[at]], nodes * n + own[nodes]]), np.concatenate([weight[at], np.zeros(len(nodes))]))
@@ -295,22 +356,16 @@ def moved_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: n
         best = np.flatnonzero((gain == top[group]) & (top > stays)[group]) if len(node) else starts
         if len(best):
             best = best[np.concatenate([[True], node[best][1:] != node[best][:-1]])]
-        movers, to, more = node[best], community[best], gain[best] - stays[group[best]]
-        moves += len(movers)
-        if alone and moves:
-            touched, by = np.concatenate([own[movers], to]), np.concatenate([np.arange(len(movers))] * 2)
-            order = np.lexsort((movers[by], more[by], touched))
-            last = np.concatenate([touched[order][1:] != touched[order][:-1], [True]])
-            first = np.bincount(by[order][last], minlength=len(movers)) == 2
-            movers, to = movers[first], to[first]
-        own[movers] = to
+        moves += len(best)
+        own[node[best]] = community[best]
         turn += 1
-        if alone or turn % 2 == 0:
+        if turn % 2 == 0:
             if not moves:
                 break
             worse = worse + 1 if least is not None and moves >= least else 0
-            least = moves if least is None else min(least, moves)
-            alone, moves = alone or worse > 1, 0
+            least, moves = moves if least is None else min(least, moves), 0
+    else:
+        _moved_alone(own, src, dst, weight, k, linked, resolution, double)
     names = np.full(n, n)
     np.minimum.at(names, own, np.arange(n))
     return names[own]

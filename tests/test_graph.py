@@ -319,6 +319,22 @@ def test_communities_in_one_task_as_in_rounds(spark, monkeypatch):
     assert found == pairs(K.communities(df, ids), "id", "level", "community") and len(written) > 20
 
 
+def test_single_moves_gather_what_moved_only(monkeypatch):
+    rnd, n, single = random.Random(0), 300, []
+    links = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(1500)} | {(0, k) for k in range(1, n, 2)}
+    links = sorted({x for a, b in links for x in ((a, b), (b, a))})
+    src, dst = np.array(links).T
+    weight = np.array([1.0 + (a + b) % 3 for a, b in links])
+    hashes, grouped = np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64), K._grouped
+    monkeypatch.setattr(K, "_grouped", lambda keys, w: single.append(len(keys)) or grouped(keys, w))
+    found = K.moved_arrays(src, dst, weight, hashes, 0.4)
+    # while halves of the nodes move at once, half of all links are gathered; each of the many single moves gathers few
+    assert len(single) > 100 and sorted(single)[len(single) // 2] < len(src) / 4, single
+    k, inside = np.bincount(src, weights=weight, minlength=n), found[src] == found[dst]
+    mass = np.bincount(found, weights=k, minlength=n)
+    assert weight[inside].sum() / k.sum() - 0.4 * (mass**2).sum() / k.sum() ** 2 > 0.5 and (found <= np.arange(n)).all()
+
+
 def test_labels_of_communities_in_one_task(spark, monkeypatch):
     links, written = [("a.A", "a.B", 1.0), ("a.B", "a.C", 1.0), ("b.A", "b.B", 1.0), ("b.B", "b.C", 1.0), ("a.A", "b.A", 0.1)], []
     ids = spark.createDataFrame([(f"{p}.{c}",) for p in "ab" for c in "ABC"], "id string")
