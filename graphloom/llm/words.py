@@ -14,7 +14,7 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>")
 _WRAPPED = regex.compile(r"(?<=\p{L})-[ \t]*\r?\n[\s>*#/|]*(?=\p{L})")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([nrt])|\\([\"'\\/])")
 #: Characters without a width that typesetting puts inside words.
-_UNSEEN = dict.fromkeys(map(ord, "­​‌‍‎‏⁠﻿"))
+_UNSEEN = tuple("­​‌‍‎‏⁠﻿")
 
 
 def _unescape(m: re.Match) -> str:
@@ -30,7 +30,10 @@ def plain(text: str) -> str:
     if "<" in text:
         text = _TAG.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_UNSEEN))
+        for unseen in _UNSEEN:
+            if unseen in text:
+                text = text.replace(unseen, "")
+        text = unicodedata.normalize("NFKC", text)
     if "-" in text:
         text = _WRAPPED.sub("", text)
     return text.lower()

@@ -114,6 +114,70 @@ def test_alignment_against_the_plain_recurrence():
     assert (found == expected).mean() >= 0.9  # of alignments with equal scores either may be kept
 
 
+def test_alignment_scores_whatever_is_held_together(monkeypatch):
+    rng = np.random.default_rng(11)
+    for together in (1, 40, leaks.TOGETHER):
+        monkeypatch.setattr(leaks, "TOGETHER", together)
+        for _ in range(20):
+            items, docs = rng.integers(1, 9, (6, 12)), rng.integers(1, 9, (6, 30))
+            items[np.arange(12) >= rng.integers(1, 13, 6)[:, None]] = 0
+            weight = np.concatenate([[0], rng.integers(leaks.COMMONEST, leaks.RAREST + 1, 8)])
+            found = leaks._align_once(items, weight[items], docs)
+            for k in range(6):
+                assert found[k, 0] == _slow(items[k][items[k] > 0].tolist(), docs[k].tolist(), weight)[0]
+
+
+def test_a_passage_is_sought_no_further(monkeypatch):
+    rng, asked = np.random.default_rng(12), []
+    align = leaks._align_once
+    monkeypatch.setattr(leaks, "_align_once", lambda *a: asked.append(len(a[0])) or align(*a))
+    item, weight = np.arange(2, 62), np.full(60, leaks.RAREST)
+    other = lambda n: rng.integers(10**6, 10**7, n)
+    for text, enough, rounds in (([other(50), item[:30], other(50)], 20, 1), ([other(50), item[:15], other(200), item[40:55]], 20, 2), ([other(50), item[:8], other(50)], 20, 1)):
+        asked.clear()
+        whole = leaks.covered(leaks.pairs_of(np.concatenate(text), item, weight))[0]
+        assert (leaks.covered(leaks.pairs_of(np.concatenate(text), item, weight), enough=[enough])[0] >= enough) == (whole >= enough)
+        assert len(asked) == 2 + rounds
+    for n in range(1, 200):
+        for single, share in ((True, leaks.COVERED_SENTENCE), (False, leaks.COVERED)):
+            assert leaks.needed(n, single) == next(e for e in range(n + 1) if e / n >= share)
+
+
+def test_texts_cut_together_have_the_words_of_each(monkeypatch):
+    rnd, known = random.Random(13), {}
+    odd = "ab1 2\n〇〡x漢かカー゙é́१²½ßⅧ\ud83d🚀\U00020000"
+    texts = ["".join(rnd.choice(odd) for _ in range(rnd.randrange(30))) for _ in range(600)] + ["x" * n + " " + "é" * n for n in range(140)] + ["x" * 90, "x" * 90 + "y", None, "", "\n", "Rea\u00adder \\u00e9t\\u00e9 K"]
+    for together in (1, 50, leaks.CUT_TOGETHER):
+        monkeypatch.setattr(leaks, "CUT_TOGETHER", together)
+        for text, codes in zip(texts, leaks.codes_of(texts)):
+            own = words(text)
+            assert len(own) == len(codes) and all(known.setdefault(w, c) == c for w, c in zip(own, codes.tolist()))
+    assert len(set(known.values())) == len(known) and not {0, -1} & set(known.values()) and leaks.codes_of([]) == []
+
+
+def test_cutting_texts_costs_less_than_words_one_by_one():
+    texts = [r for r in (PROSE * 40, PROSE.upper() * 40) for _ in range(60)]
+    began = time.process_time()
+    for t in texts:
+        words(t)
+    middle = time.process_time()
+    leaks.codes_of(texts)
+    assert time.process_time() - middle < (middle - began) / 1.5
+
+
+def test_seeds_and_words_of_texts_counted_together():
+    rng, every = np.random.default_rng(14), np.full(leaks.BITMAP_WORDS, -1)
+    texts = [rng.integers(1, 6, n) * 2**60 for n in (0, 1, 2, 3, 40, 0, 25)]
+    codes, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    own, keys = leaks._distinct_seeds(codes, doc, every)
+    for k, t in enumerate(texts):
+        assert keys[own == k].tolist() == np.unique(leaks.triples(t)).tolist()
+    w, n = leaks._summed([leaks._docs_of(codes, doc, every)] * 2)
+    assert dict(zip(w.tolist(), n.tolist())) == {c: 2 * sum(c in t for t in texts) for c in np.unique(codes).tolist()}
+    nothing = leaks._docs_of(codes[:0], doc[:0], every)
+    assert [len(x) for x in (*nothing, *leaks._summed([]), *leaks._summed([nothing]), *leaks._distinct_seeds(codes[:0], doc[:0], every))] == [0] * 8
+
+
 def test_distinct_inside():
     rng = np.random.default_rng(4)
     for n in (0, 1, 5, 40):
