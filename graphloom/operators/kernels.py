@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import cut, cut_measured, numbered, ship
@@ -23,8 +23,10 @@ LINKS_AT_ONCE, SIDE_BY_SIDE = 32_000_000, 64
 VALUES_AT_ONCE, ROWS_FROM = 1 << 16, 16
 #: Resolutions of the levels of communities, finest first.
 RESOLUTIONS = (1.0, 0.4, 0.15)
-#: Packages of so many classes, least and most, draw their classes together.
-PACKAGES = (2, 200)
+#: Classes of a package up to which each pair of them is written as a link; larger packages draw their classes together by counts, to the same effect.
+PAIRED = 200
+#: Nodes and communities that packages without links are weighed for at once.
+DRAWN_AT_ONCE = 4_000_000
 
 
 def undirected(projection: DataFrame) -> DataFrame:
@@ -207,23 +209,45 @@ def _searched(links: DataFrame, sources: DataFrame) -> DataFrame:
     return cut(total.groupBy("id").agg(F.sum("delta").alias("delta")))
 
 
-def _moved(links: DataFrame, resolution: float) -> DataFrame:
+def _beyond(members: DataFrame, held: DataFrame) -> DataFrame:
+    """id, community: where packages without links may best draw each of members (see Drawn.beyond)."""
+    alike = Window.partitionBy("package", "held").orderBy(F.round("mass", 9), "community")
+    few = held.withColumn("_place", F.row_number().over(alike)).where("_place <= 2")
+    to = lambda some, there: some.select("id", "package").join(there.select("package", "community"), "package").select("id", "community")
+    return to(members.where("not several"), few).unionByName(to(members.where("several"), held))
+
+
+def _moved(links: DataFrame, resolution: float, members: DataFrame | None = None) -> DataFrame:
     """id, community: nodes of weighted links (both directions, loops allowed) gathered by moves that raise modularity; named by a node's id.
 
-    In each round half of the nodes, by hash, may go to the neighbouring community with the greatest gain, the smaller name of equals; two successive
+    members: package, size, id, n: how many classes of the packages that have no links each node holds. In each round half of the nodes, by hash, may go to the neighbouring community with the greatest gain, the smaller name of equals; two successive
     rounds have both halves, and each two part the nodes anew. It ends when two such rounds change nothing. Moves of one round don't see each other, so they may
     go round in rings; if the number of moves twice wasn't the least yet, a node moves only if no better move touches the two communities, which raises modularity by
     each move, so that ends as well."""
-    degrees = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")))
+    degrees = links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    if members is not None:
+        members = cut(members.join(members.groupBy("id").agg((F.count("*") > 1).alias("several")), "id").withColumn("pull", 2.0 / F.col("size") * F.col("n")))
+        degrees = degrees.unionByName(members.select("id", (F.col("pull") * (F.col("size") - 1)).alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
+    degrees = cut(degrees)
     double = degrees.agg(F.sum("k")).first()[0] or 1.0
     state = cut(degrees.select("id", "k", F.col("id").alias("community")))
-    turn, moves, least, worse, alone = 0, 0, None, 0, False
+    turn, moves, least, worse, alone, held = 0, 0, None, 0, False, None
     while True:
         mass = state.groupBy("community").agg(F.sum("k").alias("mass"))
         near = links.where("src <> dst").join(state.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("w"))
         turned = state if alone else state.where(F.pmod(F.xxhash64("id", F.lit(turn // 2)) + turn, F.lit(2)) == 0)
         turned = turned.select("id", "k", F.col("community").alias("own"))
-        options = turned.join(near.unionByName(state.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.max("w").alias("w")), "id").join(mass, "community")
+        near = near.unionByName(state.select("id", "community", F.lit(0.0).alias("w")))
+        if members is not None:
+            held = cut(members.join(state.select("id", "community"), "id").groupBy("package", "community").agg(F.sum("n").alias("held")).join(mass, "community"), held)
+            near = near.unionByName(_beyond(members.join(turned.select("id"), "id"), held).withColumn("w", F.lit(0.0)))
+        options = turned.join(near.groupBy("id", "community").agg(F.max("w").alias("w")), "id")
+        if members is not None:
+            met = options.join(members, "id").join(held.select("package", "community", "held"), ["package", "community"])
+            own = F.when(F.col("community") == F.col("own"), F.col("n")).otherwise(0)
+            drawn = met.groupBy("id", "community").agg(F.sum(F.col("pull") * (F.col("held") - own)).alias("_drawn"))
+            options = options.join(drawn, ["id", "community"], "left").withColumn("w", F.col("w") + F.coalesce("_drawn", F.lit(0.0))).drop("_drawn")
+        options = options.join(mass, "community")
         rest = F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(double), 9)
         stays = F.max(F.when(F.col("community") == F.col("own"), gain)).alias("stays")
@@ -279,14 +303,87 @@ def _places(start: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(start[nodes] - (np.cumsum(count) - count), count) + np.arange(count.sum()), count
 
 
-def _moved_alone(own: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, k: np.ndarray, linked: np.ndarray, resolution: float, double: float) -> None:
+class Drawn:
+    """Packages that draw their classes together without links: each pair of classes weighs 2 / size, so a node with some classes of a package is drawn to a community by 2 / size times
+    these times the package's classes there. node, package, count: how many classes of a package a node holds; size: of each package; n: how many nodes there are."""
+
+    def __init__(self, node: np.ndarray, package: np.ndarray, count: np.ndarray, size: np.ndarray, n: int):
+        order = np.lexsort((package, node))
+        self.node, self.package, self.count, self.size, self.n = node[order], package[order], count[order], size, n
+        self.start = np.searchsorted(self.node, np.arange(n + 1))
+        self.nodes = np.flatnonzero(np.diff(self.start))
+        self.pull = 2.0 / size[self.package] * self.count
+        # classes of one node draw each other too, which a loop says where there are links
+        self.k = np.bincount(self.node, weights=self.pull * (size[self.package] - 1), minlength=n)
+
+    def above(self, up: np.ndarray) -> Drawn:
+        """The same with nodes gathered, each in up."""
+        keys, count = _grouped(self.package * self.n + up[self.node], self.count)
+        return Drawn(keys % self.n, keys // self.n, count, self.size, self.n)
+
+    def settle(self, own: np.ndarray) -> None:
+        """Counts the classes of each package in each community; own: of each node."""
+        self.own = own
+        self.keys, self.held = _grouped(self.package * self.n + own[self.node], self.count)
+
+    def towards(self, node: np.ndarray, community: np.ndarray) -> np.ndarray:
+        """What draws each node to the community beside it; its own classes don't."""
+        if not len(self.node):
+            return np.zeros(len(node))
+        places, count = _places(self.start, node)
+        row = np.repeat(np.arange(len(node)), count)
+        keys = self.package[places] * self.n + community[row]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        held = np.where(self.keys[at] == keys, self.held[at], 0) - np.where(self.own[node[row]] == community[row], self.count[places], 0)
+        return np.bincount(row, weights=self.pull[places] * held, minlength=len(node))
+
+    def beyond(self, nodes: np.ndarray, k: np.ndarray, mass: np.ndarray, resolution: float, double: float, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each of nodes, links aside, the community other than its own with the greatest gain, the smaller name of equals, and that gain; n if its packages have no other.
+
+        A node with classes of one package looks only at the two lightest of the communities that hold equally many of them, as no other gains more and one may be its own: these are fewer than
+        three times the root of the package's size. One with classes of several packages looks at all of their communities, or where only is given (flags) at those."""
+        out, most = np.full(len(nodes), self.n), np.full(len(nodes), -np.inf)
+        if not len(nodes):
+            return out, most
+        n, package, community = self.n, self.keys // self.n, self.keys % self.n
+        order = np.lexsort((community, np.round(mass[community], 9), self.held, package))
+        first = np.concatenate([[True], (package[order][1:] != package[order][:-1]) | (self.held[order][1:] != self.held[order][:-1])])
+        few, every = np.sort(order[first | np.concatenate([[False], first[:-1]])]), np.arange(len(self.keys)) if only is None else np.flatnonzero(only[community])
+        several = self.start[nodes + 1] - self.start[nodes] > 1
+        for mine, look in ((np.flatnonzero(~several), few), (np.flatnonzero(several), every)):
+            bound = np.searchsorted(package[look], np.arange(len(self.size) + 1))
+            places, count = _places(self.start, nodes[mine])
+            work = np.bincount(np.repeat(np.arange(len(mine)), count), weights=np.diff(bound)[self.package[places]], minlength=len(mine))
+            blocks = np.cumsum(work) // DRAWN_AT_ONCE
+            for part in np.split(mine, np.flatnonzero(np.diff(blocks)) + 1):
+                places, count = _places(self.start, nodes[part])
+                spots, each = _places(bound, self.package[places])
+                spots, places = look[spots], np.repeat(places, each)
+                keys, w = np.repeat(np.repeat(np.arange(len(part)), count), each) * n + community[spots], self.pull[places] * self.held[spots]
+                if look is every:
+                    keys, w = _grouped(keys, w)
+                other = self.own[nodes[part[keys // n]]] != keys % n
+                row, to, w = keys[other] // n, keys[other] % n, w[other]
+                if not len(row):
+                    continue
+                gain = np.round(w - resolution * k[nodes[part[row]]] * mass[to] / double, 9)
+                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                top = np.repeat(np.maximum.reduceat(gain, starts), np.diff(np.append(starts, len(row))))
+                # in the order of names, so the last written, going backwards, is the smallest
+                best = np.flatnonzero(gain == top)[::-1]
+                out[part[row[best]]], most[part[row[best]]] = to[best], gain[best]
+        return out, most
+
+
+def _moved_alone(own: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, k: np.ndarray, linked: np.ndarray, resolution: float, double: float, drawn: Drawn) -> None:
     """The moves of _moved once a node moves only if no better move touches the two communities; own is changed. src is in order and no link is a loop.
 
     There may be thousands of such rounds, so each node's communities and gains are kept: only those beside a node that moved are gathered again, and only gains in communities that changed are reckoned again."""
     n = len(own)
     start = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
-    # an entry for each link and one for the node's own community; those that aren't needed have no community
-    slot = start + np.arange(n + 1)
+    # an entry for each link, one for the node's own community and one for where packages without links draw it; those that aren't needed have no community
+    slot = start + np.arange(n + 1) + np.searchsorted(drawn.nodes, np.arange(n + 1))
+    spare, several, far = slot[drawn.nodes + 1] - 1, np.diff(drawn.start)[drawn.nodes] > 1, None
     holder, at = np.repeat(np.arange(n), np.diff(slot)), np.full(slot[-1], n)
     w, gain, home = np.zeros(slot[-1]), np.full(slot[-1], -np.inf), slot[:-1].copy()
     again, changed = np.flatnonzero(linked), np.zeros(n + 1, bool)
@@ -301,18 +398,29 @@ def _moved_alone(own: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.n
         at[put], w[put] = community, sums
         stay = own[node] == community
         home[node[stay]] = put[stay]
+        drawn.settle(own)
+        known, far = far, drawn.beyond(drawn.nodes, k, mass, resolution, double, changed if far else None)
+        if known:
+            (old, had), (to, got) = known, far
+            better = (got > had) | ((got == had) & (to <= old))
+            # what didn't change is no better than what was known, and all of it is weighed again only where that got worse
+            kept, lost = several & ~changed[old] & ~better, np.flatnonzero(several & changed[old] & ~better)
+            to[kept], got[kept] = old[kept], had[kept]
+            to[lost], got[lost] = drawn.beyond(drawn.nodes[lost], k, mass, resolution, double)
+        at[spare], gain[spare] = far[0], -np.inf
         renewed = changed[at]
-        renewed[put] = True
+        renewed[put], renewed[spare] = True, at[spare] < n
         renewed = np.flatnonzero(renewed)
         by, of = holder[renewed], at[renewed]
-        gain[renewed] = np.round(w[renewed] - resolution * k[by] * (mass[of] - np.where(own[by] == of, k[by], 0.0)) / double, 9)
+        gain[renewed] = np.round(w[renewed] + drawn.towards(by, of) - resolution * k[by] * (mass[of] - np.where(own[by] == of, k[by], 0.0)) / double, 9)
         top, stays = np.maximum.reduceat(gain, slot[:-1]), gain[home]
         movers = np.flatnonzero(top > stays)
         if not len(movers):
             return
         places, count = _places(slot, movers)
-        # entries are in order, so the first of a node's best ones has the smallest name
         best = places[gain[places] == np.repeat(top[movers], count)]
+        # the first of a node's best ones has the smallest name
+        best = best[np.lexsort((at[best], holder[best]))]
         best = best[np.concatenate([[True], holder[best][1:] != holder[best][:-1]])]
         to, more = at[best], top[movers] - stays[movers]
         touched, by = np.concatenate([own[movers], to]), np.concatenate([np.arange(len(movers))] * 2)
@@ -328,12 +436,14 @@ def _moved_alone(own: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.n
         again = np.flatnonzero(beside)
 
 
-def moved_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: np.ndarray, resolution: float) -> np.ndarray:
+def moved_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: np.ndarray, resolution: float, drawn: Drawn | None = None) -> np.ndarray:
     """The moves of _moved in arrays. src, dst: places of nodes in the order of their names, src in order, hashes of all of them. For each node the place of its community's first; its own without links."""
     n = len(hashes)
-    k = np.bincount(src, weights=weight, minlength=n)
+    drawn = drawn or Drawn(*[np.zeros(0, np.int64)] * 4, n)
+    k = np.bincount(src, weights=weight, minlength=n) + drawn.k
     double = float(k.sum()) or 1.0
     linked = np.bincount(src, minlength=n) > 0
+    linked[drawn.nodes] = True
     off = src != dst
     src, dst, weight = src[off], dst[off], weight[off]
     own = np.arange(n)
@@ -343,10 +453,14 @@ def moved_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: n
         turned = linked & ((_parity(hashes, turn // 2) + turn) % 2 == 0)
         at = turned[src]
         nodes = np.flatnonzero(turned)
-        keys, w = _grouped(np.concatenate([src[at] * n + own[dst[at]], nodes * n + own[nodes]]), np.concatenate([weight[at], np.zeros(len(nodes))]))
+        drawn.settle(own)
+        far = drawn.nodes[turned[drawn.nodes]]
+        to, _ = drawn.beyond(far, k, mass, resolution, double)
+        far, to = far[to < n], to[to < n]
+        keys, w = _grouped(np.concatenate([src[at] * n + own[dst[at]], nodes * n + own[nodes], far * n + to]), np.concatenate([weight[at], np.zeros(len(nodes) + len(far))]))
         node, community = keys // n, keys % n
         stay = own[node] == community
-        gain = np.round(w - resolution * k[node] * (mass[community] - np.where(stay, k[node], 0.0)) / double, 9)
+        gain = np.round(w + drawn.towards(node, community) - resolution * k[node] * (mass[community] - np.where(stay, k[node], 0.0)) / double, 9)
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, int)
         top = np.maximum.reduceat(gain, starts) if len(node) else gain
         group = np.cumsum(np.concatenate([[0], (node[1:] != node[:-1]).astype(np.int64)])) if len(node) else starts
@@ -365,32 +479,41 @@ def moved_arrays(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, hashes: n
             worse = worse + 1 if least is not None and moves >= least else 0
             least, moves = moves if least is None else min(least, moves), 0
     else:
-        _moved_alone(own, src, dst, weight, k, linked, resolution, double)
+        _moved_alone(own, src, dst, weight, k, linked, resolution, double, drawn)
     names = np.full(n, n)
     np.minimum.at(names, own, np.arange(n))
     return names[own]
 
 
-def _gathered(links: DataFrame) -> DataFrame:
-    """communities of links, all levels in one task: id, level, community."""
+def _gathered(links: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """communities of links, and of the members of packages without links, all levels in one task: id, level, community."""
     ship(links.sparkSession)
-    nodes = cut(numbered(links.select(F.col("src").alias("id")).distinct(), "id", "nr").withColumn("h", F.xxhash64("id")))
+    ids = links.select(F.col("src").alias("id"))
+    nodes = cut(numbered((ids if members is None else ids.unionByName(members.select("id"))).distinct(), "id", "nr").withColumn("h", F.xxhash64("id")))
     nr = lambda name: nodes.select(F.col("id").alias(name), F.col("nr").alias(f"_{name}"))
-    rows = links.join(nr("src"), "src").join(nr("dst"), "dst").join(nodes.select("nr", "h").withColumnRenamed("nr", "_src"), "_src").select("_src", "_dst", "weight", "h")
+    rows = links.join(nr("src"), "src").join(nr("dst"), "dst").join(nodes.select("nr", "h").withColumnRenamed("nr", "_src"), "_src").select("_src", "_dst", "weight", "h", F.lit(0).cast("long").alias("size"))
+    if members is not None:
+        # a package goes by the number of its first class
+        of = members.join(nodes, "id")
+        of = of.join(of.groupBy("package").agg(F.min("nr").alias("_dst")), "package")
+        rows = rows.unionByName(of.select(F.col("nr").alias("_src"), "_dst", F.col("n").cast("double").alias("weight"), "h", F.col("size").cast("long").alias("size")))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = [tuple(p[c].to_numpy() for c in ("_src", "_dst", "weight", "h")) for p in parts]
+        every = [tuple(p[c].to_numpy() for c in ("_src", "_dst", "weight", "h", "size")) for p in parts]
         if not every:
             return
-        src, dst, weight, h = (np.concatenate(x) for x in zip(*every))
+        src, dst, weight, h, size = (np.concatenate(x) for x in zip(*every))
         known, first, src = np.unique(src, return_index=True, return_inverse=True)
+        held, link = size > 0, size == 0
+        _, one, package = np.unique(dst[held], return_index=True, return_inverse=True)
+        drawn = Drawn(src[held], package, weight[held].astype(np.int64), size[held][one], len(known))
         # sorted, so that sums don't depend on the order in which rows came
-        dst, hashes = np.searchsorted(known, dst), h[first].view(np.uint64)
+        src, dst, weight, hashes = src[link], np.searchsorted(known, dst[link]), weight[link], h[first].view(np.uint64)
         order = np.lexsort((dst, src))
         src, dst, weight, at, n = src[order], dst[order], weight[order], np.arange(len(known)), len(known)
         for level, resolution in enumerate(RESOLUTIONS):
-            up = moved_arrays(src, dst, weight, hashes, resolution)
-            at = up[at]
+            up = moved_arrays(src, dst, weight, hashes, resolution, drawn)
+            at, drawn = up[at], drawn.above(up)
             yield pd.DataFrame({"nr": known, "level": np.full(n, level, np.int32), "_of": known[at]})
             keys, weight = _grouped(up[src] * n + up[dst], weight)
             src, dst = keys // n, keys % n
@@ -399,36 +522,48 @@ def _gathered(links: DataFrame) -> DataFrame:
     return out.join(nodes.select("nr", "id"), "nr").join(nodes.select(F.col("nr").alias("_of"), F.col("id").alias("community")), "_of").select("id", "level", "community")
 
 
-def package_links(ids: DataFrame) -> DataFrame:
-    """src, dst, weight: 2 / size for each pair of classes (id) of a package whose size lies in PACKAGES; no class has more pairs than the largest size."""
-    of = cut(ids.select("id", package("id").alias("_p")).distinct())
-    sized = of.join(of.groupBy("_p").agg(F.count("*").alias("_n")).where(F.col("_n").between(*PACKAGES)), "_p")
-    pairs = sized.select("_p", "_n", F.col("id").alias("src")).join(of.select("_p", F.col("id").alias("dst")), "_p").where("src < dst")
-    return pairs.select("src", "dst", (F.lit(2.0) / F.col("_n")).alias("weight"))
+def packaged(ids: DataFrame) -> DataFrame:
+    """id, package, size: each class of ids (id) with its package and how many classes that has."""
+    of = ids.select("id", package("id").alias("package")).distinct()
+    return of.join(of.groupBy("package").agg(F.count("*").alias("size")), "package").select("id", "package", "size")
+
+
+def package_links(sized: DataFrame) -> DataFrame:
+    """src, dst, weight: 2 / size for each pair of classes of a package (packaged) of at most PAIRED; those of larger ones are left to counts (Drawn), so no class has more pairs than that."""
+    few = sized.where(F.col("size") <= PAIRED)
+    pairs = few.select("package", "size", F.col("id").alias("src")).join(few.select("package", F.col("id").alias("dst")), "package").where("src < dst")
+    return pairs.select("src", "dst", (F.lit(2.0) / F.col("size")).alias("weight"))
 
 
 def communities(projection: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """id, level, community: classes gathered on ever coarser levels, each community of a level a union of those below; named by their smallest class.
 
-    Where ids (id) are given, classes of a package are drawn together, and a class without any link is a community of its own; else it is in none."""
-    alone = None
+    Where ids (id) are given, classes of a package are drawn together, however many, and a class without any link is a community of its own; else it is in none."""
+    alone, members, n = None, None, 0
     if ids is not None:
-        projection = projection.select("src", "dst", "weight").unionByName(package_links(ids))
+        sized = cut(packaged(ids))
+        projection = projection.select("src", "dst", "weight").unionByName(package_links(sized))
+        members = sized.where((F.col("size") > PAIRED) & (F.col("size") > 1)).withColumn("n", F.lit(1).cast("long"))
+        n = members.count()
+        members = members if n else None
     links = cut(undirected(projection))
     if ids is not None:
-        alone = ids.select("id").distinct().join(links.select(F.col("src").alias("id")), "id", "left_anti")
+        met = links.select(F.col("src").alias("id"))
+        alone = ids.select("id").distinct().join(met if members is None else met.unionByName(members.select("id")), "id", "left_anti")
         alone = alone.select("id", F.explode(F.array(*(F.lit(k) for k in range(len(RESOLUTIONS))))).alias("level"), F.col("id").alias("community"))
-    if links.count() <= LINKS_PER_TASK:
-        out = _gathered(links)
+    if links.count() + n <= LINKS_PER_TASK:
+        out = _gathered(links, members)
         return out if alone is None else out.unionByName(alone)
     found, out = None, None
     for level, resolution in enumerate(RESOLUTIONS):
-        moved = _moved(links, resolution)
+        moved = _moved(links, resolution, members)
         found = cut(moved if found is None else found.join(moved.select(F.col("id").alias("community"), F.col("community").alias("_up")), "community").select("id", F.col("_up").alias("community")))
         named = found.select("id", F.lit(level).alias("level"), "community")
         out = named if out is None else out.unionByName(named)
         inside = moved.select(F.col("id").alias("src"), F.col("community").alias("a"))
         links = cut(links.join(inside, "src").join(moved.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        if members is not None:
+            members = cut(members.join(moved, "id").groupBy("package", "size", F.col("community").alias("id")).agg(F.sum("n").alias("n")))
     return out if alone is None else out.unionByName(alone)
 
 

@@ -344,6 +344,60 @@ def test_labels_of_communities_in_one_task(spark, monkeypatch):
     assert len(written) <= 5 and {(0, "a.A", "a", 3), (0, "b.A", "b", 3)} == {x[:4] for x in labels if x[0] == 0}
 
 
+def test_large_packages_draw_their_classes_together(spark):
+    ids = [(f"wide.p.C{k:03}",) for k in range(230)] + [(f"small.C{k}",) for k in range(3)] + [("lone.Only",)]
+    links = [("small.C0", "small.C1", 1.0), ("small.C1", "small.C2", 1.0)]
+    labels = K.labelled(K.communities(spark.createDataFrame(links, "src string, dst string, weight double"), spark.createDataFrame(ids, "id string")))
+    assert pairs(labels.where("level = 0"), "community", "label", "n") == {("wide.p.C000", "wide.p", 230), ("small.C0", "small", 3), ("lone.Only", "lone", 1)}
+
+
+def test_packages_by_counts_as_by_pairs(spark, monkeypatch):
+    rnd = random.Random(11)
+    classes = [f"p{p}.C{k:02}" for p in range(2) for k in range(9 + 4 * p)]
+    links = [(*rnd.sample(classes, 2), rnd.choice((0.5, 1.0, 3.0))) for _ in range(14)] + [(f"p1.C{k:02}", f"p1.C{k + 1:02}", 9.0) for k in range(0, 12, 2)]
+    df, ids = spark.createDataFrame(links, "src string, dst string, weight double"), spark.createDataFrame([(i,) for i in classes], "id string")
+    by_pairs = pairs(K.communities(df, ids), "id", "level", "community")
+    # only the smaller one has its pairs written
+    monkeypatch.setattr(K, "PAIRED", 9)
+    assert K.package_links(K.packaged(ids)).count() == 36 and by_pairs == pairs(K.communities(df, ids), "id", "level", "community")
+    monkeypatch.setattr(K, "PAIRED", 0)
+    monkeypatch.setattr(K, "LINKS_PER_TASK", -1)
+    assert by_pairs == pairs(K.communities(df, ids), "id", "level", "community")
+    assert 2 < len({c for _, level, c in by_pairs if level == 0}) < len(classes)
+
+
+def test_moves_by_counts_as_by_pairs(monkeypatch):
+    several = 0
+    for seed in range(20):
+        rnd, n, size = random.Random(seed), 120, np.array([50, 40, 20])
+        package = np.repeat([0, 1, 2, -1], [50, 40, 20, 10])
+        linked = {(a, b) if a < b else (b, a): float(rnd.randrange(1, 4)) for a, b in (rnd.sample(range(n), 2) for _ in range(90))}
+        paired = dict(linked)
+        for a in range(n):
+            for b in range(a + 1, n):
+                if package[a] == package[b] >= 0:
+                    paired[a, b] = paired.get((a, b), 0.0) + 2.0 / size[package[a]]
+        held = np.flatnonzero(package >= 0)
+        # as they are, and with some of them gathered, so that a node has classes of several packages
+        up = np.arange(n) if seed % 2 else np.array([rnd.randrange(0, n, 3) if v % 3 else v for v in range(n)])
+        drawn = K.Drawn(held, package[held], np.ones(len(held), np.int64), size, n).above(up)
+        several += (np.diff(drawn.start) > 1).sum()
+        hashes = np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64)
+        monkeypatch.setattr(K, "DRAWN_AT_ONCE", 4_000_000 if seed < 10 else 60)
+        for resolution in (1.0, 0.15):
+            moved, alone = [], []
+            for links, own in ((linked, drawn), (paired, K.Drawn(*[np.zeros(0, np.int64)] * 4, n))):
+                ends, weight = np.array([(a, b) for x, y in links for a, b in ((x, y), (y, x))]), np.repeat(list(links.values()), 2)
+                keys, weight = K._grouped(up[ends[:, 0]] * n + up[ends[:, 1]], weight)
+                src, dst = keys // n, keys % n
+                moved.append(K.moved_arrays(src, dst, weight, hashes, resolution, own).tolist())
+                k, off, by_one = np.bincount(src, weights=weight, minlength=n) + own.k, src != dst, np.arange(n)
+                K._moved_alone(by_one, src[off], dst[off], weight[off], k, k > 0, resolution, float(k.sum()), own)
+                alone.append(by_one.tolist())
+            assert moved[0] == moved[1] and alone[0] == alone[1], (seed, resolution)
+    assert several > 100
+
+
 def test_betweenness_in_arrays_as_in_rounds(spark, monkeypatch):
     rnd = random.Random(5)
     links = [(f"n{rnd.randrange(25)}", f"n{rnd.randrange(25)}", 1.0) for _ in range(40)] + [("x", "y", 1.0)]
